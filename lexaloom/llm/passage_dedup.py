@@ -37,14 +37,8 @@ def period_for(length: int) -> int:
 class _Words:
     def __init__(self, chunk: C.Chunk, length: int, period: int, buckets: int) -> None:
         self.chunk, self.length = chunk, length
-        start, end = R.word_spans(chunk.data, R.SPACES)
-        inner = chunk.offsets[1:-1]  # a word that runs over the edge between two documents is two words
-        cut = inner[(np.searchsorted(start, inner, side="left") - np.searchsorted(end, inner, side="right")) > 0] if len(start) else inner[:0]
-        cut = np.setdiff1d(cut, start)
-        if len(cut):
-            start, end = np.sort(np.append(start, cut)), np.sort(np.append(end, cut))
+        start, end, self.bounds = R.words_of_texts(chunk.data, chunk.offsets, R.SPACES)  # words of document d: bounds[d]:bounds[d+1]
         self.start, self.end = start, end
-        self.bounds = np.searchsorted(start, chunk.offsets, side="left")  # words of document d: bounds[d]:bounds[d+1]
         self.counts = np.diff(self.bounds)
         self.h = R.prefix(R.spans(R.byte_prefix(chunk.data), start, end))
         self.period, self.size = period, length - period + 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexaloom.llm import chat, decontaminate, fingerprints, language, mixing, passage_dedup, substring_dedup, token_files, url_filter
+from lexaloom.llm import chat, decontaminate, fingerprints, language, mixing, near_join, passage_dedup, substring_dedup, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op7_url_filter": lambda spark, d: url_filter.query(_table(spark, d, "pages")),
         "op8_fingerprints": lambda spark, d: fingerprints.query(_table(spark, d, "documents")),
         "op9_substring_dedup": lambda spark, d: passage_dedup.query(_table(spark, d, "documents")),
+        "op10_ngram_join": lambda spark, d: near_join.query(_table(spark, d, "documents")),
     }
 
 

@@ -97,5 +97,16 @@ def word_spans(data: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def words_of_texts(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts that lie side by side, and where each text's words begin; no word runs over an edge."""
+    start, end = word_spans(data, separators)
+    inner = np.unique(offsets[1:-1])
+    if len(start) and len(inner):
+        cut = inner[np.searchsorted(start, inner, side="left") > np.searchsorted(end, inner, side="right")]
+        if len(cut):
+            start, end = np.sort(np.append(start, cut)), np.sort(np.append(end, cut))
+    return start, end, np.searchsorted(start, offsets, side="left")
+
+
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(9, 14)]] = True
