@@ -222,8 +222,8 @@ def _all_edges(nodes: DataFrame, sets: DataFrame, least: int, block: int) -> Dat
         return edges
     parts = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
     every = judged.join(far, "node").select("node", "uid", "sig", "near", (F.pmod(F.xxhash64("uid"), parts("n"))).cast("int").alias("j"), (F.pmod(F.xxhash64("uid", F.lit(1)), parts("m"))).cast("int").alias("i"), parts("n").alias("js"), parts("m").alias("is"))
-    asking = every.where("not near").select("node", F.col("i").cast("long").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).cast("long").alias("j"), "uid", "sig", F.lit(1).cast("long").alias("asks"))
-    asked = every.select("node", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).cast("long").alias("i"), F.col("j").cast("long").alias("j"), "uid", "sig", F.lit(0).cast("long").alias("asks"))
+    asking = every.where("not near").select("node", F.col("i").cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("js").cast("long") - 1)).alias("j"), "uid", "sig", F.lit(1).cast("long").alias("asks"))
+    asked = every.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is").cast("long") - 1)).alias("i"), F.col("j").cast("long").alias("j"), "uid", "sig", F.lit(0).cast("long").alias("asks"))
 
     def run(table: pa.Table) -> list[tuple]:
         uid, asks, sig = np.asarray(table.column("uid")), np.asarray(table.column("asks")) == 1, _matrix(table.column("sig"))

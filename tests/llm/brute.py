@@ -39,3 +39,33 @@ def passage_rows(docs, length=35):
                 gone[i : i + length] = [True] * length
         out.append((key, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
     return sorted(out, key=str)
+
+
+def words13(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def contamination_rows(docs, items, width=13):
+    windows = []
+    for name, text in items:
+        w = words13(text)
+        if w:
+            windows += [(name or "", tuple(w[i : i + width])) for i in range(max(1, len(w) - width + 1))]
+    out = []
+    for key, text in docs:
+        w = words13(text)
+        hit, found = [False] * len(w), []
+        for item in {x for x, _ in enumerate(items)}:
+            any_hit = False
+            iw = words13(items[item][1])
+            for i in range(max(1, len(iw) - width + 1) if iw else 0):
+                window = iw[i : i + width]
+                for at in range(len(w) - len(window) + 1):
+                    if w[at : at + len(window)] == window:
+                        hit[at : at + len(window)] = [True] * len(window)
+                        any_hit = True
+            if any_hit:
+                found.append(str(items[item][0]) if items[item][0] is not None else "")
+        out.append((key, len(w), sum(hit), len(found), sha(",".join(sorted(found))), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
+    return sorted(out, key=str)
