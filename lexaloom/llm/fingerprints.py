@@ -31,7 +31,9 @@ from lexaloom.llm.rolling import mix
 
 LONG, PART = 320, 160
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+", re.S)
-_CELL = np.dtype([("count", "<i2"), ("check", "<u2"), ("key", "<u8")])
+_CELL = np.dtype([("count", "<i2"), ("check", "<u4"), ("key", "<u8")])
+#: A run of chance matches could go round for ever; no table that peels needs as many rounds.
+ROUNDS = 1000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -74,7 +76,7 @@ class Tables:
         self.size = size.astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(3 * self.size)])
         n = int(self.first[-1])
-        self.count, self.check, self.key = np.zeros(n, np.int64), np.zeros(n, np.uint16), np.zeros(n, np.uint64)
+        self.count, self.check, self.key = np.zeros(n, np.int64), np.zeros(n, np.uint32), np.zeros(n, np.uint64)
 
     def cells(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
         at = (mix(keys[None, :] ^ _SEEDS[:, None]) >> np.uint64(32)).astype(np.int64) & (self.size[table] - 1)[None, :]
@@ -93,7 +95,7 @@ class Tables:
         owner = np.repeat(np.arange(len(self.size)), 3 * self.size)
         out = []
         look = np.arange(len(self.key))
-        while len(look):
+        for _ in range(ROUNDS):
             pure = look[(np.abs(self.count[look]) == 1) & (self.check[look] == _check(self.key[look]))]
             table, key, sign = owner[pure], self.key[pure], self.count[pure]
             pair = np.empty(len(pure), [("t", "<i8"), ("k", "<u8")])
@@ -121,7 +123,7 @@ class Tables:
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(48)).astype(np.uint16)
+    return (mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
 
 
 def fingerprints(texts: list[str]) -> list[str]:
@@ -157,10 +159,7 @@ def _unpack(fingerprint: str) -> tuple[int, int, np.ndarray]:
 
 def recovered(fingerprint: str) -> set[int]:
     """The digests that a fingerprint holds."""
-    _, size, cells = _unpack(fingerprint)
-    t = Tables(np.array([size]))
-    t.count[:], t.check[:], t.key[:] = cells["count"], cells["check"], cells["key"]
-    return {int(k) for k in t.peel()[1]}
+    return _recover_all({fingerprint: _unpack(fingerprint)})[fingerprint]
 
 
 def differing(a: str, b: str) -> tuple[set[int], set[int]]:
@@ -197,14 +196,27 @@ def likeness(pairs: list[tuple[str, str]]) -> list[float]:
     t = _subtract([(unpacked[a], unpacked[b]) for a, b in pairs])
     table, _, _, good = t.peel()
     apart = np.bincount(table, minlength=len(pairs))
+    whole = _recover_all({f: unpacked[f] for pair, fine in zip(pairs, good) if not fine for f in pair})
     out = []
     for i, (a, b) in enumerate(pairs):
-        d = int(apart[i]) if good[i] else len(recovered(a) ^ recovered(b))
+        d = int(apart[i]) if good[i] else len(whole[a] ^ whole[b])
         total = unpacked[a][0] + unpacked[b][0]
         out.append((total - d) / (total + d) if total else 1.0)
     return out
 
 
+def _recover_all(unpacked: dict[str, tuple]) -> dict[str, set[int]]:
+    t = Tables(np.array([size for _, size, _ in unpacked.values()], np.int64))
+    if not unpacked:
+        return {}
+    cells = np.concatenate([c for _, _, c in unpacked.values()])
+    t.count[:], t.check[:], t.key[:] = cells["count"], cells["check"], cells["key"]
+    table, key, _, _ = t.peel()
+    order = np.argsort(table, kind="stable")
+    parts = np.split(key[order], np.searchsorted(table[order], np.arange(1, len(unpacked))))
+    return {f: set(p.tolist()) for f, p in zip(unpacked, parts)}
+
+
 def tail_edit(text: str, following: str) -> str:
     """The last quarter replaced by as much of the beginning of the next document."""
     k = len(text) // 4
