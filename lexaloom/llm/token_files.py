@@ -6,7 +6,8 @@ its tasks. Ids are DELTA_BINARY_PACKED, the other columns dictionary-encoded; ro
 file has page indexes, so readers can fetch the metadata alone or a few documents' ids.
 
 Tokenising: white space never takes part in a token of a word-level vocabulary, so a text's ids are those of its
-blank-separated pieces in order. Pieces are encoded by the tokenizers library and remembered per worker.
+blank-separated pieces in order. Pieces are encoded by the tokenizers library and remembered per worker. Other
+tokenizers encode whole texts.
 
 Results for special cases: a null or blank text has the end id alone; a null id comes first; repeated rows and ids are written one
 by one (ties in text order); an empty table gives an empty one; other columns are ignored.
@@ -14,9 +15,13 @@ by one (ties in text order); an empty table gives an empty one; other columns ar
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,40 +34,73 @@ from lexaloom.llm.common import partitions, scratch_path, ship
 END_ID = 1
 KEEP_PIECES = 400_000
 KEEP_LENGTH = 64
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORKER: dict[str, tuple] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in for each byte that byte-level vocabularies use."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Ids of blank-separated pieces of a lower-casing word-level tokenizer, computed when first met.
+
+    A run of Latin letters with ASCII punctuation behind it is two words of the model; anything else takes the whole tokenizer.
+    """
+
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+    letters = _byte_letters()
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self[""] = b""
+
+    def word(self, text: str) -> list[int]:
+        spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(spelled)]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) <= KEEP_LENGTH and (two := self.plain(piece)):
+            core, tail = two.groups()
+            ids = self.word(core.lower()) + (self.word(tail) if tail else [])
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        packed = array("I", ids).tobytes()
+        if len(piece) <= KEEP_LENGTH:
+            self[piece] = packed
+        return packed
+
+
 def _tokenizer(path: str) -> tuple:
     if path not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _WORKER.clear()
-        _WORKER[path] = (Tokenizer.from_file(path), {"": b""})
+        tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(Path(path).read_text())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [p.get("pattern") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        by_word = steps == ["NFC", "Replace", "Lowercase"] and splits == [{"Regex": WORD_PATTERN}, None] and spec["model"]["type"] == "BPE"
+        _WORKER[path] = (tokenizer, _Pieces(tokenizer) if by_word else None)
     return _WORKER[path]
 
 
 def encode(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
     """Little-endian 32-bit ids of each text, the end id last."""
-    tokenizer, cache = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    seen = set().union(*split) if split else set()
-    if len(cache) > KEEP_PIECES:
-        kept = {p: cache[p] for p in seen if p in cache}
-        cache.clear()
-        cache.update(kept)
-        cache[""] = b""
-    new = list(seen.difference(cache))
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for piece, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[piece] = np.array(found.ids, "<u4").tobytes()
-    end, get = np.array([end_id], "<u4").tobytes(), cache.__getitem__
-    out = [b"".join(map(get, pieces)) + end for pieces in split]
-    for piece in new:
-        if len(piece) > KEEP_LENGTH:
-            del cache[piece]
-    return out
+    tokenizer, pieces = _tokenizer(path)
+    end = array("I", [end_id]).tobytes()
+    if pieces is None:
+        return [array("I", e.ids).tobytes() + end for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    if len(pieces) > KEEP_PIECES:
+        pieces.clear()
+        pieces[""] = b""
+    get = pieces.__getitem__
+    return [b"".join(map(get, t.replace("\n", " ").split(" "))) + end for t in texts]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 1 << 20, files: int | None = None) -> None:
