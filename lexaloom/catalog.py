@@ -2,10 +2,430 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexaloom.functions import edit as E
+from lexaloom.functions import text as X
+from lexaloom.operators import correction as K
+from lexaloom.operators import dictionary as D
+from lexaloom.operators import lifecycle as L
+from lexaloom.operators import search as S
+from lexaloom.plans import query as Q
+from lexaloom.plans.policy import Policy
+from lexaloom.sources import tables as T
+from lexaloom.streaming import feed as W
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Query texts and locales; limits are small so that they bite on the test tables too.
+TEXTS = (("the and", "en"), ("thing", "en"), ("eau la", "fr"), ("der und ich", "de"), ("las los", "es"), ("of the by and", "en"))
+POLICY = Policy(per_variant_limit=40, maximum_candidates=50, maximum_dictionary_terms=5_000_000)
+
+
+def _index(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("documents", "part"), tokens: bool = True) -> DataFrame:
+    rows = T.corpus(spark, d, kinds)
+    return T.with_tokens(rows) if tokens else rows
+
+
+def _variants(spark: SparkSession) -> DataFrame:
+    rows = [(k, 0, text, loc, text.split(), "original", 1000, f"f{k}", None) for k, (text, loc) in enumerate(TEXTS)]
+    # query 0 has two more variants, of lower priority
+    rows += [(0, 1, "the thing", "en", ["the", "thing"], "spelling", 700, "f0b", "f0"), (0, 2, "with was", "en", ["with", "was"], "synonym", 600, "f0c", "f0")]
+    return spark.createDataFrame(rows, S.VARIANT_SCHEMA)
+
+
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    index, variants = _index(spark, d), _variants(spark)
+    return index, variants, *S.retrieve(index, variants, policy=POLICY, partition="public")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    index, variants, candidates, _ = _candidates(spark, d)
+    return S.rank(candidates, index, variants, POLICY)
+
+
+def text_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "pages").select("page_id", X.sanitize(F.col("html")).alias("sanitized"))
+
+
+def text_prepare(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "documents").select("doc_id", X.normalize(F.col("text")).alias("normalized"))
+    rows = rows.withColumn("tokens", X.tokens(F.col("normalized")))
+    return rows.select("doc_id", F.md5(F.col("normalized").cast("binary")).alias("normalized_md5"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join(F.sort_array("tokens"), " ").cast("binary")).alias("tokens_md5"))
+
+
+def search_process(spark: SparkSession, d: str) -> DataFrame:
+    texts = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"), F.lit("en").alias("locale"))
+    p = Q.process_table(texts, Policy(), entities=False)
+    return p.select("query_id", "normalized", F.array_join("searchable", " ").alias("searchable"), "status", "truncated")
+
+
+def search_candidates(spark: SparkSession, d: str) -> DataFrame:
+    _, _, candidates, _ = _candidates(spark, d)
+    return candidates.select("query_id", "variant", "id", F.array_join("fields", ",").alias("fields"), F.array_join("terms", ",").alias("terms"))
+
+
+def search_truncation(spark: SparkSession, d: str) -> DataFrame:
+    _, _, _, told = _candidates(spark, d)
+    return told.select("query_id", F.array_join("reasons", ",").alias("reasons"), "executed")
+
+
+def search_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d).select("query_id", "place", "id", "variant", "tier", "score", F.col("matched").cast("long").alias("matched"), "coverage")
+
+
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    return S.page(_ranked(spark, d), 2, 7).select("query_id", "place", "id")
+
+
+def search_facets(spark: SparkSession, d: str) -> DataFrame:
+    return S.facets(_ranked(spark, d), ("source_type", "locale")).select("query_id", "field", "value", "n")
+
+
+def search_groups(spark: SparkSession, d: str) -> DataFrame:
+    return S.groups(_ranked(spark, d), 3).select("query_id", F.col("group_place").cast("long").alias("group_place"), "source_type", "group_count", "place", "id")
+
+
+def search_preview(spark: SparkSession, d: str) -> DataFrame:
+    return S.preview(_ranked(spark, d), 8, 2).select("query_id", "place", "id", "source_type")
+
+
+def _unique_index(spark: SparkSession, d: str) -> DataFrame:
+    first = F.row_number().over(Window.partitionBy(*L.IDENTITY).orderBy("id"))
+    return _index(spark, d, ("documents",)).where("is_active").withColumn("nth", first).where("nth = 1").drop("nth")
+
+
+def search_bridge(spark: SparkSession, d: str) -> DataFrame:
+    index = _unique_index(spark, d)
+    # source ids differ within a group here, so the type alone identifies a source
+    hits = index.where("locale = 'fr'").select("*", F.lit(0).cast("long").alias("query_id"), F.row_number().over(Window.orderBy("id")).alias("place"))
+    return S.bridge(hits, index, "en").select("id", "presented_id", "bridge_status", "place")
+
+
+def search_coverage(spark: SparkSession, d: str) -> DataFrame:
+    index, variants = _index(spark, d), _variants(spark)
+    return S.full_coverage(S.matches(index, variants, policy=POLICY, partition="public", bounded=False), variants, 300)
+
+
+def dictionary_terms(spark: SparkSession, d: str) -> DataFrame:
+    return D.terms(_index(spark, d), POLICY, check=False).select("locale", "term", "document_frequency", "title_frequency", "keyword_frequency", "excerpt_frequency", "content_frequency")
+
+
+def dictionary_deletes(spark: SparkSession, d: str) -> DataFrame:
+    return D.delete_index(D.terms(_index(spark, d, ("part",)), POLICY, check=False), POLICY).select("locale", "term", "delete_key", F.col("distance").cast("long").alias("distance"))
+
+
+def dictionary_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return D.bigrams(_index(spark, d), POLICY).select("locale", "gram_hash", "gram", "document_frequency", "title_frequency", "keyword_frequency")
+
+
+def index_status(spark: SparkSession, d: str) -> DataFrame:
+    return D.status(_index(spark, d, tokens=False))
+
+
+def dictionary_status(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return D.dictionary_status(D.terms(index, POLICY, check=False), D.bigrams(index, POLICY), index)
+
+
+def document_hashes(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.with_hash(_index(spark, d, ("part",), tokens=False))
+    return rows.select("id", "document_hash")
+
+
+def _changed(rows: DataFrame) -> DataFrame:
+    """The next state of the sources: every seventh is gone, every fifth has another title, and some are new."""
+    new = rows.where("id % 7 <> 0").withColumn("title", F.when(F.col("id") % 5 == 0, F.concat("title", F.lit(" new"))).otherwise(F.col("title")))
+    more = rows.where("id % 50 = 1").withColumn("source_key", F.concat(F.lit("added:"), "id"))
+    return T.with_hash(new.unionByName(more))
+
+
+def index_diff(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d, ("part",), tokens=False)
+    return L.diff(T.with_hash(rows), _changed(rows)).select("source_key", "action")
+
+
+def index_replace(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d, ("part",), tokens=False)
+    return L.replace(T.with_hash(rows), _changed(rows)).select("source_key", "title")
+
+
+def index_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d, ("part",), tokens=False)
+    return L.report(L.diff(T.with_hash(rows), _changed(rows)))
+
+
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d, ("part",), tokens=False)
+    return L.upsert(rows, rows.where("id % 11 = 0").withColumn("priority", F.lit(99))).select("id", "priority")
+
+
+def index_delete(spark: SparkSession, d: str) -> DataFrame:
+    return L.delete(_index(spark, d, tokens=False), source_type="product", locale="en").select("id")
+
+
+def index_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return L.identity_conflicts(_index(spark, d, ("documents",), tokens=False))
+
+
+def index_prune(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d, ("documents",), tokens=False)
+    return L.orphans(rows, rows.where("id % 3 <> 0")).select("partition", "source_key", "documents")
+
+
+def index_ownership(spark: SparkSession, d: str) -> DataFrame:
+    return L.ownership(_index(spark, d, ("documents",), tokens=False))
+
+
+def doctor_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.with_hash(_index(spark, d, ("part",), tokens=False))
+    return L.doctor_sample(rows.withColumn("title", F.when(F.col("id") % 4 == 0, "tampered").otherwise(F.col("title"))))
+
+
+def feed_state(spark: SparkSession, d: str) -> DataFrame:
+    return W.last_state(T.table(spark, d, "events"), "user_id", ["ts", "event_id"], "purchase").select("user_id", "event_id", "event_type", "present")
+
+
+def feed_synchronize(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d, ("part",), tokens=False)
+    events = T.table(spark, d, "events").select(F.lit("public").alias("partition"), F.concat(F.lit("part:"), F.col("user_id").cast("string")).alias("source_key"))
+    return W.synchronize(T.with_hash(rows), events, _changed(rows)).select("source_key", "title")
+
+
+def dependency_targets(spark: SparkSession, d: str) -> DataFrame:
+    parts = T.table(spark, d, "part").select("p_partkey", "p_brand")
+    old = W.dependents(parts.where("p_partkey % 500 = 0"), parts, "p_brand", "p_partkey")
+    new = W.dependents(parts.where("p_partkey % 500 = 1"), parts, "p_brand", "p_partkey")
+    return W.targets(old, new)
+
+
+def hydrate(spark: SparkSession, d: str) -> DataFrame:
+    shown = S.page(_ranked(spark, d).where("source_type = 'document'"), 1, 5)
+    sources = T.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "source", "n_chars")
+    return S.hydrate(shown, sources).select("query_id", "place", "id", "source", "n_chars")
+
+
+def keyboard_remap(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "part").select("p_partkey", E.keyboard_remap(F.col("p_name")).alias("remapped"))
+
+
+def phonetic_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    words = T.table(spark, d, "part").select(F.explode(X.tokens(X.normalize(F.col("p_name")))).alias("token"), F.lit("en").alias("family")).distinct()
+    return E.sound_alternatives_table(words, E.sound_rules(spark)).select("token", "alternative", F.col("cost").cast("long").alias("cost"), "rule")
+
+
+def synonym_windows(spark: SparkSession, d: str) -> DataFrame:
+    names = T.table(spark, d, "part").select("p_partkey", X.tokens(X.normalize(F.col("p_name"))).alias("tokens"))
+    rules = spark.createDataFrame([("red", "crimson"), ("blue", "azure sky"), ("large", "big")], "old string, new string")
+    hits = names.join(F.broadcast(rules), F.array_contains("tokens", F.col("old")))
+    made = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.when(t == F.col("old"), F.split("new", " ")).otherwise(F.array(t)))))
+    return hits.select("p_partkey", "old", F.array_join(made, " ").alias("expanded"))
+
+
+def term_lookup(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.createDataFrame([(loc, t) for text, loc in TEXTS for t in ("thing", "with", "from", "nicht", "dans")], "locale string, term string").distinct()
+    return D.lookup(D.terms(_index(spark, d), POLICY, check=False), wanted, 256).select("locale", "term", "document_frequency")
+
+
+def _misspelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vocabulary = D.terms(_index(spark, d, ("part",)), POLICY, check=False)
+    names = T.table(spark, d, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), X.normalize(F.col("p_name")).alias("query"))
+    # the third letter of every word is doubled, and every other query loses its second letters
+    return vocabulary, names.withColumn("query", F.when(F.col("query_id") % 2 == 0, F.regexp_replace("query", r"\b(\w\w)(\w)", "$1$2$2")).otherwise(F.regexp_replace("query", r"\b(\w)\w(\w)", "$1$2")))
+
+
+def spelling_options(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary, queries = _misspelled(spark, d)
+    return D.spelling_options(D.delete_index(vocabulary, POLICY), vocabulary, D.spelling_requests(queries, vocabulary, POLICY), POLICY)
+
+
+def spelling_corrections(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary, queries = _misspelled(spark, d)
+    return K.spelling_batch(queries, vocabulary, D.delete_index(vocabulary, POLICY), POLICY)
+
+
+def edit_distances(spark: SparkSession, d: str) -> DataFrame:
+    words = T.table(spark, d, "part").select(F.explode(X.tokens(X.normalize(F.col("p_name")))).alias("a")).distinct()
+    pairs = words.withColumn("b", F.concat(F.substring("a", 2, 1), F.substring("a", 1, 1), F.substring("a", 3, 100), F.lit("s")))
+    m = E.edit_distance(F.col("a"), F.col("b"), F.lit("en"))
+    return pairs.withColumn("m", m).select("a", "b", F.col("m.edits").cast("long").alias("edits"), F.col("m.cost").cast("long").alias("cost"))
+
+
+# --- SQL
+
+_TOKEN = X.TOKEN.replace("'", "''")
+
+
+def _norm(e: str) -> str:
+    return rf"trim(regexp_replace(lower({e}), '[\p{{Z}}\s]+', ' ', 'g'))"
+
+
+def _toks(e: str) -> str:
+    return f"regexp_extract_all(coalesce({e}, ''), '{_TOKEN}')"
+
+
+def _ordered(e: str) -> str:
+    """Distinct in first-seen order; quadratic, so for few rows only."""
+    return f"list_filter({_toks(e)}, lambda x, i: list_position({_toks(e)}, x) = i)"
+
+
+_DOCS = f"""
+  SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN 'public' ELSE 'archive' END AS partition, 'group:' || (doc_id // 4) AS source_key, 'document' AS source_type,
+    doc_id::VARCHAR AS source_id, coalesce(nullif(trim(lang), ''), 'und') AS locale, array_to_string(string_split_regex(text, '\\s+')[1:6], ' ') AS title, source AS keywords,
+    regexp_extract(text, '^[^.!?\\n]*') AS excerpt, text AS content, (doc_id % 3)::INTEGER AS priority, doc_id % 11 <> 0 AS is_active
+  FROM documents"""
+_PARTS = """
+  SELECT p_partkey + 20000000 AS id, 'public' AS partition, 'part:' || p_partkey AS source_key, 'product' AS source_type, (p_partkey + 20000000)::VARCHAR AS source_id, 'en' AS locale,
+    p_name AS title, p_brand AS keywords, p_type AS excerpt, concat_ws(' ', p_name, p_type) AS content, (p_size % 5)::INTEGER AS priority, true AS is_active
+  FROM part"""
+_PARTS = _PARTS.replace("(p_partkey + 20000000)::VARCHAR AS source_id", "p_partkey::VARCHAR AS source_id")
+
+
+def _corpus(*kinds: str) -> str:
+    raw = " UNION ALL ".join(kinds or (_DOCS, _PARTS))
+    fields = ", ".join(f"{_norm(f)} AS normalized_{f}" for f in T.FIELDS)
+    return f"raw_docs AS ({raw}), idx AS (SELECT id, partition, source_key, source_type, source_id, locale, title, excerpt, priority, is_active, {fields} FROM raw_docs)"
+
+
+_ROWS = [(k, 0, text, loc, text.split(), "original", 1000, f"f{k}") for k, (text, loc) in enumerate(TEXTS)] + [(0, 1, "the thing", "en", ["the", "thing"], "spelling", 700, "f0b"), (0, 2, "with was", "en", ["with", "was"], "synonym", 600, "f0c")]
+_V = "v(query_id, variant, query, locale, tokens, source, variant_priority, fingerprint) AS (VALUES " + ", ".join(f"({q}::BIGINT, {v}::INTEGER, '{t}', '{loc}', {w!r}::VARCHAR[], '{s}', {p}, '{f}')" for q, v, t, loc, w, s, p, f in _ROWS) + ")"
+_TERMS = "vt(query_id, variant, locale, term_at, term) AS (VALUES " + ", ".join(f"({q}::BIGINT, {v}::INTEGER, '{loc}', {i}, '{t}')" for q, v, text, loc, w, *_ in _ROWS for i, t in enumerate(dict.fromkeys([text, *w]))) + ")"
+_FOUND = "found AS (SELECT query_id, variant, id, " + "concat_ws(',', " + ", ".join(f"CASE WHEN bool_or(coalesce(contains(normalized_{f}, term), false)) THEN '{f}' END" for f in T.FIELDS) + ") AS fields, string_agg(term, ',' ORDER BY term_at) AS terms FROM idx JOIN vt USING (locale) WHERE is_active AND partition = 'public' AND (" + " OR ".join(f"contains(normalized_{f}, term)" for f in T.FIELDS) + ") GROUP BY ALL)"
+_FOUND = _FOUND.replace("GROUP BY ALL", "GROUP BY query_id, variant, id")
+_KEPT = f"""nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY id) AS n FROM found),
+kept AS (SELECT * FROM nth WHERE n <= {POLICY.per_variant_limit}),
+firsts AS (SELECT query_id, id, min(variant) AS first FROM kept GROUP BY query_id, id),
+arrived AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, id) AS arrival FROM firsts),
+ran AS (SELECT v.query_id, v.variant, (SELECT count(*) FROM firsts f WHERE f.query_id = v.query_id AND f.first < v.variant) < {POLICY.maximum_candidates} AS runs FROM v),
+cand AS (SELECT k.query_id, k.variant, k.id, k.fields, k.terms FROM kept k JOIN arrived a ON a.query_id = k.query_id AND a.id = k.id AND a.arrival <= {POLICY.maximum_candidates} JOIN ran r ON r.query_id = k.query_id AND r.variant = k.variant AND r.runs)"""
+_SEARCH = f"{_corpus()}, {_V}, {_TERMS}, {_FOUND}, {_KEPT}"
+
+
+def _tier_case(what: int) -> str:
+    """0: tier name, 1: matched tokens."""
+    n = "len(tokens)"
+    out = f"CASE WHEN normalized_title = query THEN {(repr('exact_title'), n)[what]} "
+    for f in T.FIELDS:
+        t = f"t_{f}"
+        hit = f"len(list_intersect(tokens, {t}))"
+        if f == "title":
+            out += f"WHEN {t}[1:{n}] = tokens THEN {(repr('title_prefix'), n)[what]} "
+        at = f"list_position({t}, tokens[1])"
+        out += f"WHEN {at} > 0 AND {t}[{at}:{at} + {n} - 1] = tokens THEN {(repr(f + '_phrase'), n)[what]} WHEN {hit} = {n} THEN {(repr(f + '_all_tokens'), n)[what]} WHEN {hit} > 0 THEN {(repr(f + '_any_token'), hit)[what]} "
+    return out + "END"
+
+
+_TIERS = "tiers(tier, tier_at, score) AS (VALUES " + ", ".join(f"('{t}', {i}, {POLICY.tier_scores[t]})" for i, t in enumerate(POLICY.tier_scores)) + ")"
+_RANK = f"""{_SEARCH}, {_TIERS},
+toks AS (SELECT id, {", ".join(f"{_ordered(f'normalized_{f}')} AS t_{f}" for f in T.FIELDS)} FROM idx WHERE id IN (SELECT id FROM cand)),
+pairs AS (SELECT c.query_id, c.variant, c.id, v.query, v.tokens, v.variant_priority, v.fingerprint, i.* EXCLUDE (id), t.* EXCLUDE (id) FROM cand c JOIN idx i USING (id) JOIN toks t USING (id) JOIN v ON v.query_id = c.query_id AND v.variant = c.variant),
+tiered AS (SELECT *, {_tier_case(0)} AS tier, {_tier_case(1)} AS matched FROM pairs),
+scored AS (SELECT t.*, s.tier_at, s.score, CASE WHEN t.tier LIKE '%any_token' THEN matched * 10000 // len(tokens) ELSE 10000 END AS coverage FROM tiered t JOIN tiers s USING (tier)),
+bests AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY tier_at, score DESC, variant_priority DESC, coverage DESC, matched DESC, fingerprint) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier_at, variant_priority DESC, coverage DESC, matched DESC, priority DESC, CASE WHEN coalesce(title, '') = '' THEN 2147483647 ELSE length(title) END, source_key, partition, locale, id) AS place FROM bests)"""
+
+_ENTITIES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "''"), ("&amp;", "&"))
+
+
+def _sanitized(e: str) -> str:
+    for name, char in _ENTITIES:
+        e = f"replace({e}, '{name}', '{char}')"
+    for tag in ("script", "style", "noscript", "template"):
+        e = rf"regexp_replace({e}, '(?is)<\s*{tag}\b[^>]*>.*?(?:<\s*/\s*{tag}\s*>|$)', ' ', 'g')"
+    e = rf"regexp_replace({e}, '(?s)<!--.*?(?:-->|$)', '', 'g')"
+    e = rf"regexp_replace({e}, '(?i)<\s*/?\s*(?:h[1-6]|article|section|header|footer|blockquote|table|div|pre|br|td|th|tr|li|p)\b[^>]*>', ' ', 'g')"
+    e = rf"regexp_replace({e}, '<[^\s>][^>]*>?', '', 'g')"
+    e = rf"regexp_replace({e}, '[\x{{200B}}-\x{{200D}}]', ' ', 'g')"
+    e = rf"regexp_replace({e}, '[\p{{Z}}\x09-\x0D\x{{85}}]+', ' ', 'g')"
+    e = rf"regexp_replace({e}, '[\x00-\x08\x0E-\x1F\x7F-\x{{84}}\x{{86}}-\x{{9F}}\x{{200E}}\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}\x{{FEFF}}]', '', 'g')"
+    return f"trim(regexp_replace({e}, ' +', ' ', 'g'))"
+
+
+_DICT = f"""flat AS (SELECT locale, id, unnest(list_distinct({_toks('f.value')})) AS term, f.field FROM idx, LATERAL (VALUES ('title', normalized_title), ('keywords', normalized_keywords), ('excerpt', normalized_excerpt), ('content', normalized_content)) AS f(field, value) WHERE is_active),
+dict AS (SELECT locale, term, count(DISTINCT id) AS document_frequency, count(*) FILTER (field = 'title') AS title_frequency, count(*) FILTER (field = 'keywords') AS keyword_frequency, count(*) FILTER (field = 'excerpt') AS excerpt_frequency, count(*) FILTER (field = 'content') AS content_frequency FROM flat WHERE length(term) BETWEEN 4 AND 64 GROUP BY locale, term)"""
+_GRAMS = f"""parts AS (SELECT locale, id, f.k, {_toks('f.value')} AS l FROM idx, LATERAL (VALUES (0, normalized_title), (1, normalized_keywords), (2, normalized_excerpt), (3, normalized_content)) AS f(k, value) WHERE is_active),
+spread AS (SELECT locale, id, k, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM parts),
+uniq AS (SELECT locale, id, k, t, min(pos) AS pos FROM spread GROUP BY locale, id, k, t),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY pos) AS pl, lead(t) OVER (PARTITION BY id, k ORDER BY pos) AS nxt FROM uniq),
+safe AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, pl) AS g FROM placed WHERE pl < {POLICY.ngram_terms} AND nxt IS NOT NULL AND regexp_matches(t, '^[\\p{{L}}\\p{{M}}]+(?:[''’][\\p{{L}}\\p{{M}}]+)*$') AND regexp_matches(nxt, '^[\\p{{L}}\\p{{M}}]+(?:[''’][\\p{{L}}\\p{{M}}]+)*$')),
+grams AS (SELECT locale, t || ' ' || nxt AS gram, count(DISTINCT id) AS document_frequency, count(*) FILTER (k = 0) AS title_frequency, count(*) FILTER (k = 1) AS keyword_frequency FROM safe WHERE g <= {POLICY.ngrams_per_document} GROUP BY locale, gram)"""
+_NEXT = """nxt AS (SELECT source_key, CASE WHEN id % 5 = 0 THEN title || ' new' ELSE title END AS title, id FROM idx WHERE id % 7 <> 0
+  UNION ALL SELECT 'added:' || id, title, id FROM idx WHERE id % 50 = 1),
+dif AS (SELECT coalesce(o.source_key, n.source_key) AS source_key, CASE WHEN o.source_key IS NULL THEN 'created' WHEN n.source_key IS NULL THEN 'deleted' WHEN o.title = n.title THEN 'unchanged' ELSE 'updated' END AS action FROM idx o FULL JOIN nxt n ON o.source_key = n.source_key)"""
+
+
+def _framed(*names: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {n} IS NULL THEN '-;' ELSE strlen(({n})::VARCHAR)::VARCHAR || ':' || ({n})::VARCHAR || ';' END" for n in names) + ")"
+
+
+def _remapped(e: str) -> str:
+    plain = {k: v for k, v in E.KEYBOARD.items() if len(v) == 1}
+    old, new = "".join(plain).replace("'", "''"), "".join(plain.values()).replace("'", "''")
+    return f"replace(translate(replace({e}, 'R', chr(1)), '{old}', '{new}'), chr(1), '{E.KEYBOARD['R']}')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    everything, parts, docs = _corpus(), _corpus(_PARTS), _corpus(_DOCS)
+    sound = " UNION ALL ".join(
+        f"SELECT token, substr(token, 1, i - 1) || '{new}' || substr(token, i + {len(old)}) AS alternative, {cost}::BIGINT AS cost, '{old}>{new}' AS rule FROM w, LATERAL (SELECT unnest(range(1, length(token) + 1)) AS i) WHERE substr(token, i, {len(old)}) = '{old}'" for old, new, cost in E._SPELLINGS
+    )
+    names = f"w AS (SELECT DISTINCT unnest({_toks(_norm('p_name'))}) AS token FROM part)"
+    return {
+        "text_sanitize": f"SELECT page_id, {_sanitized('html')} AS sanitized FROM pages",
+        "text_prepare": f"WITH n AS (SELECT doc_id, {_norm('text')} AS x FROM documents), t AS (SELECT doc_id, x, list_sort(list_distinct({_toks('x')})) AS l FROM n) SELECT doc_id, md5(x) AS normalized_md5, len(l)::BIGINT AS n_tokens, md5(array_to_string(l, ' ')) AS tokens_md5 FROM t",
+        "search_process": rf"""WITH q AS (SELECT item_id AS query_id, text, {_sanitized("substr(coalesce(text, ''), 1, 200)")} AS clean FROM benchmark), n AS (SELECT *, {_norm('clean')} AS normalized FROM q), t AS (SELECT *, ({_ordered('normalized')})[1:20] AS l FROM n)
+SELECT query_id, normalized, array_to_string(l, ' ') AS searchable, CASE WHEN clean = '' THEN 'empty' WHEN NOT regexp_matches(normalized, '[\p{{L}}\p{{N}}]') THEN 'punctuation_only' WHEN length(normalized) < 2 OR len(l) = 0 THEN 'too_short' ELSE 'ready' END AS status, length(coalesce(text, '')) > 200 AS truncated FROM t""",
+        "search_candidates": f"WITH {_SEARCH} SELECT * FROM cand",
+        "search_truncation": f"""WITH {_SEARCH}, lim AS (SELECT query_id, bool_or(r.runs) AS limited FROM nth n JOIN ran r USING (query_id, variant) WHERE n.n > {POLICY.per_variant_limit} GROUP BY query_id),
+tot AS (SELECT query_id, count(*) AS n FROM firsts GROUP BY query_id)
+SELECT r.query_id, concat_ws(',', CASE WHEN max(coalesce(l.limited, false)) THEN 'per_variant_limit' END, CASE WHEN max(coalesce(t.n, 0)) >= {POLICY.maximum_candidates} THEN 'global_candidate_limit' END, CASE WHEN count(*) FILTER (NOT r.runs) > 0 THEN 'unexecuted_variants' END) AS reasons, count(*) FILTER (r.runs) AS executed
+FROM ran r LEFT JOIN lim l USING (query_id) LEFT JOIN tot t USING (query_id) GROUP BY r.query_id""",
+        "search_ranked": f"WITH {_RANK} SELECT query_id, place, id, variant, tier, score, matched, coverage FROM ranked",
+        "search_page": f"WITH {_RANK} SELECT query_id, place, id FROM ranked WHERE place > 7 AND place <= 14",
+        "search_facets": f"WITH {_RANK} SELECT query_id, 'source_type' AS field, source_type AS value, count(*) AS n FROM ranked GROUP BY query_id, source_type UNION ALL SELECT query_id, 'locale', locale, count(*) FROM ranked GROUP BY query_id, locale",
+        "search_groups": f"WITH {_RANK}, g AS (SELECT *, count(*) OVER w AS group_count, min(place) OVER w AS f, row_number() OVER (PARTITION BY query_id, source_type ORDER BY place) AS k FROM ranked WINDOW w AS (PARTITION BY query_id, source_type)) SELECT query_id, dense_rank() OVER (PARTITION BY query_id ORDER BY f) AS group_place, source_type, group_count, place, id FROM g WHERE k <= 3",
+        "search_preview": f"WITH {_RANK}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY place) AS k FROM ranked) SELECT query_id, place, id, source_type FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k > 2, place) <= 8",
+        "search_bridge": f"""WITH {docs}, u AS (SELECT * FROM idx WHERE is_active QUALIFY row_number() OVER (PARTITION BY partition, source_key, locale ORDER BY id) = 1), h AS (SELECT *, row_number() OVER (ORDER BY id) AS p FROM u WHERE locale = 'fr'),
+j AS (SELECT h.id, h.p, coalesce(e.id, h.id) AS presented_id, CASE WHEN e.id IS NULL THEN 'counterpart_missing' ELSE 'bridged' END AS bridge_status FROM h LEFT JOIN u e ON e.locale = 'en' AND e.partition = h.partition AND e.source_key = h.source_key)
+SELECT id, presented_id, bridge_status, row_number() OVER (ORDER BY p) AS place FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY presented_id ORDER BY p) = 1)""",
+        "search_coverage": f"WITH {everything}, {_V}, c AS (SELECT v.query_id, v.variant, v.tokens, i.id, {', '.join(f'i.normalized_{f}' for f in T.FIELDS)} FROM v JOIN idx i ON i.locale = v.locale AND i.is_active AND i.partition = 'public'), h AS (SELECT query_id, variant, count(*) AS n FROM c WHERE len(list_filter(tokens, lambda t: contains(coalesce(normalized_title, ''), t) OR contains(coalesce(normalized_keywords, ''), t) OR contains(coalesce(normalized_excerpt, ''), t) OR contains(coalesce(normalized_content, ''), t))) = len(tokens) GROUP BY query_id, variant) SELECT v.query_id, v.variant, least(coalesce(h.n, 0), 300) AS n, coalesce(h.n, 0) > 300 AS approximate FROM v LEFT JOIN h USING (query_id, variant)",
+        "dictionary_terms": f"WITH {everything}, {_DICT} SELECT * FROM dict",
+        "dictionary_deletes": f"""WITH {parts}, {_DICT}, k0 AS (SELECT locale, term, CASE WHEN length(term) < 8 THEN 1 ELSE 2 END AS m FROM dict),
+k1 AS (SELECT DISTINCT locale, term, m, substr(term, 1, i - 1) || substr(term, i + 1) AS k FROM k0, LATERAL (SELECT unnest(range(1, length(term) + 1)) AS i)),
+k2 AS (SELECT DISTINCT locale, term, substr(k, 1, i - 1) || substr(k, i + 1) AS k FROM k1, LATERAL (SELECT unnest(range(1, length(k) + 1)) AS i) WHERE m = 2)
+SELECT locale, term, term AS delete_key, 0::BIGINT AS distance FROM k0 UNION ALL SELECT locale, term, k, 1 FROM k1 UNION ALL SELECT locale, term, k, 2 FROM k2""",
+        "dictionary_bigrams": f"WITH {everything}, {_GRAMS} SELECT locale, sha256(gram) AS gram_hash, gram, document_frequency, title_frequency, keyword_frequency FROM grams",
+        "index_status": f"WITH {everything}, s AS (SELECT 'all' AS dimension, '' AS value, is_active FROM idx UNION ALL SELECT 'source_type', source_type, is_active FROM idx UNION ALL SELECT 'locale', locale, is_active FROM idx UNION ALL SELECT 'partition', partition, is_active FROM idx) SELECT dimension, value, count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (NOT is_active) AS inactive FROM s GROUP BY dimension, value",
+        "dictionary_status": f"WITH {everything}, {_DICT}, {_GRAMS}, d AS (SELECT locale, count(*) AS documents FROM idx WHERE is_active GROUP BY locale), t AS (SELECT locale, count(*) AS terms, sum(document_frequency)::BIGINT AS occurrences FROM dict GROUP BY locale), g AS (SELECT locale, count(*) AS ngrams FROM grams GROUP BY locale) SELECT locale, coalesce(documents, 0) AS documents, coalesce(terms, 0) AS terms, coalesce(occurrences, 0) AS occurrences, coalesce(ngrams, 0) AS ngrams FROM d FULL JOIN t USING (locale) FULL JOIN g USING (locale)",
+        "document_hashes": f"WITH {parts} SELECT id, {_framed('partition', 'source_key', 'source_type', 'source_id', 'locale', 'title', 'excerpt', 'normalized_title', 'normalized_keywords', 'normalized_excerpt', 'normalized_content', chr(39) + '{}' + chr(39), 'priority', 'is_active')} AS document_hash FROM idx",
+        "index_diff": f"WITH {parts}, {_NEXT} SELECT source_key, action FROM dif",
+        "index_replace": f"WITH {parts}, {_NEXT} SELECT source_key, title FROM nxt UNION ALL SELECT source_key, title FROM idx WHERE source_key NOT IN (SELECT source_key FROM nxt)",
+        "index_report": f"WITH {parts}, {_NEXT} SELECT count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'deleted') AS deleted, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) AS documents, count(DISTINCT source_key) AS sources FROM dif",
+        "index_upsert": f"WITH {parts} SELECT id, CASE WHEN id % 11 = 0 THEN 99 ELSE priority END AS priority FROM idx",
+        "index_delete": f"WITH {everything} SELECT id FROM idx WHERE NOT (source_type = 'product' AND locale = 'en')",
+        "index_conflicts": f"WITH {docs} SELECT partition, source_key FROM idx GROUP BY partition, source_key HAVING count(DISTINCT source_id) > 1",
+        "index_prune": f"WITH {docs} SELECT partition, source_key, count(*) AS documents FROM idx GROUP BY partition, source_key HAVING count(*) FILTER (id % 3 <> 0) = 0",
+        "index_ownership": f"WITH {docs} SELECT partition, source_key, source_type, count(*) AS documents, count(DISTINCT source_id) > 1 AS conflict FROM idx GROUP BY partition, source_key, source_type",
+        "doctor_sample": f"WITH {parts} SELECT id, id % 4 <> 0 AS sound FROM idx ORDER BY id LIMIT 100",
+        "feed_state": "SELECT user_id, event_id, event_type, event_type <> 'purchase' AS present FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+        "feed_synchronize": f"WITH {parts}, {_NEXT}, ch AS (SELECT DISTINCT 'part:' || user_id AS source_key FROM events) SELECT source_key, title FROM idx WHERE source_key NOT IN (SELECT source_key FROM ch) UNION ALL SELECT source_key, title FROM nxt WHERE source_key IN (SELECT source_key FROM ch)",
+        "dependency_targets": "SELECT DISTINCT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 500 IN (0, 1))",
+        "hydrate": f"WITH {_RANK} SELECT r.query_id, r.place, r.id, d.source, d.n_chars FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE r.source_type = 'document' AND r.place <= 5",
+        "keyboard_remap": f"SELECT p_partkey, {_remapped('p_name')} AS remapped FROM part",
+        "phonetic_alternatives": f"WITH {names}, a AS ({sound}) SELECT * FROM a",
+        "synonym_windows": f"WITH n AS (SELECT p_partkey, {_ordered(_norm('p_name'))} AS l FROM part), r(old, new) AS (VALUES ('red', 'crimson'), ('blue', 'azure sky'), ('large', 'big')) SELECT p_partkey, old, array_to_string(list_transform(l, lambda t: CASE WHEN t = old THEN new ELSE t END), ' ') AS expanded FROM n JOIN r ON list_contains(l, old)",
+        "term_lookup": f"WITH {everything}, {_DICT} SELECT locale, term, document_frequency FROM dict WHERE locale IN ('en', 'fr', 'de', 'es') AND term IN ('thing', 'with', 'from', 'nicht', 'dans')",
+    }
+
+
+def queries() -> dict[str, Query]:
+    found = (
+        text_sanitize, text_prepare, search_process, search_candidates, search_truncation, search_ranked, search_page, search_facets, search_groups, search_preview, search_bridge,
+        search_coverage, hydrate, dictionary_terms, dictionary_deletes, dictionary_bigrams, dictionary_status, term_lookup, spelling_options, spelling_corrections, edit_distances,
+        keyboard_remap, phonetic_alternatives, synonym_windows, index_status, document_hashes, index_diff, index_replace, index_report, index_upsert, index_delete, index_conflicts,
+        index_prune, index_ownership, doctor_sample, feed_state, feed_synchronize, dependency_targets,
+    )
+    return {f.__name__: f for f in found}
