@@ -7,9 +7,9 @@ share of equal coordinates, an estimate of their Jaccard similarity, reaches ``t
 Chosen paths: a node of the recursion samples ``BRANCH`` coordinates by a hash of its path, shared by all sets, and a set goes to
 the child named by its value there. Similar sets stay together with a probability that the depth and the similarity
 fix, so the number of runs follows from the target recall. The first ``DEPTH`` levels need no data but the set itself and
-are walked at once; nodes with more than ``small`` sets go on level by level, the others are compared in full. A node
-that is still large at ``deepest`` holds near-identical sets: all are compared with one pivot, and those that aren't
-linked to it with all the others, in blocks.
+are walked at once. Nodes of at most ``small`` sets are compared in full. In a larger node all are compared with one pivot; if
+it leaves at most ``small`` sets unlinked, these are compared with all the others, in blocks, and the node is done. Otherwise
+it holds different groups and is split further, level by level, down to ``deepest``, where the blocks finish it anyway.
 
 Exact copies are collapsed first, so a group of copies is one set. Links within nodes become star edges; connected
 components are found by alternating large and small stars. No list of all pairs of a group exists at any time;
@@ -205,26 +205,31 @@ def _star_edges(least: int) -> Callable[[pa.Table], list[tuple]]:
     return run
 
 
-def _all_edges(nodes: DataFrame, sets: DataFrame, least: int, block: int) -> DataFrame:
-    """Star edges of nodes that stay large: to a pivot, then what the pivot leaves against everyone, block by block."""
-    members = nodes.join(sets.select("uid", "sig"), "uid")
-    pivots = nodes.groupBy("node").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("n"))
+def _judged(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """(node, uid, pivot, near): every set of a large node against one of them, the pivot. Written."""
+    pivots = members.groupBy("node").agg(F.min("uid").alias("pivot"))
     pivot_sig = pivots.join(sets.select(F.col("uid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
 
     def same(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array((_matrix(a) == _matrix(b)).sum(1) >= least)
 
     same.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    judged = materialize(members.join(pivot_sig, "node").withColumn("near", F.arrow_udf(same, "boolean")("sig", "pivot_sig")).select("node", "uid", "sig", "pivot", "n", "near"), "pivots")
-    edges = judged.where("near and uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
-    far = judged.where("not near").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    if far.isEmpty():
-        return edges
+    wide = members.join(sets.select("uid", "sig"), "uid").join(pivot_sig, "node")
+    return materialize(wide.select("node", "uid", "pivot", F.arrow_udf(same, "boolean")("sig", "pivot_sig").alias("near")), "pivots")
+
+
+def _far_edges(judged: DataFrame, far: DataFrame, sets: DataFrame, block: int) -> Callable[[int], DataFrame]:
+    """Star edges of what a pivot leaves against everyone of its node, block by block; far (node, m) names the nodes."""
     parts = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
-    every = judged.join(far, "node").select("node", "uid", "sig", "near", (F.pmod(F.xxhash64("uid"), parts("n"))).cast("int").alias("j"), (F.pmod(F.xxhash64("uid", F.lit(1)), parts("m"))).cast("int").alias("i"), parts("n").alias("js"), parts("m").alias("is"))
-    asking = every.where("not near").select("node", F.col("i").cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("js").cast("long") - 1)).alias("j"), "uid", "sig", F.lit(1).cast("long").alias("asks"))
-    asked = every.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is").cast("long") - 1)).alias("i"), F.col("j").cast("long").alias("j"), "uid", "sig", F.lit(0).cast("long").alias("asks"))
+    sizes = judged.join(far.select("node"), "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    placed = judged.join(far.join(sizes, "node"), "node").select("node", "uid", "near", F.pmod(F.xxhash64("uid"), parts("n")).cast("long").alias("j"), F.pmod(F.xxhash64("uid", F.lit(1)), parts("m")).cast("long").alias("i"), parts("n").cast("long").alias("js"), parts("m").cast("long").alias("is"))
+    every = placed.join(sets.select("uid", "sig"), "uid")
+    asking = every.where("not near").select("node", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("js") - 1)).alias("j"), "uid", "sig", F.lit(1).cast("long").alias("asks"))
+    asked = every.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is") - 1)).alias("i"), "j", "uid", "sig", F.lit(0).cast("long").alias("asks"))
+    return lambda least: by_group(asking.unionByName(asked), ["node", "i", "j"], _forest(least), "a long, b long")
+
 
+def _forest(least: int) -> Callable[[pa.Table], list[tuple]]:
     def run(table: pa.Table) -> list[tuple]:
         uid, asks, sig = np.asarray(table.column("uid")), np.asarray(table.column("asks")) == 1, _matrix(table.column("sig"))
         one, all_ = uid[asks], uid[~asks]
@@ -242,7 +247,7 @@ def _all_edges(nodes: DataFrame, sets: DataFrame, least: int, block: int) -> Dat
                 label[max(a, b)] = min(a, b)
         return [(top(u), u) for u in label if top(u) != u]
 
-    return edges.unionByName(by_group(asking.unionByName(asked), ["node", "i", "j"], run, "a long, b long"))
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,16 +305,22 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngr
 
     rows, found, buckets = _walk(sets, runs_for(threshold, recall)), [], []
     for depth in range(DEPTH, deepest + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = rows.join(sizes, "node")
-        buckets.append(materialize(sized.where(F.col("n") <= small).groupBy("node").agg(F.sort_array(F.collect_set("uid")).alias("m")).where(F.size("m") > 1).groupBy(F.xxhash64("m").alias("g")).agg(F.first("m").alias("m")), "buckets"))
-        big = materialize(sized.where(F.col("n") > small).select("node", "uid").distinct(), "large")
+        big = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("node"), "large")
+        few = rows.join(big, "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_set("uid")).alias("m")).where(F.size("m") > 1)
+        buckets.append(materialize(few.groupBy(F.xxhash64("m").alias("g")).agg(F.first("m").alias("m")), "buckets"))
         if big.isEmpty():
             break
-        if depth == deepest:
-            found.append(_all_edges(big, sets, least, block))
-        else:
-            rows = materialize(_deeper(big, sets), "paths")
+        members = materialize(rows.join(big, "node", "left_semi").distinct(), "members")
+        judged = _judged(members, sets, least)
+        found.append(judged.where("near and uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct())
+        far = materialize(judged.where("not near").groupBy("node").agg(F.count(F.lit(1)).alias("m")), "far")
+        ends = far if depth == deepest else far.where(F.col("m") <= small)
+        if not ends.isEmpty():
+            found.append(_far_edges(judged, ends, sets, block)(least))
+        open_ = far.where(F.col("m") > small)
+        if depth == deepest or open_.isEmpty():
+            break
+        rows = materialize(_deeper(members.join(open_.select("node"), "node", "left_semi"), sets), "paths")
     leaves = buckets[0]
     for b in buckets[1:]:
         leaves = leaves.unionByName(b)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lexaloom.llm import near_join as N
 from lexaloom.llm.decontaminate import words_of
 
@@ -73,8 +75,10 @@ def test_far_from_the_pivot(spark):
     rows = [(i, " ".join(words[i * 3 : i * 3 + 60])) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     table = N.signatures(df, id_col="doc_id", text_col="text", ngram=5)
-    nodes = table.selectExpr("1L AS node", "uid")
-    edges = N._all_edges(nodes, table, 52, 16)
+    judged = N._judged(table.selectExpr("1L AS node", "uid"), table, 52)
+    far = judged.where("not near").groupBy("node").agg(F.count("*").alias("m"))
+    near = judged.where("near and uid <> pivot").selectExpr("pivot AS a", "uid AS b")
+    edges = near.unionByName(N._far_edges(judged, far, table, 16)(52))
     assert N.components(edges).select("label").distinct().count() == 1
 
 
