@@ -38,7 +38,7 @@ def _variants(spark: SparkSession) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    index, variants = _index(spark, d), _variants(spark)
+    index, variants = _index(spark, d, tokens=False), _variants(spark)
     return index, variants, *S.retrieve(index, variants, policy=POLICY, partition="public")
 
 
@@ -95,7 +95,7 @@ def search_preview(spark: SparkSession, d: str) -> DataFrame:
 
 def _unique_index(spark: SparkSession, d: str) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(*L.IDENTITY).orderBy("id"))
-    return _index(spark, d, ("documents",)).where("is_active").withColumn("nth", first).where("nth = 1").drop("nth")
+    return _index(spark, d, ("documents",), tokens=False).where("is_active").withColumn("nth", first).where("nth = 1").drop("nth")
 
 
 def search_bridge(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def search_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_coverage(spark: SparkSession, d: str) -> DataFrame:
-    index, variants = _index(spark, d), _variants(spark)
+    index, variants = _index(spark, d, tokens=False), _variants(spark)
     return S.full_coverage(S.matches(index, variants, policy=POLICY, partition="public", bounded=False), variants, 300)
 
 

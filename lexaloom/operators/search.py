@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexaloom.functions.text import basis_points, id_order
 from lexaloom.plans.policy import DEFAULT, REASONS, TIERS, Policy
-from lexaloom.sources.tables import FIELDS
+from lexaloom.sources.tables import FIELDS, with_tokens
 
 VARIANT_SCHEMA = "query_id long, variant int, query string, locale string, tokens array<string>, source string, priority int, fingerprint string, parent string"
 #: So many variant terms may be broadcast; beyond them the join is left to the optimizer.
@@ -97,7 +97,10 @@ def tier(query: Column, query_tokens: Column) -> tuple[Column, Column, Column]:
 def variant_ranks(candidates: DataFrame, index: DataFrame, variants: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """A row for each candidate and variant with evidence whose tokens match: tier, score, matched, coverage."""
     unique = variants.withColumn("q", F.array_distinct("tokens"))
-    rows = candidates.join(index, "id").join(unique.select("query_id", "variant", "query", "q", F.col("source").alias("variant_source"), "fingerprint", F.col("priority").alias("variant_priority")), ["query_id", "variant"])
+    found = candidates.join(index, "id")
+    if "title_tokens" not in index.columns:  # an index without stored tokens: of the candidates only
+        found = with_tokens(found)
+    rows = found.join(unique.select("query_id", "variant", "query", "q", F.col("source").alias("variant_source"), "fingerprint", F.col("priority").alias("variant_priority")), ["query_id", "variant"])
     t, matched, coverage = tier(F.col("query"), F.col("q"))
     scores = F.array(*[F.lit(policy.tier_scores[x]) for x in TIERS])
     names = F.array(*[F.lit(x) for x in TIERS])
