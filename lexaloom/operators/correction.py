@@ -45,7 +45,6 @@ class Variant:
     fingerprint: str
     parent: str | None = None
     depth: int = 0
-    phonetic: int = 0
     keyboard: bool = False
     cost: int = 0
     note: tuple = ()
@@ -345,8 +344,7 @@ class Variants:
             if have.fingerprint == v.fingerprint:
                 return False
             if (have.locale, have.query) == (v.locale, v.query):
-                parents = {x.parent for x in self.items}
-                if have.source == "original" or v.priority <= have.priority or have.fingerprint in parents:
+                if have.source == "original" or v.priority <= have.priority:
                     return False
                 self.items[i] = v
                 return True
@@ -356,15 +354,30 @@ class Variants:
         return True
 
     def add_over_weaker(self, v: Variant) -> bool:
-        """Like ``add``, but a full collection gives up its weakest later leaf of lower priority."""
-        if not self.full or any((x.locale, x.query) == (v.locale, v.query) for x in self.items):
+        """Like ``add``, but a full collection gives up a leaf of lower priority that isn't an ancestor: the one
+        with the same (locale, query), else the weakest. The new one goes before the first of lower priority."""
+        if not self.full:
             return self.add(v)
-        parents = {x.parent for x in self.items} | {v.parent}
-        weak = [(x.priority, -i) for i, x in enumerate(self.items) if x.source != "original" and x.fingerprint not in parents and x.priority < v.priority]
-        if not weak:
+        by = {x.fingerprint: x for x in self.items}
+        if v.fingerprint in by:
             return False
-        del self.items[-min(weak)[1]]
-        self.items.append(v)
+        kept, at = {x.parent for x in self.items}, v.parent
+        lineage: set[str] = set()
+        while at is not None:
+            if at not in by or at in lineage:
+                return False
+            lineage.add(at)
+            at = by[at].parent
+        may_go = lambda x: x.source != "original" and x.fingerprint not in kept | lineage and x.priority < v.priority
+        twin = next((x for x in self.items if (x.locale, x.query) == (v.locale, v.query)), None)
+        if twin is not None and not may_go(twin):
+            return False
+        victim = twin or min(filter(may_go, self.items), key=lambda x: (x.priority, x.source, x.fingerprint), default=None)
+        if victim is None:
+            return False
+        rest = [x for x in self.items if x is not victim]
+        place = next((i for i, x in enumerate(rest) if x.priority < v.priority), len(rest))
+        self.items = [*rest[:place], v, *rest[place:]]
         return True
 
     def frame(self, spark: SparkSession, query_id: int = 0) -> DataFrame:

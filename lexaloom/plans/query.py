@@ -116,17 +116,21 @@ def expand(p: Processed, policy: Policy = DEFAULT, dictionary: K.Dictionary | No
             words = K.tokens_of(root.query)
             for s in K.spelling_corrections(words, dictionary.spelling(root.query, root.locale, policy), root.locale, policy):
                 operation = K.digest("spelling", root.fingerprint, root.query, s["query"], s["locale"])
-                v = K.derived(root, prefix + "spelling", s["query"], s["locale"], s["tokens"], policy, operation, depth=root.depth + len(s["fixed"]), cost=s["cost"])
+                v = K.derived(root, prefix + "spelling", s["query"], s["locale"], s["tokens"], policy, operation, cost=s["cost"])
                 if out.add(v):
                     fixed.append(v)
     if dictionary and (policy.phonetic or policy.segmentation):
-        kept = {v.fingerprint for v in out.items}
+        kept, done = {v.fingerprint for v in out.items}, set()
         for root in [*[v for v in fixed if v.fingerprint in kept], *[r for r, _ in roots]]:
-            left = policy.corrected_tokens - root.phonetic
-            for s in K.advanced_corrections(root.query, root.locale, dictionary, policy, left) if root.depth < policy.transformation_depth or root.source in ("spelling", "keyboard_spelling") else []:
+            if out.full or (root.locale, root.query) in done:
+                continue
+            done.add((root.locale, root.query))
+            for s in K.advanced_corrections(root.query, root.locale, dictionary, policy, min(policy.corrected_tokens, policy.transformation_depth)):
                 name = ("keyboard_" if root.keyboard else "") + s["kind"]
                 operation = K.digest("advanced", root.fingerprint, s["kind"], s["query"], s["locale"], s["cost"], len(s["changes"]))
-                out.add_over_weaker(K.derived(root, name, s["query"], s["locale"], K.tokens_of(s["query"]), policy, operation, depth=root.depth + len(s["changes"]), phonetic=root.phonetic + (len(s["changes"]) if s["kind"] == "phonetic" else 0), cost=root.cost + s["cost"]))
+                out.add(K.derived(root, name, s["query"], s["locale"], K.tokens_of(s["query"]), policy, operation, depth=len(s["changes"]), cost=s["cost"]))
+                if out.full:
+                    break
     if policy.synonyms:
         rules = K.synonym_rules(policy.synonyms, lambda t, loc: tokens(normalize(sanitize(t), loc)))
         for root, prefix in roots:
