@@ -334,13 +334,13 @@ def _sanitized(e: str) -> str:
     for name, char in _ENTITIES:
         e = f"replace({e}, '{name}', '{char}')"
     for tag in ("script", "style", "noscript", "template"):
-        e = rf"regexp_replace({e}, '(?is)<\s*{tag}\b[^>]*>.*?(?:<\s*/\s*{tag}\s*>|$)', ' ', 'g')"
+        e = rf"regexp_replace({e}, '(?is)<[\s]*{tag}\b[^>]*>(?:.*?<[\s]*/[\s]*{tag}[\s]*>|.*$)', ' ', 'g')"
     e = rf"regexp_replace({e}, '(?s)<!--.*?(?:-->|$)', '', 'g')"
     e = rf"regexp_replace({e}, '(?i)<\s*/?\s*(?:h[1-6]|article|section|header|footer|blockquote|table|div|pre|br|td|th|tr|li|p)\b[^>]*>', ' ', 'g')"
     e = rf"regexp_replace({e}, '<[^\s>][^>]*>?', '', 'g')"
     e = rf"regexp_replace({e}, '[\x{{200B}}-\x{{200D}}]', ' ', 'g')"
     e = rf"regexp_replace({e}, '[\p{{Z}}\x09-\x0D\x{{85}}]+', ' ', 'g')"
-    e = rf"regexp_replace({e}, '[\x00-\x08\x0E-\x1F\x7F-\x{{84}}\x{{86}}-\x{{9F}}\x{{200E}}\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}\x{{FEFF}}]', '', 'g')"
+    e = rf"regexp_replace({e}, '[\x{{FEFF}}\x{{2066}}-\x{{2069}}\x{{202A}}-\x{{202E}}\x{{200E}}-\x{{200F}}\x{{86}}-\x{{9F}}\x7F-\x{{84}}\x0E-\x1F\x00-\x08]', '', 'g')"
     return f"trim(regexp_replace({e}, ' +', ' ', 'g'))"
 
 
@@ -350,7 +350,7 @@ _GRAMS = f"""parts AS (SELECT locale, id, f.k, {_toks('f.value')} AS l FROM idx,
 spread AS (SELECT locale, id, k, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM parts),
 uniq AS (SELECT locale, id, k, t, min(pos) AS pos FROM spread GROUP BY locale, id, k, t),
 placed AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY pos) AS pl, lead(t) OVER (PARTITION BY id, k ORDER BY pos) AS nxt FROM uniq),
-safe AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, pl) AS g FROM placed WHERE pl < {POLICY.ngram_terms} AND nxt IS NOT NULL AND regexp_matches(t, '^[\\p{{L}}\\p{{M}}]+(?:[''’][\\p{{L}}\\p{{M}}]+)*$') AND regexp_matches(nxt, '^[\\p{{L}}\\p{{M}}]+(?:[''’][\\p{{L}}\\p{{M}}]+)*$')),
+safe AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, pl) AS g FROM placed WHERE pl < {POLICY.ngram_terms} AND nxt IS NOT NULL AND regexp_matches(t, '^[\\p{{M}}\\p{{L}}]+(?:[''’][\\p{{M}}\\p{{L}}]+)*$') AND regexp_matches(nxt, '^[\\p{{M}}\\p{{L}}]+(?:[''’][\\p{{M}}\\p{{L}}]+)*$')),
 grams AS (SELECT locale, t || ' ' || nxt AS gram, count(DISTINCT id) AS document_frequency, count(*) FILTER (k = 0) AS title_frequency, count(*) FILTER (k = 1) AS keyword_frequency FROM safe WHERE g <= {POLICY.ngrams_per_document} GROUP BY locale, gram)"""
 _NEXT = """nxt AS (SELECT source_key, CASE WHEN id % 5 = 0 THEN title || ' new' ELSE title END AS title, id FROM idx WHERE id % 7 <> 0
   UNION ALL SELECT 'added:' || id, title, id FROM idx WHERE id % 50 = 1),

@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*(?:['’][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*"
-HIDDEN_BLOCK = r"(?is)<\s*(script|style|noscript|template)\b[^>]*>.*?(?:<\s*/\s*\1\s*>|$)"
+_RUN = r"[\p{N}\p{L}][\p{N}\p{M}\p{L}]*"
+TOKEN = f"{_RUN}(?:['’]{_RUN})*"
+HIDDEN_BLOCK = r"(?is)<[\s]*(noscript|script|style|template)\b[^>]*>(?:.*?<[\s]*/[\s]*\1[\s]*>|.*$)"
 BLOCK_TAG = r"(?i)<\s*/?\s*(?:h[1-6]|article|section|header|footer|blockquote|table|div|pre|br|td|th|tr|li|p)\b[^>]*>"
 COMMENT, TAG = r"(?s)<!--.*?(?:-->|$)", r"<[^\s>][^>]*>?"
 JOINERS = "​‌‍"
 BLANKS = r"[\p{Z}\x09-\x0D\x{85}]+"
-INVISIBLE = r"[\x00-\x08\x0E-\x1F\x7F-\x{84}\x{86}-\x{9F}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
+INVISIBLE = r"[\x{FEFF}\x{2066}-\x{2069}\x{202A}-\x{202E}\x{200E}-\x{200F}\x{86}-\x{9F}\x7F-\x{84}\x0E-\x1F\x00-\x08]"
 _ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 #: Arabic letter shapes to Persian ones, and both sets of digits to ASCII; vowel signs and tatweel go.
 PERSIAN_FROM = "كيىآأإةؤ" + "۰۱۲۳۴۵۶۷۸۹" + "٠١٢٣٤٥٦٧٨٩"

@@ -21,8 +21,8 @@ from lexaloom.operators import dictionary as D
 from lexaloom.plans.policy import DEFAULT, Policy
 
 _TOKEN = regex.compile(TOKEN)
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_UNSAFE = regex.compile(r"(?i)[a-z][a-z0-9+.-]*://|www\.|@|_|[0-9][.,][0-9]|[\p{L}\p{N}]+-[\p{L}\p{N}]+|\p{L}\p{N}|\p{N}\p{L}")
+_WORD = regex.compile(r"[\p{M}\p{L}]+")
+_UNSAFE = regex.compile(r"(?i)@|_|www\.|[a-z][-+.a-z0-9]*://|\p{N}\p{L}|\p{L}\p{N}|[0-9][,.][0-9]|[\p{N}\p{L}]+-[\p{N}\p{L}]+")
 _BLANK = regex.compile(r"\h+")
 LONGEST = 191
 
