@@ -18,6 +18,8 @@ from lexaloom.sources.tables import FIELDS, with_tokens
 VARIANT_SCHEMA = "query_id long, variant int, query string, locale string, tokens array<string>, source string, priority int, fingerprint string, parent string"
 #: So many variant terms may be broadcast; beyond them the join is left to the optimizer.
 BROADCAST_TERMS = 100_000
+#: So many variants' candidates (a variant has at most ``per_variant_limit``) may be broadcast.
+BROADCAST_VARIANTS = 200
 
 
 def plan_terms(variants: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
@@ -50,23 +52,27 @@ def matches(index: DataFrame, variants: DataFrame, *, policy: Policy = DEFAULT,
     return out
 
 
-def retrieve(index: DataFrame, variants: DataFrame, *, policy: Policy = DEFAULT, **filters) -> tuple[DataFrame, DataFrame]:
+def retrieve(index: DataFrame, variants: DataFrame, *, policy: Policy = DEFAULT, found: DataFrame | None = None, **filters) -> tuple[DataFrame, DataFrame]:
     """Candidates (query_id, variant, id, fields, terms) and what was cut (query_id, reasons, executed).
 
     Equal to running the variants one after the other until the candidates are full: later variants don't run, and
-    within a running one only known documents gain evidence.
+    within a running one only known documents gain evidence. ``found`` may hold the rows of ``matches``.
     """
-    every = matches(index, variants, policy=policy, **filters)
-    kept = every.where(F.col("nth") <= policy.per_variant_limit).drop("nth")
-    first = kept.groupBy("query_id", "id").agg(F.min("variant").alias("first"))
-    arrival = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "id"))
-    arrived = first.withColumn("arrival", arrival)
-    counts = first.groupBy("query_id", "first").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ran = variants.select("query_id", "variant").join(counts.withColumnRenamed("first", "variant"), ["query_id", "variant"], "left").withColumn("before", before).withColumn("runs", F.col("before") < policy.maximum_candidates)
-    candidates = kept.join(arrived.where(F.col("arrival") <= policy.maximum_candidates).select("query_id", "id"), ["query_id", "id"]).join(ran.where("runs").select("query_id", "variant"), ["query_id", "variant"])
+    every = matches(index, variants, policy=policy, **filters) if found is None else found
+    doc, query = Window.partitionBy("query_id", "id"), Window.partitionBy("query_id")
+    kept = every.where(F.col("nth") <= policy.per_variant_limit).withColumn("first", F.min("variant").over(doc))
+    # windows instead of joins with aggregates: the matching scan occurs once in the plan
+    earlier = query.orderBy("variant").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum((F.col("variant") == F.col("first")).cast("long")).over(earlier), F.lit(0))
+    placed = kept.withColumn("arrival", F.dense_rank().over(query.orderBy("first", "id"))).withColumn("before", before)
+    candidates = placed.where((F.col("arrival") <= policy.maximum_candidates) & (F.col("before") < policy.maximum_candidates)).select("query_id", "variant", "id", "fields", "terms")
+
+    new = every.groupBy("query_id", "id").agg(F.min(F.when(F.col("nth") <= policy.per_variant_limit, F.col("variant"))).alias("variant"))
+    counts = new.where("variant is not null").groupBy("query_id", "variant").agg(F.count(F.lit(1)).alias("n"))
     over = every.where(F.col("nth") > policy.per_variant_limit).select("query_id", "variant").distinct().withColumn("over", F.lit(True))
-    told = ran.join(over, ["query_id", "variant"], "left").groupBy("query_id").agg(
+    ran = variants.select("query_id", "variant").join(counts, ["query_id", "variant"], "left").join(over, ["query_id", "variant"], "left")
+    seen = F.coalesce(F.sum("n").over(query.orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = ran.withColumn("runs", seen < policy.maximum_candidates).groupBy("query_id").agg(
         F.coalesce(F.max(F.col("over") & F.col("runs")), F.lit(False)).alias("limited"),
         (F.coalesce(F.sum("n"), F.lit(0)) >= policy.maximum_candidates).alias("full"),
         F.count_if(~F.col("runs")).alias("skipped"),
@@ -97,7 +103,9 @@ def tier(query: Column, query_tokens: Column) -> tuple[Column, Column, Column]:
 def variant_ranks(candidates: DataFrame, index: DataFrame, variants: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """A row for each candidate and variant with evidence whose tokens match: tier, score, matched, coverage."""
     unique = variants.withColumn("q", F.array_distinct("tokens"))
-    found = candidates.join(index, "id")
+    # at most per_variant_limit candidates a variant; the stored fields of other documents are then never evaluated
+    few = variants.limit(BROADCAST_VARIANTS + 1).count() <= BROADCAST_VARIANTS
+    found = index.join(F.broadcast(candidates) if few else candidates, "id")
     if "title_tokens" not in index.columns:  # an index without stored tokens: of the candidates only
         found = with_tokens(found)
     rows = found.join(unique.select("query_id", "variant", "query", "q", F.col("source").alias("variant_source"), "fingerprint", F.col("priority").alias("variant_priority")), ["query_id", "variant"])

@@ -123,7 +123,10 @@ class Search:
             for c in C.corrections(list(variants.items), e.dictionary, count, policy, preview):
                 variants.add_over_weaker(c["variant"])
         frame = variants.frame(spark)
-        candidates, told = S.retrieve(e.index, frame, policy=policy, **self._filters())
+        # a bounded table (variants times their limit), read by several steps
+        matched = S.matches(e.index, frame, policy=policy, **self._filters())
+        matched = spark.createDataFrame(matched.collect(), matched.schema)
+        candidates, told = S.retrieve(e.index, frame, policy=policy, found=matched)
         said = told.first()
         reasons = tuple(said.reasons) if said else ()
         window = S.bridge(S.rank(candidates, e.index, frame, policy), e.index, p.locale, policy)

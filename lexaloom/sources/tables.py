@@ -15,8 +15,18 @@ HASHED = COLUMNS[1:]
 FIELDS = ("title", "keywords", "excerpt", "content")
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out to all cores: a small file's one row group is one task. Larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def build_documents(rows: DataFrame, *, id: Column, source_id: Column, source_key: Column, source_type: str, locale: Column, title: Column, content: Column, keywords: Column | None = None, excerpt: Column | None = None, partition: Column | None = None, priority: Column | None = None, is_active: Column | None = None, payload: Column | None = None, html: bool = False) -> DataFrame:
