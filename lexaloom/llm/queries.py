@@ -7,14 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexaloom.llm import chat, decontaminate, fingerprints, language, mixing, near_join, passage_dedup, substring_dedup, token_files, url_filter
+from lexaloom.sources.tables import table as _table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": lambda spark, d: language.query(_table(spark, d, "documents")),
