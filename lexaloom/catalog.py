@@ -361,6 +361,9 @@ def _framed(*names: str) -> str:
     return "sha256(" + " || ".join(f"CASE WHEN {n} IS NULL THEN '-;' ELSE strlen(({n})::VARCHAR)::VARCHAR || ':' || ({n})::VARCHAR || ';' END" for n in names) + ")"
 
 
+_HASHED = ["'{}'" if c == "payload" else c for c in T.HASHED]
+
+
 def _remapped(e: str) -> str:
     plain = {k: v for k, v in E.KEYBOARD.items() if len(v) == 1}
     old, new = "".join(plain).replace("'", "''"), "".join(plain.values()).replace("'", "''")
@@ -400,7 +403,7 @@ SELECT locale, term, term AS delete_key, 0::BIGINT AS distance FROM k0 UNION ALL
         "dictionary_bigrams": f"WITH {everything}, {_GRAMS} SELECT locale, sha256(gram) AS gram_hash, gram, document_frequency, title_frequency, keyword_frequency FROM grams",
         "index_status": f"WITH {everything}, s AS (SELECT 'all' AS dimension, '' AS value, is_active FROM idx UNION ALL SELECT 'source_type', source_type, is_active FROM idx UNION ALL SELECT 'locale', locale, is_active FROM idx UNION ALL SELECT 'partition', partition, is_active FROM idx) SELECT dimension, value, count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (NOT is_active) AS inactive FROM s GROUP BY dimension, value",
         "dictionary_status": f"WITH {everything}, {_DICT}, {_GRAMS}, d AS (SELECT locale, count(*) AS documents FROM idx WHERE is_active GROUP BY locale), t AS (SELECT locale, count(*) AS terms, sum(document_frequency)::BIGINT AS occurrences FROM dict GROUP BY locale), g AS (SELECT locale, count(*) AS ngrams FROM grams GROUP BY locale) SELECT locale, coalesce(documents, 0) AS documents, coalesce(terms, 0) AS terms, coalesce(occurrences, 0) AS occurrences, coalesce(ngrams, 0) AS ngrams FROM d FULL JOIN t USING (locale) FULL JOIN g USING (locale)",
-        "document_hashes": f"WITH {parts} SELECT id, {_framed('partition', 'source_key', 'source_type', 'source_id', 'locale', 'title', 'excerpt', 'normalized_title', 'normalized_keywords', 'normalized_excerpt', 'normalized_content', chr(39) + '{}' + chr(39), 'priority', 'is_active')} AS document_hash FROM idx",
+        "document_hashes": f"WITH {parts} SELECT id, {_framed(*_HASHED)} AS document_hash FROM idx",
         "index_diff": f"WITH {parts}, {_NEXT} SELECT source_key, action FROM dif",
         "index_replace": f"WITH {parts}, {_NEXT} SELECT source_key, title FROM nxt UNION ALL SELECT source_key, title FROM idx WHERE source_key NOT IN (SELECT source_key FROM nxt)",
         "index_report": f"WITH {parts}, {_NEXT} SELECT count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'deleted') AS deleted, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) AS documents, count(DISTINCT source_key) AS sources FROM dif",

@@ -105,7 +105,7 @@ def basis_points(part: Column, whole: Column) -> Column:
 
 
 def is_canonical_name(name: Column) -> Column:
-    return name.isNotNull() & (name != "") & ~name.rlike(r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]") & ~name.rlike(r"(?U)^[\p{Z}\s]|[\p{Z}\s]$")
+    return name.isNotNull() & (name != "") & ~name.rlike(r"[\p{Zp}\p{Zl}\p{Cf}\p{Cc}]") & ~name.rlike(r"(?U)^[\s\p{Z}]|[\s\p{Z}]$")
 
 
 def id_order(identifier: Column) -> list[Column]:
