@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexaloom.shipping import ship
+
 KEY_ROWS = {"en": ("qwertyuiop", "asdfghjkl", "zxcvbnm"), "fa": ("ضصثقفغعهخحجچ", "شسیبلاتنمکگ", "ظطزرذدپو")}
 ADJACENT = {lang: {frozenset(pair) for row in rows for pair in zip(row, row[1:])} for lang, rows in KEY_ROWS.items()}
 INSERT = DELETE = SUBSTITUTE = 1000
@@ -38,6 +40,7 @@ def distance(source: str, target: str, locale: str) -> tuple[int, int]:
 
 def edit_distance(source: Column, target: Column, locale: Column) -> Column:
     """struct<edits, cost>, in Arrow batches."""
+    ship()
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for a, b, l in batches:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexaloom.shipping import ship
+
 _RUN = r"[\p{N}\p{L}][\p{N}\p{M}\p{L}]*"
 TOKEN = f"{_RUN}(?:['’]{_RUN})*"
 HIDDEN_BLOCK = r"(?is)<[\s]*(noscript|script|style|template)\b[^>]*>(?:.*?<[\s]*/[\s]*\1[\s]*>|.*$)"
@@ -27,6 +29,7 @@ PERSIAN_DROP = r"[\x{640}\x{64B}-\x{65F}\x{670}]"
 
 def decode_entities(text: Column) -> Column:
     """HTML entities that end in a semicolon, once."""
+    ship()
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
