@@ -1,17 +1,18 @@
-"""Shared plumbing of the training-data operators: scratch tables, code shipping, sizes."""
+"""Shared plumbing of the training-data operators: scratch tables and sizes."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexaloom.shipping import ship
+
+__all__ = ["materialize", "partitions", "release", "scratch_path", "shared_dir", "ship"]
+
 _TABLES: list[tuple[SparkSession, str]] = []
-_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,19 +54,5 @@ def release() -> None:
         _delete(*_TABLES.pop())
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, so that they can import it whatever their path is."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="lexaloom-code-")) / "lexaloom-code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
