@@ -231,8 +231,9 @@ def term_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _misspelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    vocabulary = D.terms(_index(spark, d, ("part",)), POLICY, check=False)
-    names = T.table(spark, d, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), X.normalize(F.col("p_name")).alias("query"))
+    """The dictionary of the whole corpus, and every part name with errors."""
+    vocabulary = D.terms(_index(spark, d), POLICY, check=False)
+    names = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), X.normalize(F.col("p_name")).alias("query"))
     # the third letter of every word is doubled, and every other query loses its second letters
     return vocabulary, names.withColumn("query", F.when(F.col("query_id") % 2 == 0, F.regexp_replace("query", r"\b(\w\w)(\w)", "$1$2$2")).otherwise(F.regexp_replace("query", r"\b(\w)\w(\w)", "$1$2")))
 
