@@ -1,8 +1,9 @@
 """N-gram Jaccard join by chosen paths (operator 10).
 
 A text's set holds its word n-grams (words as in decontamination: A-Z lower-cased, runs of letters, digits and non-ASCII; a text
-of fewer words is one n-gram). Sets are embedded in ``COORDINATES`` min-hash coordinates; two texts are linked if the
-share of equal coordinates, an estimate of their Jaccard similarity, reaches ``threshold``.
+of fewer words is one n-gram). Two texts are linked if the Jaccard similarity of their sets of 64-bit n-gram hashes reaches
+``threshold``. Candidates come from ``COORDINATES`` min-hash coordinates: the share of equal ones estimates the similarity, and
+a pair is a candidate if it is at most three standard errors below ``threshold``.
 
 Chosen paths: a node of the recursion samples ``BRANCH`` coordinates by a hash of its path, shared by all sets, and a set goes to
 the child named by its value there. Similar sets stay together with a probability that the depth and the similarity
@@ -11,9 +12,10 @@ are walked at once. Nodes of at most ``small`` sets are compared in full. In a l
 it leaves at most ``small`` sets unlinked, these are compared with all the others, in blocks, and the node is done. Otherwise
 it holds different groups and is split further, level by level, down to ``deepest``, where the blocks finish it anyway.
 
-Exact copies are collapsed first, so a group of copies is one set. Links within nodes become star edges; connected
-components are found by alternating large and small stars. No list of all pairs of a group exists at any time;
-the number of links of a set counts all partners in its class, block against block.
+Exact copies are collapsed first, so a group of copies is one set. Candidates within nodes become star edges; connected
+components are found by alternating large and small stars. Within each component all sets are then compared on their exact
+n-grams, block against block, which gives the links, their number for each set, and by a second search the classes. N-grams are
+kept for the sets with a candidate only. No list of all pairs of a group exists at any time.
 
 Results for special cases: a null or wordless text has no n-grams, its own class and no links; texts with equal words are copies
 of one set; a null id can be in a class, whose id is the smallest non-null one; repeated rows are copies; an empty table
@@ -42,6 +44,9 @@ _FOLD = np.frombuffer(_TO_WORDS, np.uint8)
 _A = R.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _S = R.mix(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 _SLICE = 256 << 10
+_BITS = 1 << 24
+#: n-grams of a set that a block allows for on average; classes of longer texts have blocks of fewer sets
+_VOLUME = 1024
 
 
 def recall_of_run(similarity: float, depth: int = DEPTH) -> float:
@@ -56,8 +61,29 @@ def runs_for(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - recall_of_run(threshold))))
 
 
-def _signatures(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: number of words, two hashes of the word sequence, 16-bit min-hashes."""
+def loosest(threshold: float) -> int:
+    """Equal coordinates of a candidate: three standard errors below the threshold."""
+    return max(1, math.floor(COORDINATES * threshold - 3 * math.sqrt(COORDINATES * threshold * (1 - threshold))))
+
+
+def recall_of_runs(similarity: float, runs: int, least: int, depth: int = DEPTH) -> float:
+    """Probability that two sets become a candidate, over the numbers of equal coordinates, which all runs share."""
+    total = 0.0
+    for k in range(least, COORDINATES + 1):
+        total += math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) * (1 - (1 - recall_of_run(k / COORDINATES, depth)) ** runs)
+    return total
+
+
+def enough_runs(threshold: float, recall: float, least: int, depth: int = DEPTH) -> int:
+    """The runs that reach ``recall`` at the threshold, or that come within 0.001 of what ``least`` leaves."""
+    goal, runs = min(recall, recall_of_runs(threshold, 1 << 20, least, depth) - 0.001), runs_for(threshold, recall)
+    while recall_of_runs(threshold, runs, least, depth) < goal:
+        runs += 1
+    return runs
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: number of words, two hashes of the word sequence; the texts with words, their numbers of n-grams, the n-grams' hashes."""
     data = _FOLD[data]
     start, end, bounds = R.words_of_texts(data, offsets, _SEPARATES)
     count = np.diff(bounds)
@@ -68,7 +94,12 @@ def _signatures(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.n
     sizes = np.minimum(count[some], ngram)
     grams = count[some] - sizes + 1
     at = R.ranges(bounds[:-1][some], grams)
-    x = R.spans(h, at, at + np.repeat(sizes, grams))
+    return count, k1, k2, some, grams, R.spans(h, at, at + np.repeat(sizes, grams))
+
+
+def _signatures(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: number of words, two hashes of the word sequence, 16-bit min-hashes."""
+    count, k1, k2, some, grams, x = _hashed(data, offsets, ngram)
     out = np.zeros((len(count), COORDINATES), np.uint16)
     if len(some):
         first = np.cumsum(grams) - grams
@@ -86,9 +117,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, ngram: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = text_buffer(batch.column(2))
-            at, n = 0, batch.num_rows
-            while at < n:
-                upto = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, side="right")) - 1))
+            for at, upto in _slices(offsets):
                 a, b = offsets[at], offsets[upto]
                 count, k1, k2, sig = _signatures(data[a:b], offsets[at : upto + 1] - a, ngram)
                 yield pa.record_batch({
@@ -99,13 +128,57 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, ngram: int) -> Da
                     "k2": pa.array(k2.view(np.int64)),
                     "sig": pa.array([row.tobytes() for row in sig], pa.binary()),
                 })
-                at = upto
 
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
     return materialize(rows.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("uid"), "*"), "signatures")
 
 
+def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        upto = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, side="right")) - 1))
+        yield at, upto
+        at = upto
+
+
+def gram_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str, ngram: int) -> DataFrame:
+    """Written table (uid, size, grams) of wanted (uid, digest): the distinct 64-bit hashes of each set.
+
+    The texts are read once more. A bitmap of fixed size keeps out nearly all that aren't wanted, so that no others are shuffled.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    bit = F.pmod(F.xxhash64("digest"), F.lit(_BITS))
+    found = wanted.select(bit.alias("bit")).select(F.floor(F.col("bit") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 AS int))").alias("flag")).groupBy("word").agg(F.bit_or("flag").alias("flags")).toArrow()
+    words = np.zeros(_BITS // 64, np.uint64)
+    words[np.asarray(found.column("word"))] = np.asarray(found.column("flags")).view(np.uint64)
+    held = spark.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, seen = held.value, set()
+        for batch in batches:
+            bits = np.asarray(batch.column(1)).astype(np.uint64)
+            rows = []
+            for i in np.flatnonzero(flags[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1)).tolist():
+                if (digest := batch.column(0)[i].as_py()) not in seen:
+                    seen.add(digest)
+                    rows.append(i)
+            some = batch.take(pa.array(rows, pa.int64()))
+            data, offsets, _ = text_buffer(some.column(2))
+            for at, upto in _slices(offsets):
+                a, b = offsets[at], offsets[upto]
+                _, _, _, texts, grams, x = _hashed(data[a:b], offsets[at : upto + 1] - a, ngram)
+                ends = np.cumsum(grams)
+                sets = {int(t): np.unique(x[e - n : e]).tobytes() for t, n, e in zip(texts, grams, ends)}
+                yield pa.record_batch({"digest": some.column(0).slice(at, upto - at), "grams": pa.array([sets.get(i, b"") for i in range(upto - at)], pa.binary())})
+
+    text = F.col(f"`{text_col}`")
+    rows = docs.where(text.isNotNull()).select(F.md5(text.cast("binary")).alias("digest"), text.alias("text")).select("digest", bit.alias("bit"), "text")
+    once = rows.mapInArrow(run, "digest string, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
+    return materialize(once.join(wanted, "digest").select("uid", F.floor(F.octet_length("grams") / 8).cast("long").alias("size"), "grams"), "grams")
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     data, _, _ = text_buffer(column)
     return data.view(np.uint16).reshape(-1, COORDINATES)
@@ -275,35 +348,66 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("uid"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("uid"), F.col("a").alias("label")).distinct())
 
 
-def _degrees(classes: DataFrame, sets: DataFrame, least: int, block: int) -> DataFrame:
-    """(uid, n_links): partners within the class, counted block against block."""
-    sizes = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    placed = classes.join(sizes, "label").join(sets.select("uid", "sig"), "uid").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("long"))
+def _shared(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray) -> np.ndarray:
+    """Number of n-grams that each set of x shares with each of y, sets being distinct values between two offsets."""
+    order = np.argsort(y)
+    values, owner = y[order], np.repeat(np.arange(len(of_y) - 1), np.diff(of_y))[order]
+    first = np.searchsorted(values, x, side="left")
+    length = np.searchsorted(values, x, side="right") - first
+    out = np.empty((len(of_x) - 1, len(of_y) - 1), np.int64)
+    for i, (a, b) in enumerate(zip(of_x, of_x[1:])):
+        out[i] = np.bincount(owner[R.ranges(first[a:b], length[a:b])], minlength=out.shape[1])
+    return out
+
+
+def _exact(classes: DataFrame, grams: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links of the sets of each class (uid, label) on their exact n-grams, block against block. Written table (a, b, n): edges
+    of a forest of each two blocks (n = 0), and for a = b the links of a set in a block."""
+    placed = classes.join(grams, "uid")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block * _VOLUME)))
+    sizes = classes.join(grams.select("uid", "size"), "uid").groupBy("label").agg(blocks.cast("int").alias("blocks"))
+    placed = placed.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("long"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))))
-    pairs = spread.select("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uid", "sig")
+    pairs = spread.select("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uid", "grams")
 
     def run(table: pa.Table) -> list[tuple]:
-        uid, own, sig = np.asarray(table.column("uid")), np.asarray(table.column("own")), _matrix(table.column("sig"))
-        if table.column("lo")[0].as_py() == table.column("hi")[0].as_py():
-            return [(int(u), int(n) - 1) for u, n in zip(uid, _linked(sig, sig, least).sum(1))]
-        a, b = own == own.min(), own != own.min()
-        if own.min() == own.max():
+        table = table.sort_by("own")
+        uid, own = np.asarray(table.column("uid")), np.asarray(table.column("own"))
+        data, offsets, _ = text_buffer(table.column("grams"))
+        flat, at = data.view(np.uint64), np.asarray(offsets) // 8
+        size, alone = np.diff(at), table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        cut = len(uid) if alone else int(np.searchsorted(own, own[0], side="right"))
+        if not alone and cut == len(uid):
             return []
-        hit = _linked(sig[a], sig[b], least)
-        return [(int(u), int(n)) for u, n in [*zip(uid[a], hit.sum(1)), *zip(uid[b], hit.sum(0))]]
+        left, right = (slice(0, cut), slice(0, cut)) if alone else (slice(0, cut), slice(cut, len(uid)))
+        to = at[right.start : right.stop + 1]
+        both = _shared(flat[: at[cut]], at[: cut + 1], flat[to[0] : to[-1]], to - to[0])
+        linked = both >= threshold * (size[left][:, None] + size[right][None, :] - both)
+        if alone:
+            np.fill_diagonal(linked, False)
+        label = np.arange(len(uid))
+        while True:
+            new = label.copy()
+            new[left] = np.minimum(new[left], np.where(linked, new[right][None, :], len(uid)).min(1))
+            new[right] = np.minimum(new[right], np.where(linked, new[left][:, None], len(uid)).min(0))
+            if (new == label).all():
+                break
+            label = new
+        counts = [*zip(uid[left], linked.sum(1))] + ([] if alone else [*zip(uid[right], linked.sum(0))])
+        return [(int(uid[l]), int(u), 0) for l, u in zip(label, uid) if uid[l] != u] + [(int(u), int(u), int(n)) for u, n in counts if n]
 
-    return by_group(pairs, ["label", "lo", "hi"], run, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n_links"))
+    return materialize(by_group(pairs, ["label", "lo", "hi"], run, "a long, b long, n long"), "exact")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, threshold: float = 0.4, recall: float = 0.98, small: int = 64, deepest: int = 9, block: int = 1024) -> DataFrame:
     """Per row: id, digest (md5 of the text), class_id (smallest id of its class), n_links, keeper (one (id, digest) a class)."""
-    least = math.ceil(threshold * COORDINATES)
+    least = loosest(threshold)
     table = signatures(docs, id_col=id_col, text_col=text_col, ngram=ngram)
     keyed = table.where("n_words > 0")
     reps = keyed.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
     sets = materialize(keyed.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "k1", "k2", "sig"), "sets")
 
-    rows, found, buckets = _walk(sets, runs_for(threshold, recall)), [], []
+    rows, found, buckets = _walk(sets, enough_runs(threshold, recall, least)), [], []
     for depth in range(DEPTH, deepest + 1):
         big = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("node"), "large")
         few = rows.join(big, "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_set("uid")).alias("m")).where(F.size("m") > 1)
@@ -329,8 +433,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngr
     for more in found:
         edges = edges.unionByName(more)
 
-    classes = materialize(components(edges), "classes")
-    degrees = _degrees(classes, sets, least, block)
+    loose = materialize(components(edges), "candidates")
+    grams = gram_sets(docs, loose.join(table, "uid").select("uid", "digest"), text_col=text_col, ngram=ngram)
+    exact = _exact(loose, grams, threshold, block)
+    classes = materialize(components(exact.where("a <> b").select("a", "b")), "classes")
+    degrees = exact.where("a = b").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n_links"))
     known = sets.select("k1", "k2", "uid").join(classes, "uid", "left").join(degrees, "uid", "left").select("k1", "k2", F.coalesce("label", "uid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     every = materialize(table.select("uid", "id", "digest", "n_words", "k1", "k2").join(known, ["k1", "k2"], "left").select("uid", "id", "digest", F.when(F.col("n_words") > 0, F.col("label")).otherwise(-1 - F.col("uid")).alias("label"), F.when(F.col("n_words") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")), "linked")
     heads = every.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "uid")).alias("head"))

@@ -89,3 +89,24 @@ def test_empty(spark):
 
 def test_recall_follows_the_runs():
     assert N.runs_for(0.4, 0.98) == 10 and N.recall_of_run(0.9) > 0.95
+
+
+def near_threshold(seed, shared, words=204):
+    """Pairs of texts of 5-gram sets that share the given numbers of their 200 n-grams; the first pair has ids 0 and 1."""
+    rng = random.Random(seed)
+    rows = []
+    for n in shared:
+        a, b = ([f"w{rng.random()}".replace(".", "") for _ in range(words)] for _ in range(2))
+        rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(a[: n + 4] + b[n + 4 :]))]
+    return rows
+
+
+def test_links_are_decided_on_the_exact_sets(spark):
+    shared = [*range(100, 130)] * 8  # Jaccard 0.33 to 0.48; 115 of 285 is the first that reaches 0.4
+    rows = near_threshold(8, shared)
+    got = {r.doc_id: r for r in N.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [got[2 * i].n_links == got[2 * i + 1].n_links == 1 and got[2 * i].class_id == got[2 * i + 1].class_id for i in range(len(shared))]
+    assert not [n for n, f in zip(shared, found) if f and n / (400 - n) < 0.4]
+    wanted = [f for n, f in zip(shared, found) if n / (400 - n) >= 0.4]
+    assert sum(wanted) >= 0.97 * len(wanted)
+    assert all(got[k].class_id == k and got[k].n_links == 0 for i, f in enumerate(found) if not f for k in (2 * i, 2 * i + 1))
