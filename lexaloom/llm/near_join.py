@@ -8,9 +8,10 @@ a pair is a candidate if it is at most three standard errors below ``threshold``
 Chosen paths: a node of the recursion samples ``BRANCH`` coordinates by a hash of its path, shared by all sets, and a set goes to
 the child named by its value there. Similar sets stay together with a probability that the depth and the similarity
 fix, so the number of runs follows from the target recall. The first ``DEPTH`` levels need no data but the set itself and
-are walked at once. Nodes of at most ``small`` sets are compared in full. In a larger node all are compared with one pivot; if
-it leaves at most ``small`` sets unlinked, these are compared with all the others, in blocks, and the node is done. Otherwise
-it holds different groups and is split further, level by level, down to ``deepest``, where the blocks finish it anyway.
+are walked at once. Nodes of at most ``small`` sets are compared in full. In a larger node all are compared with one pivot, and
+those that it leaves unlinked with all the others, in blocks, however many they are: no member is lost. Only where ``deepest`` is
+set beyond ``DEPTH`` are nodes with more than ``small`` unlinked sets split further, level by level, down to ``deepest``, where the
+blocks finish them; the runs are then as many as that depth needs.
 
 Exact copies are collapsed first, so a group of copies is one set. Candidates within nodes become star edges; connected
 components are found by alternating large and small stars. Within each component all sets are then compared on their exact
@@ -399,7 +400,7 @@ def _exact(classes: DataFrame, grams: DataFrame, threshold: float, block: int) -
     return materialize(by_group(pairs, ["label", "lo", "hi"], run, "a long, b long, n long"), "exact")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, threshold: float = 0.4, recall: float = 0.98, small: int = 64, deepest: int = 9, block: int = 1024) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, threshold: float = 0.4, recall: float = 0.98, small: int = 64, deepest: int = DEPTH, block: int = 1024) -> DataFrame:
     """Per row: id, digest (md5 of the text), class_id (smallest id of its class), n_links, keeper (one (id, digest) a class)."""
     least = loosest(threshold)
     table = signatures(docs, id_col=id_col, text_col=text_col, ngram=ngram)
@@ -407,7 +408,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngr
     reps = keyed.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
     sets = materialize(keyed.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "k1", "k2", "sig"), "sets")
 
-    rows, found, buckets = _walk(sets, enough_runs(threshold, recall, least)), [], []
+    rows, found, buckets = _walk(sets, enough_runs(threshold, recall, least, deepest)), [], []
     for depth in range(DEPTH, deepest + 1):
         big = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("node"), "large")
         few = rows.join(big, "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_set("uid")).alias("m")).where(F.size("m") > 1)

@@ -110,3 +110,19 @@ def test_links_are_decided_on_the_exact_sets(spark):
     wanted = [f for n, f in zip(shared, found) if n / (400 - n) >= 0.4]
     assert sum(wanted) >= 0.97 * len(wanted)
     assert all(got[k].class_id == k and got[k].n_links == 0 for i, f in enumerate(found) if not f for k in (2 * i, 2 * i + 1))
+
+
+def test_hot_passage_loses_no_links(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.random()}".replace(".", "")
+    passage, rows = [word() for _ in range(54)], []  # 50 of 200 n-grams are in all texts: Jaccard 0.14, and 0.4 to 0.5 within a pair
+    for i in range(100):
+        own = [word() for _ in range(150)]
+        keep = 65 + i % 20
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:keep] + [word() for _ in range(150 - keep)]))]
+    # all texts meet in one node, by the passage, and nowhere else
+    monkeypatch.setattr(N, "_walk", lambda sets, runs: sets.select(F.lit(1).cast("long").alias("node"), "uid"))
+    got = {r.doc_id: r for r in N.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, links = brute(rows)
+    assert len(links) == 100
+    assert sum(got[2 * i].n_links == got[2 * i + 1].n_links == 1 and got[2 * i + 1].class_id == 2 * i for i in range(100)) >= 98
