@@ -13,7 +13,8 @@ those that it leaves unlinked with all the others, in blocks, however many they
 set beyond ``DEPTH`` are nodes with more than ``small`` unlinked sets split further, level by level, down to ``deepest``, where the
 blocks finish them; the runs are then as many as that depth needs.
 
-Exact copies are collapsed first, so a group of copies is one set. Candidates within nodes become star edges; connected
+Texts with equal words are collapsed first, so a group of copies is one set, which carries the number of its different texts:
+``n_links`` counts the other texts of the own set and the texts of each linked set, but copies of one text once. Candidates within nodes become star edges; connected
 components are found by alternating large and small stars. Within each component all sets are then compared on their exact
 n-grams, block against block, which gives the links, their number for each set, and by a second search the classes. N-grams are
 kept for the sets with a candidate only. No list of all pairs of a group exists at any time.
@@ -362,14 +363,14 @@ def _shared(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray) ->
 
 
 def _exact(classes: DataFrame, grams: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links of the sets of each class (uid, label) on their exact n-grams, block against block. Written table (a, b, n): edges
-    of a forest of each two blocks (n = 0), and for a = b the links of a set in a block."""
+    """Links of the sets of each class (uid, label, texts) on their exact n-grams, block against block. Written table (a, b, n):
+    edges of a forest of each two blocks (n = 0), and for a = b the texts of the sets linked to a in a block."""
     placed = classes.join(grams, "uid")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block * _VOLUME)))
     sizes = classes.join(grams.select("uid", "size"), "uid").groupBy("label").agg(blocks.cast("int").alias("blocks"))
     placed = placed.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("long"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))))
-    pairs = spread.select("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uid", "grams")
+    pairs = spread.select("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uid", "texts", "grams")
 
     def run(table: pa.Table) -> list[tuple]:
         table = table.sort_by("own")
@@ -394,7 +395,8 @@ def _exact(classes: DataFrame, grams: DataFrame, threshold: float, block: int) -
             if (new == label).all():
                 break
             label = new
-        counts = [*zip(uid[left], linked.sum(1))] + ([] if alone else [*zip(uid[right], linked.sum(0))])
+        texts = np.asarray(table.column("texts"))
+        counts = [*zip(uid[left], linked @ texts[right])] + ([] if alone else [*zip(uid[right], texts[left] @ linked)])
         return [(int(uid[l]), int(u), 0) for l, u in zip(label, uid) if uid[l] != u] + [(int(u), int(u), int(n)) for u, n in counts if n]
 
     return materialize(by_group(pairs, ["label", "lo", "hi"], run, "a long, b long, n long"), "exact")
@@ -405,8 +407,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngr
     least = loosest(threshold)
     table = signatures(docs, id_col=id_col, text_col=text_col, ngram=ngram)
     keyed = table.where("n_words > 0")
-    reps = keyed.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
-    sets = materialize(keyed.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "k1", "k2", "sig"), "sets")
+    reps = keyed.groupBy("k1", "k2", "digest").agg(F.min("uid").alias("uid")).groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("texts"))
+    sets = materialize(keyed.join(reps.select("uid", "texts"), "uid").select("uid", "k1", "k2", "sig", "texts"), "sets")
 
     rows, found, buckets = _walk(sets, enough_runs(threshold, recall, least, deepest)), [], []
     for depth in range(DEPTH, deepest + 1):
@@ -436,10 +438,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngr
 
     loose = materialize(components(edges), "candidates")
     grams = gram_sets(docs, loose.join(table, "uid").select("uid", "digest"), text_col=text_col, ngram=ngram)
-    exact = _exact(loose, grams, threshold, block)
+    exact = _exact(loose.join(sets.select("uid", "texts"), "uid"), grams, threshold, block)
     classes = materialize(components(exact.where("a <> b").select("a", "b")), "classes")
     degrees = exact.where("a = b").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n_links"))
-    known = sets.select("k1", "k2", "uid").join(classes, "uid", "left").join(degrees, "uid", "left").select("k1", "k2", F.coalesce("label", "uid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = sets.select("k1", "k2", "uid", "texts").join(classes, "uid", "left").join(degrees, "uid", "left").select("k1", "k2", F.coalesce("label", "uid").alias("label"), (F.coalesce("n_links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links"))
     every = materialize(table.select("uid", "id", "digest", "n_words", "k1", "k2").join(known, ["k1", "k2"], "left").select("uid", "id", "digest", F.when(F.col("n_words") > 0, F.col("label")).otherwise(-1 - F.col("uid")).alias("label"), F.when(F.col("n_words") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")), "linked")
     heads = every.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "uid")).alias("head"))
     return every.join(heads, "label").select(F.col("id").alias(id_col), "digest", "class_id", "n_links", (F.col("uid") == F.col("head.uid")).alias("keeper"))

@@ -126,3 +126,11 @@ def test_hot_passage_loses_no_links(spark, monkeypatch):
     _, links = brute(rows)
     assert len(links) == 100
     assert sum(got[2 * i].n_links == got[2 * i + 1].n_links == 1 and got[2 * i + 1].class_id == 2 * i for i in range(100)) >= 98
+
+
+def test_links_count_texts(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    family = [base, base.upper(), base.replace(" ", ", "), base + "."]  # the same words
+    rows = list(enumerate([*family, base, base + " more", "One!", "one", "alone"]))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in N.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(5), (0, 4)), 5: (0, 4), 6: (6, 1), 7: (6, 1), 8: (8, 0)}
