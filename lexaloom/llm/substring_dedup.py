@@ -1,18 +1,18 @@
-"""Exact substring de-duplication by a depth-limited radix sort of suffixes (operator 3).
+"""Exact substring de-duplication by grouping hashes of anchors, blocks and windows (operator 3).
 
-Only equality up to the threshold depth matters, so most-significant-digit passes with wide digits take the place of a
-full sort; a suffix whose group has one member drops out after each pass, and the groups that are left at
-full depth are exactly the repeated windows.
+This takes the place of the depth-limited radix sort of suffixes: only equality up to the threshold depth matters, so nothing is
+ordered by digit passes. What is alone in its group drops out after each pass, and the groups that are left at full depth are
+the repeated windows, up to collisions of 64-bit hashes.
 
 * Which suffixes: shipping all of them costs more than ten times the text. A window's *anchor* is the smallest hash
-  among its ``width // 2``-byte grams, so equal windows have equal anchors at equal offsets. Suffixes are sorted where
-  an anchor starts, about one in 51 bytes for windows of 200.
-* Pass 1, digit = the anchor gram: groups of one drop out.
-* Pass 2, digit = the block (the union of the consecutive windows that share the anchor): where the block repeats all its
+  among its ``width // 2``-byte grams, so equal windows have equal anchors at equal offsets. Only what begins where an
+  anchor starts is sent, about one in 51 bytes for windows of 200.
+* Pass 1, by the anchor gram: groups of one drop out.
+* Pass 2, by the block (the union of the consecutive windows that share the anchor): where the block repeats all its
   windows repeat, and where it is the only block of its gram none does.
-* Pass 3, digit = the whole window: for grams with several different blocks, one block of each kind sends each window.
+* Pass 3, by the whole window: for grams with several different blocks, one block of each kind sends each window.
 
-Digits are compared by 64-bit hashes (32 bits within a bucket for pass 1, which only selects).
+Grams, blocks and windows are compared by 64-bit hashes (32 bits within a bucket for pass 1, which only selects).
 
 Results for special cases: a null text has no bytes and gives an empty ``kept``; an empty or short text is kept whole;
 matches never cross documents; repeated rows (same id or not) count as occurrences of each other; every input row gives
