@@ -7,18 +7,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexaloom.shipping import ship
 
-__all__ = ["materialize", "partitions", "release", "scratch_path", "shared_dir", "ship"]
+__all__ = ["input_bytes", "materialize", "partitions", "release", "scratch_path", "shared_dir", "ship"]
 
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lexaloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -54,5 +57,12 @@ def release() -> None:
         _delete(*_TABLES.pop())
 
 
+def input_bytes(df: DataFrame, column: str) -> int:
+    """About the bytes of a text column: the sources' file sizes, which the plan knows, times a compression factor; counted only where a source has no files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return 3 * known if known < 1 << 55 else int(df.agg(F.sum(F.octet_length(F.col(f"`{column}`")).cast("long"))).first()[0] or 0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

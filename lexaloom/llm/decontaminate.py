@@ -1,20 +1,23 @@
 """Benchmark decontamination with an Aho-Corasick automaton (operator 5).
 
-Texts are normalised alike on both sides: A-Z lower-cased, words are runs of letters, digits and anything outside ASCII. Every
-window of ``width`` consecutive words of an item (the whole item where it has fewer) is a pattern of one automaton. Words
-are spelled as fixed-length codes over 64 symbols, one alphabet per place, so a match always begins at a word
-and the automaton's nodes stay narrow. Each text is scanned once, whole; hits come back as byte spans of the original.
+Texts are normalised alike on both sides: A-Z lower-cased, words are runs of letters, digits and anything outside ASCII. Items of
+at least ``width`` words are cut into blocks of ``(width + 1) // 2`` words, side by side; any window of ``width`` words holds a whole block.
+The blocks, and whole items where they are shorter than a window, are the patterns of one automaton, so it has about as many nodes
+as the benchmark has letters of code, not ``width`` times as many. Words are spelled as fixed-length codes over 64 symbols, one
+alphabet per place, so a match always begins at a word and the automaton's nodes stay narrow. Each text is scanned once, whole; a block's
+match is extended word by word to both sides, and what reaches ``width`` words is hit. Hits come back as byte spans of the original.
 
-The automaton is bounded: benchmarks of more than ``max_windows`` words are split into several, which scan in turn
-and merge their findings, so nothing is dropped and no worker holds more than one at a time.
+The automaton is built once per worker. Its size follows the benchmark's, which is counted before: up to ``max_words`` words it is
+one automaton; a larger benchmark is split into several that scan in turn and merge their findings, so nothing is dropped.
 
 Results for special cases: a null or wordless text has no words, hits or items; a null or wordless item has no windows; a null
-item_id is reported as an empty string; equal items all count; repeated rows give repeated rows; an empty benchmark hits nothing.
+item_id is reported as an empty string; equal items all count; repeated rows give repeated rows; an empty benchmark hits nothing;
+other columns are ignored (``clean`` returns them unchanged).
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,8 +37,8 @@ _SEPARATES = np.array([c == 32 for c in _TO_WORDS])
 _BUILT: dict[str, tuple] = {}
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(SPAN))])
-FOUND_SQL = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
+FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_full", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(SPAN))])
+FOUND_SQL = "struct<n_words:bigint,n_hit:bigint,n_full:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -43,31 +46,35 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _build(items: list[tuple[str, bytes]], width: int) -> tuple:
-    """Automaton, word codes, code length and item names; patterns map to (length in words, item numbers)."""
+    """Automaton, word numbers, word codes, code length, item names, items as word numbers, width; patterns map to [(item, place, length)]."""
     split = [words_of(t) for _, t in items]
     vocabulary = sorted({w for ws in split for w in ws})
     places = 1
     while 64**places < len(vocabulary):
         places += 1
-    code = {w: "".join(_LETTERS[64 * min(p, 5) + (i >> 6 * p) % 64] for p in range(places)) for i, w in enumerate(vocabulary)}
-    owners: dict[tuple, set[int]] = defaultdict(set)
-    for number, ws in enumerate(split):
-        for i in range(max(1, len(ws) - width + 1) if ws else 0):
-            owners[tuple(ws[i : i + width])].add(number)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    code = ["".join(_LETTERS[64 * min(p, 5) + (i >> 6 * p) % 64] for p in range(places)) for i in range(len(vocabulary))]
+    held = [[number[w] for w in ws] for ws in split]
+    owners: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+    for item, ws in enumerate(held):
+        size = len(ws) if len(ws) < width else (width + 1) // 2
+        for at in range(0, len(ws) - size + 1, size) if ws else ():
+            owners["".join(code[w] for w in ws[at : at + size])].append((item, at, size))
     machine = ahocorasick.Automaton()
-    for window, who in owners.items():
-        machine.add_word("".join(map(code.__getitem__, window)), (len(window), tuple(who)))
+    for block, who in owners.items():
+        machine.add_word(block, who)
     if owners:
         machine.make_automaton()
-    return machine if owners else None, code, places, [name for name, _ in items]
+    return machine if owners else None, number, code, places, [name for name, _ in items], held, width
 
 
-def _automaton(items: list[tuple[str, bytes]], width: int) -> tuple:
-    digest = hashlib.sha256(repr((items, width)).encode()).hexdigest()
-    if digest not in _BUILT:
+def _automaton(held, width: int) -> tuple:
+    """Built once per worker for each broadcast of (name, items)."""
+    name, items = held.value
+    if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[digest] = _build(items, width)
-    return _BUILT[digest]
+        _BUILT[name] = _build(items, width)
+    return _BUILT[name]
 
 
 def _byte_spans(raw: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -82,29 +89,53 @@ def _byte_spans(raw: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 
 def scan(raw: bytes, built: tuple, before: dict | None = None) -> dict:
     """Finding of one text, merged with that of an earlier automaton."""
-    machine, code, places, names = built
+    machine, number, code, places, names, held, width = built
     words = words_of(raw)
-    get, other = code.get, "?" * places
     found: set[int] = set()
-    change = None
+    runs: list[tuple[int, int]] = []
+    full: list[tuple[int, int]] = []
     if machine is not None and words:
-        for end, (length, who) in machine.iter("".join([get(w, other) for w in words])):
-            if change is None:
-                change = np.zeros(len(words) + 1, np.int32)
-            last = end // places
-            change[last - length + 1] += 1
-            change[last + 1] -= 1
-            found.update(who)
-    hit = np.cumsum(change[:-1]) > 0 if change is not None else np.zeros(len(words), bool)
+        get, other = number.get, "?" * places
+        mine = [get(w, -1) for w in words]
+        n, ends = len(mine), {}
+        for last, who in machine.iter("".join([code[i] if i >= 0 else other for i in mine])):
+            stop = last // places + 1
+            for item, at, size in who:
+                start = stop - size
+                theirs = held[item]
+                if len(theirs) < width:
+                    found.add(item)
+                    runs.append((start, stop))
+                    continue
+                diagonal = (item, start - at)
+                if ends.get(diagonal, 0) > start:
+                    continue
+                a, i, b, j = start, at, stop, at + size
+                while a and i and mine[a - 1] == theirs[i - 1]:
+                    a, i = a - 1, i - 1
+                while b < n and j < len(theirs) and mine[b] == theirs[j]:
+                    b, j = b + 1, j + 1
+                ends[diagonal] = b
+                if b - a >= width:
+                    found.add(item)
+                    full.append((a, b))
+    hit = np.zeros(len(words), bool)
+    for a, b in full:
+        hit[a:b] = True
+    n_full = int(hit.sum())
+    for a, b in runs:
+        hit[a:b] = True
     items = [names[i] for i in found]
     if before and before["n_hit"]:
         items += before["items"]
+        n_full += before["n_full"]
         inside = np.zeros(len(raw) + 2, np.int8)
         inside[1:-1] = ~_SEPARATES[np.frombuffer(raw, np.uint8)]
         start = np.flatnonzero(np.diff(inside) == 1)
         for s in before["spans"]:
             hit[np.searchsorted(start, s["start"]) : np.searchsorted(start, s["end"])] = True
-    return {"n_words": len(words), "n_hit": int(hit.sum()), "items": sorted(items), "spans": [{"start": a, "end": b} for a, b in _byte_spans(raw, hit)] if hit.any() else []}
+    n_hit = int(hit.sum())
+    return {"n_words": len(words), "n_hit": n_hit, "n_full": min(n_full, n_hit), "items": sorted(items), "spans": [{"start": a, "end": b} for a, b in _byte_spans(raw, hit)] if n_hit else []}
 
 
 def _scan_all(text: pa.Array, before: list, built: tuple) -> pa.Array:
@@ -116,7 +147,7 @@ def _scan_all(text: pa.Array, before: list, built: tuple) -> pa.Array:
 def _scanner(held, width: int):
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in columns:
-            yield _scan_all(text, [None] * len(text), _automaton(held.value, width))
+            yield _scan_all(text, [None] * len(text), _automaton(held, width))
 
     return run
 
@@ -124,22 +155,22 @@ def _scanner(held, width: int):
 def _scanner_again(held, width: int):
     def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, before in columns:
-            yield _scan_all(text, before.to_pylist(), _automaton(held.value, width))
+            yield _scan_all(text, before.to_pylist(), _automaton(held, width))
 
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, max_windows: int = 50_000, into: str = "found") -> DataFrame:
-    """``docs`` with a struct column ``into``: n_words, n_hit, items (sorted as strings), spans (bytes of the text)."""
+def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, max_words: int = 1_000_000, into: str = "found") -> DataFrame:
+    """``docs`` with a struct column ``into``: n_words, n_hit, n_full (words hit by windows of full width), items (sorted as strings), spans (bytes of the text)."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).cast("binary").alias("t"))
     total = items.agg(F.sum(F.regexp_count(F.col("t").cast("string"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
-    shards = max(1, -(-total // max_windows))
+    shards = max(1, -(-total // max_words))
     out = docs
     for k in range(shards):  # one automaton at a time on the driver too
         own = sorted((r.i, bytes(r.t)) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k).toLocalIterator())
-        held = spark.sparkContext.broadcast(own)
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, own))
 
         if k:
             out = out.withColumn(into, F.arrow_udf(_scanner_again(held, width), FOUND_SQL)(F.col(f"`{text_col}`"), F.col(f"`{into}`")))

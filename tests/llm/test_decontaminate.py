@@ -17,13 +17,13 @@ def fixture():
     return docs, items
 
 
-@pytest.mark.parametrize("max_windows", [50_000, 60])
-def test_against_brute_force(spark, max_windows, monkeypatch):
+@pytest.mark.parametrize("max_words", [1_000_000, 60])
+def test_against_brute_force(spark, max_words, monkeypatch):
     docs, items = fixture()
     d = spark.createDataFrame([(k, t, "x", 5) for k, t in docs], "doc_id long, text string, found string, item_id int")
     b = spark.createDataFrame(items, "item_id long, text string")
     inner = decontaminate.find
-    monkeypatch.setattr(decontaminate, "find", lambda x, y: inner(x, y, max_windows=max_windows))
+    monkeypatch.setattr(decontaminate, "find", lambda x, y: inner(x, y, max_words=max_words))
     assert sorted(map(tuple, decontaminate.query(d, b).collect()), key=str) == contamination_rows(docs, items)
 
 
@@ -36,6 +36,14 @@ def test_clean_keeps_columns_and_spans_map_back(spark):
     assert [raw[s.start : s.end].decode() for s in row.found.spans] == ["Alpha BETA"]
 
 
+def test_repeated_and_shifted_blocks(spark):
+    """Items that hold a block twice, and texts that repeat it."""
+    items = [(1, " ".join(["a"] * 40)), (2, " ".join(f"w{i % 7}" for i in range(30))), (3, " ".join(f"w{i % 6}" for i in range(14)))]
+    docs = [(i, " ".join(["x", *["a"] * i, "y", *[f"w{k % 7}" for k in range(i)], "z", *[f"w{k % 6}" for k in range(3, i)]])) for i in range(1, 45)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.query(d, b).collect()), key=str) == contamination_rows(docs, items)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
