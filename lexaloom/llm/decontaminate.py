@@ -184,11 +184,15 @@ def contaminated(found: str = "found"):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns only."""
+    """The documents without a leak, with their own columns only.
+
+    A leak is any window of full width, however long the document is, or, where only items shorter than a window are hit
+    (which plain prose may hold by chance), a twentieth of the words.
+    """
     into = "__found"
     while into in docs.columns:
         into += "_"
-    return find(docs, benchmark, into=into, **options).where(~contaminated(into)).drop(into)
+    return find(docs, benchmark, into=into, **options).where(~(contaminated(into) | (F.col(f"{into}.n_full") > 0))).drop(into)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -36,6 +36,18 @@ def test_clean_keeps_columns_and_spans_map_back(spark):
     assert [raw[s.start : s.end].decode() for s in row.found.spans] == ["Alpha BETA"]
 
 
+def test_clean_drops_leaks_in_long_texts(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, short = say(30), "blue moon"
+    docs = [(1, say(3000)), (2, f"{say(1500)} {passage} {say(1500)}"), (3, f"{say(900)} {short} {say(900)}"), (4, f"{say(5)} {short}"), (5, f"{say(2000)} {' '.join(passage.split()[7:20])}"), (6, f"{say(2000)} {' '.join(passage.split()[7:19])}"), (7, f"{say(200_000)} {passage}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, passage), (2, short)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [1, 3, 6]
+    full = {r.doc_id: (r.found.n_hit, r.found.n_full) for r in decontaminate.find(d, b).collect()}
+    assert full == {1: (0, 0), 2: (30, 30), 3: (2, 0), 4: (2, 0), 5: (13, 13), 6: (0, 0), 7: (30, 30)}
+
+
 def test_repeated_and_shifted_blocks(spark):
     """Items that hold a block twice, and texts that repeat it."""
     items = [(1, " ".join(["a"] * 40)), (2, " ".join(f"w{i % 7}" for i in range(30))), (3, " ".join(f"w{i % 6}" for i in range(14)))]
