@@ -60,7 +60,7 @@ def release() -> None:
 def input_bytes(df: DataFrame, column: str) -> int:
     """About the bytes of a text column: the sources' file sizes, which the plan knows, times a compression factor; counted only where a source has no files."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    known = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return 3 * known if known < 1 << 55 else int(df.agg(F.sum(F.octet_length(F.col(f"`{column}`")).cast("long"))).first()[0] or 0)
 
 
