@@ -1,7 +1,8 @@
 """From raw documents to token files: language, near duplicates, benchmark leaks, source mix, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All
-stages but the last return the columns of documents.
+stages but the last return the columns of documents. Other columns come back unchanged, whatever their names; an empty table gives an
+empty one; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -15,27 +16,45 @@ REJECT_MARGIN = 0.002
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification; documents that it rejects go."""
+    """Language identification; documents that it rejects go.
+
+    Null, empty and letterless texts are rejected, as are ties between two languages; repeated rows are judged alike; null labels and
+    ids are not learned from.
+    """
     return language.accepted(docs, language.fit(docs), reject_margin=REJECT_MARGIN)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join; one document of each group of near duplicates stays."""
+    """N-gram Jaccard join; one document of each group of near duplicates stays.
+
+    It is the one with the smallest id (a null id comes last), then text digest; of repeated rows one stays, chosen by a hash of the other columns. A null
+    or wordless text is a group of its own.
+    """
     return near_join.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination; documents of which a twentieth or more is benchmark text go."""
+    """Benchmark decontamination; documents that hold a full window of a benchmark item go, or a twentieth of short items.
+
+    Null and wordless texts have no hits and stay; repeated rows are judged alike; an empty benchmark drops nothing.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights; a document comes as often as it is taken."""
+    """Mixing to target weights; a document comes as often as it is taken, twice at most.
+
+    A null source is a source of its own; null and blank texts have size 0; ties in size go by a hash of the id, then of the text and
+    the other columns; repeated rows are sampled one by one.
+    """
     return mixing.sample(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens and a checksum of the ids."""
+    """Token files, read back: doc_id, start, n_tokens and a checksum of the ids.
+
+    A null or blank text has the end id alone; a null id comes first; repeated rows and ids are written one by one.
+    """
     return token_files.query(docs)
 
 
