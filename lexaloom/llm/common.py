@@ -6,12 +6,12 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaloom.shipping import ship
 
-__all__ = ["input_bytes", "materialize", "partitions", "release", "scratch_path", "shared_dir", "ship"]
+__all__ = ["input_bytes", "materialize", "partitions", "release", "row_hash", "scratch_path", "shared_dir", "ship"]
 
 _TABLES: list[tuple[SparkSession, str]] = []
 
@@ -64,5 +64,10 @@ def input_bytes(df: DataFrame, column: str) -> int:
     return 3 * known if known < 1 << 55 else int(df.agg(F.sum(F.octet_length(F.col(f"`{column}`")).cast("long"))).first()[0] or 0)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, to order rows that are alike in every other key."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema if "variant" not in f.dataType.simpleString()])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

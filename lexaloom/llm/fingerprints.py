@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexaloom.llm.common import partitions, ship
+from lexaloom.llm.common import input_bytes, partitions, ship
 from lexaloom.llm.rolling import mix
 
 LONG, PART = 320, 160
@@ -223,16 +224,18 @@ def tail_edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edit: Callable[[str, str], str] = tail_edit) -> DataFrame:
+def versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edit: Callable[[str, str], str] = tail_edit, block_bytes: int = 8 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
     """Per row: id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The corpus is cut into ranges of ids at quantiles; each range also gets the first document of the next one, so texts
-    are shuffled once and no window runs over the whole table.
+    The corpus is cut into blocks of ids at quantiles, about ``block_bytes`` of text each; each block also gets the first document of the
+    next one, so texts are shuffled once and no window runs over the whole table. A task reads its blocks in order as a stream and holds
+    a slice of about ``slice_bytes`` and one document more, so neither equal ids nor few partitions fill its memory.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    blocks = 4 * partitions(spark)
+    size = input_bytes(docs, text_col)
+    blocks = max(4 * partitions(spark), -(-size // block_bytes))
     cuts = np.unique(np.array(rows.select(F.col("id").cast("double")).approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.1 / blocks), np.float64))
 
     def number(ids: pa.Array) -> pa.Array:
@@ -252,33 +255,40 @@ def versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         target = F.when(F.col("id").eqNullSafe(F.col("head")), F.col("to"))
     sent = own.select("id", "text", F.explode(F.filter(F.array(F.struct(F.col("block"), F.lit(True).alias("own")), F.struct(target.alias("block"), F.lit(False).alias("own"))), lambda x: x["block"].isNotNull())).alias("x")).select("x.block", "x.own", "id", "text")
 
-    def run(table: pa.Table) -> pa.Table:
-        mine = np.asarray(table.column("own"))
-        ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
-        key = lambda i: (ids[i] is not None, ids[i] or 0, texts[i])
-        order = sorted(np.flatnonzero(mine), key=key)
-        after = min(np.flatnonzero(~mine), key=key)
-        chain = [texts[i] for i in order] + [texts[after]]
-        out: dict[str, list] = {k: [] for k in ("n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-        for at in range(0, len(order), 1000):
-            part = chain[at : at + 1001] if at + 1001 <= len(chain) else chain[at:]
-            edited = [edit(a, b) for a, b in zip(part, part[1:])]
-            prints = fingerprints(part + edited)
-            plain, changed = prints[: len(part)], prints[len(part) :]
-            near = likeness([*zip(plain, changed), *zip(plain, plain[1:])])
-            out["n_chars"] += map(len, part[:-1])
-            out["edited"] += edited
-            out["fingerprint"] += plain[:-1]
-            out["edited_fingerprint"] += changed
-            out["near_edited"] += near[: len(edited)]
-            out["near_next"] += near[len(edited) :]
-        return pa.table({"id": table.column("id").take(pa.array(order, pa.int64())), **out}).cast(arrow)
+    def measured(ids: list, texts: list[str], after: str) -> pa.RecordBatch:
+        """Rows of consecutive documents of a block; after is the text that follows them."""
+        chain = [*texts, after]
+        edited = [edit(a, b) for a, b in zip(chain, chain[1:])]
+        prints = fingerprints(chain + edited)
+        plain, changed = prints[: len(chain)], prints[len(chain) :]
+        near = likeness([*zip(plain, changed), *zip(plain, plain[1:])])
+        columns = [ids, list(map(len, texts)), edited, plain[:-1], changed, near[: len(edited)], near[len(edited) :]]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list[str] = []
+        held, open_ = 0, None
+        for batch in batches:
+            block, mine = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for i, (b, own) in enumerate(zip(block.tolist(), mine.tolist())):
+                if not own and b != open_:
+                    continue  # the follower is known already
+                text = batch.column(3)[i].as_py()
+                if texts and (not own or held >= slice_bytes or len(texts) >= 1000):
+                    yield measured(ids, texts, text)
+                    ids, texts, held = [], [], 0
+                if own:
+                    ids.append(batch.column(2)[i].as_py())
+                    texts.append(text)
+                    held += len(text)
+                open_ = b if own else None
 
     schema = T.StructType().add("id", docs.schema[id_col].dataType).add("n_chars", "long").add("edited", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
-    return sent.groupBy("block").applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    tasks = max(partitions(spark), -(-size // (8 * block_bytes)))
+    ordered = sent.repartition(tasks, "block").sortWithinPartitions("block", F.col("own").desc(), F.col("id").asc_nulls_first(), "text")
+    return ordered.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ target stops at ``cap`` times its source's size and the excess goes to the other
 is one aggregate over the table of sources.
 
 Sampling: a document's expected copies are target / source size. Within a source the documents are ordered by size, then
-by a hash of the id; expected copies are prefix-summed in that order, one random offset per source is added, and a document is
+by a hash of the id, and ties by a hash of the row; expected copies are prefix-summed in that order, one random offset per source is added, and a document is
 emitted once per integer boundary that its interval crosses. Ordering by size makes the words taken follow the target closely.
 The prefix sum is distributed: counts per (source, size, salt) are summed first, rows are numbered within such a
 group only, so a source that holds a third of all rows is spread over all tasks.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaloom.llm.common import materialize
+from lexaloom.llm.common import materialize, row_hash
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -61,6 +61,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.coalesce(F.regexp_count(c(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
         h.alias("h"),
         F.substring(h, 1, 2).alias("salt"),
+        row_hash(docs.select(*[c(k) for k in keep]) if keep else docs.select(c(id_col), c(text_col), c(source_col))).alias("tie"),
     )
     if not keep:  # narrow: later passes needn't read the texts again
         rows = materialize(rows, "sizes")
@@ -68,9 +69,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     sizes = groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goal = targets(sizes, weights=weights, share=share, cap=cap).withColumn("skey", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))).drop("source")
     goal = goal.withColumn("offset", _fraction(F.concat(F.lit(seed), F.col("skey"))))
-    earlier = Window.partitionBy("skey").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    placed = groups.drop("source").withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n").join(goal, "skey")
-    within = Window.partitionBy("skey", "size", "salt").orderBy("h", "id")
+    # two levels: a task adds up the sizes of a source, others the salts of a size
+    earlier = Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("skey", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    level = groups.groupBy("skey", "size").agg(F.sum("n").alias("all")).withColumn("below", F.coalesce(F.sum("all").over(earlier), F.lit(0))).drop("all")
+    salted = groups.drop("source").withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0))).drop("n")
+    placed = salted.join(level, ["skey", "size"]).select("skey", "size", "salt", (F.col("below") + F.col("inside")).alias("before")).join(goal, "skey")
+    within = Window.partitionBy("skey", "size", "salt").orderBy("h", "id", "tie")
     ranked = rows.drop("source").withColumn("place", F.row_number().over(within)).join(placed, ["skey", "size", "salt"])
     rank = F.col("before") + F.col("place")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

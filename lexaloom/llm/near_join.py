@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from lexaloom.llm import rolling as R
 from lexaloom.llm.chunks import text_buffer
-from lexaloom.llm.common import materialize, ship
+from lexaloom.llm.common import materialize, row_hash, ship
 from lexaloom.llm.decontaminate import _SEPARATES, _TO_WORDS
 
 COORDINATES = 128
@@ -451,10 +451,10 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row of each class, the one with the smallest id, with the input's columns."""
     kept = join(docs, id_col=id_col, text_col=text_col, **options).where("keeper").select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"))
     c = lambda name: F.col(f"`{name}`")
-    rows = docs.select(F.struct(*[c(x) for x in docs.columns]).alias("__row"), c(id_col).alias("__key"), F.md5(c(text_col).cast("binary")).alias("__text"))
-    # a keeper is one row; rows equal to it in id and text are its copies
+    rows = docs.select(F.struct(*[c(x) for x in docs.columns]).alias("__row"), row_hash(docs).alias("__hash"), c(id_col).alias("__key"), F.md5(c(text_col).cast("binary")).alias("__text"))
+    # a keeper is one row; rows equal to it in id and text are its copies, of which a hash of the other columns chooses
     counted = kept.groupBy("__id", "__digest").agg(F.count(F.lit(1)).alias("__n"))
-    place = F.row_number().over(Window.partitionBy("__key", "__text").orderBy(F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("__key", "__text").orderBy("__hash"))
     chosen = rows.join(counted, F.col("__key").eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__digest"))).withColumn("__place", place).where("__place <= __n")
     return chosen.select("__row.*")
 

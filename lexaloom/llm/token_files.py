@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexaloom.llm.common import partitions, scratch_path, ship
+from lexaloom.llm.common import input_bytes, partitions, scratch_path, ship
 
 END_ID = 1
 KEEP_PIECES = 400_000
@@ -103,13 +103,17 @@ def encode(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
     return [b"".join(map(get, t.replace("\n", " ").split(" "))) + end for t in texts]
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 1 << 20, files: int | None = None) -> None:
-    """Write (id, shard, start_in_shard, n_tokens, tokens) below ``path`` in ascending id order over the shards."""
+def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 1 << 20, files: int | None = None, file_bytes: int = 128 << 20) -> None:
+    """Write (id, shard, start_in_shard, n_tokens, tokens) below ``path`` in ascending id order over the shards.
+
+    A shard is a file of about ``file_bytes`` of text, or less where that would leave tasks idle. Ranges are cut by id, then text, so
+    rows that share an id, or have none, are spread too.
+    """
     spark = docs.sparkSession
     ship(spark)
-    n = files or partitions(spark)
+    n = files or max(partitions(spark), -(-input_bytes(docs, text_col) // file_bytes))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

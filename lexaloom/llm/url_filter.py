@@ -1,13 +1,14 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features elsewhere (operator 7).
 
-URLs that a rule decides are the labelled ones. The trees learn from the ``sample`` labelled URLs with the smallest hash (a
-bound on what the driver holds, whatever the table's size) and judge the URLs that no rule fits. Features: lengths, path
+URLs that a rule decides are the labelled ones. The trees learn from the ``sample`` different labelled URLs with the smallest hash and
+judge the URLs that no rule fits. A count of the different labelled URLs gives a bound of the hash, below which about twice the
+sample lies: only these are made distinct, sorted and sent, so what reaches the driver doesn't grow with the table. Features: lengths, path
 depth, digit ratio, character entropy, parameter counts, label counts and the smoothed log-odds of the host's
 last two labels. Training is a few numpy histograms; the fitted trees become CASE expressions, so scoring stays in the JVM.
 
 Results for special cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the
 trees (its length counts as 0 if null); without labelled URLs of both kinds all the others get the verdict that exists, or ``allow``;
-repeated rows are judged alike; an empty table gives an empty one; other columns are ignored.
+repeated rows are judged alike and learned from once; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,7 +156,12 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
     rows = lexical(rows.withColumn("said", said))
     names = FEATURES[:-1]
-    picked = rows.where("said is not null").select((F.col("said") == "block").cast("double").alias("y"), "suffix", *names, F.xxhash64("url").alias("h"), "url").orderBy("h", "url").limit(sample).toPandas()
+    labelled = rows.where("said is not null").select("*", F.xxhash64("url").alias("h"))
+    total = labelled.agg(F.approx_count_distinct("h")).first()[0]
+    if total > 2 * sample:
+        labelled = labelled.where(F.col("h") < F.lit(int((2 * sample / total - 0.5) * 2**64)))
+    once = labelled.select((F.col("said") == "block").cast("double").alias("y"), "suffix", *names, "h", "url").dropDuplicates(["url"])
+    picked = once.orderBy("h", "url").limit(sample).toPandas()
     y = picked["y"].to_numpy()
     if len(set(y)) < 2:
         only = F.lit(1.0 if len(y) and y[0] else 0.0)
