@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from lexaloom.llm.common import input_bytes, partitions, scratch_path, ship
 
 END_ID = 1
-KEEP_PIECES = 400_000
+KEEP_PIECES = 250_000
 KEEP_LENGTH = 64
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORKER: dict[str, tuple] = {}
@@ -48,33 +48,57 @@ def _byte_letters() -> dict[int, str]:
 class _Pieces(dict):
     """Ids of blank-separated pieces of a lower-casing word-level tokenizer, computed when first met.
 
-    A run of Latin letters with ASCII punctuation behind it is two words of the model; anything else takes the whole tokenizer.
+    A run of Latin letters with ASCII punctuation behind it is two words of the model, each computed once; anything else takes
+    the whole tokenizer. Two generations are kept, so common pieces survive when the older one goes.
     """
 
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+    latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
     letters = _byte_letters()
+    tail = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.model, self.old, self.tails = tokenizer, tokenizer.model, {}, {}
         self[""] = b""
 
-    def word(self, text: str) -> list[int]:
+    def age(self) -> None:
+        self.old, self.tails = dict(self), {}
+        self.clear()
+        self[""] = b""
+
+    def word(self, text: str) -> bytes:
         spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(spelled)]
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) <= KEEP_LENGTH and (two := self.plain(piece)):
-            core, tail = two.groups()
-            ids = self.word(core.lower()) + (self.word(tail) if tail else [])
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        packed = array("I", ids).tobytes()
+        packed = self.old.get(piece)
+        if packed is None:
+            core = piece.rstrip(self.tail)
+            if len(piece) > KEEP_LENGTH or not self.latin(core):
+                packed = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            elif len(core) == len(piece):
+                packed = self.word(core.lower())
+            else:
+                end = piece[len(core) :]
+                if end not in self.tails:
+                    self.tails[end] = self.word(end)
+                packed = self[core] + self.tails[end]
         if len(piece) <= KEEP_LENGTH:
             self[piece] = packed
         return packed
 
 
+def _folded(text: str) -> str:
+    """In lower case where that is sure to be what the tokenizer makes of it; fewer pieces then differ."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def _tokenizer(path: str) -> tuple:
     if path not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,10 +121,9 @@ def encode(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
     if pieces is None:
         return [array("I", e.ids).tobytes() + end for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     if len(pieces) > KEEP_PIECES:
-        pieces.clear()
-        pieces[""] = b""
+        pieces.age()
     get = pieces.__getitem__
-    return [b"".join(map(get, t.replace("\n", " ").split(" "))) + end for t in texts]
+    return [b"".join(map(get, _folded(t).replace("\n", " ").split(" "))) + end for t in texts]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 1 << 20, files: int | None = None, file_bytes: int = 128 << 20) -> None:
