@@ -3,6 +3,10 @@
 A chunk holds about ``chunk_bytes`` of whole documents, compressed, in a written table: it has a stable
 identity, is never skewed, and later passes read it without touching the source again. A chunk sends each of its
 distinct hashes once, so a passage that a third of all documents share costs one record per chunk.
+
+Hot hashes, which a good part of all chunks hold, aren't even sent: a sample of chunks finds them (in ``HOT_LEAST`` of
+``HOT_CHUNKS``; a hash that is missed is in few of all chunks), they are broadcast, and since they are known to repeat every chunk answers
+itself. No bucket gets a record from each chunk then. The sample decides only who answers, never what: results are those without it.
 """
 
 from __future__ import annotations
@@ -21,6 +25,10 @@ from lexaloom.llm.common import materialize, partitions, ship
 SENT = "bucket int, chunk long, keys binary, more binary"
 REPLY = "chunk long, phase int, bucket int, codes binary"
 CHUNK_BYTES = 1 << 20
+HOT_CHUNKS, HOT_LEAST = 128, 3
+#: Hot hashes that are broadcast at most, the most frequent first: 24 bytes each at most.
+HOT_KEYS = 400_000
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +95,7 @@ class Chunk:
     """One row of the chunk table, unpacked."""
 
     def __init__(self, row: pa.Table) -> None:
+        self.name = row.column("chunk")[0].as_py()
         self.ids = row.column("ids").combine_chunks().flatten()
         lens = np.asarray(row.column("lens").combine_chunks().flatten())
         self.null = lens < 0
@@ -96,10 +105,63 @@ class Chunk:
         self.data = np.frombuffer(raw, np.uint8)
 
 
-def bucket_count(chunks: DataFrame, bytes_per_bucket: int) -> int:
+def totals(chunks: DataFrame) -> tuple[int, int]:
+    """Bytes and chunks."""
+    r = chunks.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+    return r[0] or 0, r[1]
+
+
+def bucket_count(chunks: DataFrame, size: int, bytes_per_bucket: int) -> int:
     """So many buckets that each holds a bounded part, whatever the size of the corpus."""
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(partitions(chunks.sparkSession), -(-total // bytes_per_bucket))
+    return max(partitions(chunks.sparkSession), -(-size // bytes_per_bucket))
+
+
+def sampled(chunks: DataFrame, n: int, emit: Callable[[Chunk], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """What emit finds in about ``HOT_CHUNKS`` of the n chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = emit(Chunk(pa.Table.from_batches([batch.slice(i, 1)])))
+                yield pa.record_batch({k: pa.array(np.ascontiguousarray(v).view(np.int64)) for k, v in found.items()})
+
+    some = chunks if n <= HOT_CHUNKS else chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(n)) < HOT_CHUNKS)
+    return some.mapInArrow(run, schema)
+
+
+def hottest(counted: DataFrame, *keys: str) -> np.ndarray:
+    """The keys with n >= ``HOT_LEAST``, sorted; a column for each key."""
+    table = counted.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys).toArrow()
+    out = np.stack([np.asarray(table.column(k)).view(np.uint64) for k in keys], 1) if table.num_rows else np.zeros((0, len(keys)), np.uint64)
+    return out[np.argsort(out[:, 0], kind="stable")]
+
+
+def among(hot: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are rows of ``hot`` (in its first columns), and where."""
+    if not len(hot):
+        return np.zeros(len(keys[0]), bool), np.zeros(len(keys[0]), np.int64)
+    at = np.minimum(np.searchsorted(hot[:, 0], keys[0]), len(hot) - 1)
+    same = np.ones(len(keys[0]), bool)
+    for k, key in enumerate(keys):
+        same &= hot[at, k] == key
+    return same, at
+
+
+def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), PAIR)
+    out["a"], out["b"] = a, b
+    return out
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b), the number of each and which one every element is. Should two pairs share an a, one may come twice."""
+    order = np.argsort(a, kind="stable")
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    first = np.flatnonzero(new)
+    inverse = np.empty(len(a), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return a[order[first]], b[order[first]], np.diff(np.append(first, len(a))), inverse
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +182,7 @@ def sent(chunk: int, names: np.ndarray, bounds: np.ndarray, keys: np.ndarray, mo
     })
 
 
-def received(table: pa.Table, keys: type, more: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def received(table: pa.Table, keys: type | np.dtype, more: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys and more of a bucket's rows, and where each row begins."""
     k = [np.frombuffer(x.as_buffer(), keys) for x in table.column("keys")]
     m = [np.frombuffer(x.as_buffer(), more) for x in table.column("more")]
@@ -136,14 +198,20 @@ def answer(table: pa.Table, phase: int, codes: np.ndarray, bounds: np.ndarray) -
     })
 
 
-def repeated(phase: int, keys: type) -> Callable[[pa.Table], pa.Table]:
+def repeated(phase: int, keys: type | np.dtype) -> Callable[[pa.Table], pa.Table]:
     """Reducer of a bucket: code 1 for each key that another chunk sent too, or that its sender saw more than once."""
 
     def run(table: pa.Table) -> pa.Table:
         key, more, bounds = received(table, keys, np.uint8)
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        twice = (count > 1) | (np.bincount(inverse, weights=more, minlength=len(count)) > 0)
-        return answer(table, phase, twice[inverse].astype(np.uint8), bounds)
+        parts = [key[n] for n in keys.names] if isinstance(keys, np.dtype) and keys.names else [key]
+        order = np.lexsort(parts[::-1])
+        new = np.ones(len(key), bool)
+        new[1:] = np.any([p[order[1:]] != p[order[:-1]] for p in parts], axis=0)
+        group = np.cumsum(new) - 1
+        twice = (np.bincount(group) > 1) | (np.bincount(group, weights=more[order]) > 0)
+        codes = np.empty(len(key), np.uint8)
+        codes[order] = twice[group]
+        return answer(table, phase, codes, bounds)
 
     return run
 

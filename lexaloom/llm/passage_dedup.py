@@ -5,8 +5,8 @@ onto D. Only the windows of ``length - period + 1`` words that begin at cover po
 equal windows of ``length`` words, wherever they begin, share such an anchor at the same shift, so a window without
 a repeated anchor can't repeat. The windows that extend a repeated anchor are then compared in full.
 
-Words are maximal runs of anything but ASCII white space, compared by 64-bit hashes of their sequence (32 bits within a bucket
-for the anchors, which only select).
+Words are maximal runs of anything but ASCII white space. Windows are compared by 128-bit hashes of their word sequence; anchors by
+32 bits within a bucket, since they only select. Anchors and windows that a good part of all chunks hold are known beforehand (see ``chunks``).
 
 Results for special cases: a null or empty text has no words and keeps an empty string; fewer words than a window are
 kept whole; windows never cross documents; repeated rows count as occurrences of each other; each input row gives one
@@ -35,7 +35,7 @@ def period_for(length: int) -> int:
 
 
 class _Words:
-    def __init__(self, chunk: C.Chunk, length: int, period: int, buckets: int) -> None:
+    def __init__(self, chunk: C.Chunk, length: int, period: int, buckets: int, hot: np.ndarray) -> None:
         self.chunk, self.length = chunk, length
         start, end, self.bounds = R.words_of_texts(chunk.data, chunk.offsets, R.SPACES)  # words of document d: bounds[d]:bounds[d+1]
         self.start, self.end = start, end
@@ -49,51 +49,84 @@ class _Words:
         inside = R.ranges(np.zeros(len(fit), np.int64), fit)
         self.at = at[cover[inside % period]]
         anchors = R.spans(self.h, self.at, self.at + self.size)
-        self.keys, self.inverse, count = np.unique(anchors, return_inverse=True, return_counts=True)
-        self.more = (count > 1).astype(np.uint8)
+        self.anchors, self.inverse, count = np.unique(anchors, return_inverse=True, return_counts=True)
+        self.hot = C.among(hot, self.anchors)[0]
+        self.keys, self.more = self.anchors[~self.hot], (count[~self.hot] > 1).astype(np.uint8)
         self.order, self.names, self.edges = C.by_bucket(self.keys, buckets)
 
-    def windows(self, replies: pa.Table, buckets: int) -> None:
-        live = np.empty(len(self.keys), bool)
-        live[self.order] = C.codes_of(replies, 1, self.names, len(self.keys)) > 0
+    def live(self, replies: pa.Table) -> np.ndarray:
+        told = np.empty(len(self.keys), bool)
+        told[self.order] = C.codes_of(replies, 1, self.names, len(self.keys)) > 0
+        out = np.ones(len(self.anchors), bool)
+        out[~self.hot] = told
+        return out
+
+    def windows(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows with a live anchor, as two hashes, and the number of each."""
         flag = np.zeros(len(self.start) + self.period + 1, np.int64)
         flag[self.at[live[self.inverse]]] = 1
         total = np.append(0, np.cumsum(flag))
         at = R.ranges(self.bounds[:-1], np.maximum(self.counts - self.length + 1, 0))
         self.starts = at[total[at + self.period] > total[at]]
-        self.wkeys, self.which, count = np.unique(R.spans(self.h, self.starts, self.starts + self.length), return_inverse=True, return_counts=True)
-        self.known = (count > 1).astype(np.uint8)
-        self.worder, self.wnames, self.wedges = C.by_bucket(self.wkeys, buckets)
+        other = R.prefix(R.spans(R.byte_prefix(self.chunk.data, R.OTHER), self.start, self.end, R.OTHER), R.OTHER) if len(self.starts) else self.h
+        a, b, count, self.which = C.distinct_pairs(R.spans(self.h, self.starts, self.starts + self.length), R.spans(other, self.starts, self.starts + self.length, R.OTHER))
+        return a, b, count
+
+    def ask(self, live: np.ndarray, hot: np.ndarray, buckets: int) -> None:
+        a, b, count = self.windows(live)
+        self.known = C.among(hot, a, b)[0]
+        self.wkeys, self.seen = C.pairs(a, b)[~self.known], (count[~self.known] > 1).astype(np.uint8)
+        self.worder, self.wnames, self.wedges = C.by_bucket(self.wkeys["a"], buckets)
+
+    def twice(self, replies: pa.Table) -> np.ndarray:
+        told = np.empty(len(self.wkeys), bool)
+        told[self.worder] = C.codes_of(replies, 2, self.wnames, len(self.wkeys)) > 0
+        out = np.ones(len(self.known), bool)
+        out[~self.known] = told
+        return out[self.which]
 
 
 def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, period: int | None = None, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """Per row: id, n_words, removed spans (word positions, maximal), kept (the other words, joined by one space)."""
     packed = C.pack(docs, id_col, text_col, chunk_bytes)
     step = period or period_for(length)
-    buckets = C.bucket_count(packed, 32 << 20)
-    fine = C.bucket_count(packed, 16 << 20)
+    size, n = C.totals(packed)
+    buckets = C.bucket_count(packed, size, 32 << 20)
+    fine = C.bucket_count(packed, size, 16 << 20)
+    none = np.zeros((0, 1), np.uint64)
+    found = C.sampled(packed, n, lambda chunk: {"a": _Words(chunk, length, step, buckets, none).anchors}, "a long")
+    hot = C.hottest(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+
+    def in_windows(chunk: C.Chunk) -> dict[str, np.ndarray]:
+        w = _Words(chunk, length, step, buckets, hot)
+        a, b, _ = w.windows(w.hot)
+        return {"a": a, "b": b}
+
+    wide = C.hottest(C.sampled(packed, n, in_windows, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "a", "b") if len(hot) else np.zeros((0, 2), np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast((hot, wide))  # bounded by HOT_KEYS
 
     def first(name: int, chunk: C.Chunk) -> pa.Table:
-        w = _Words(chunk, length, step, buckets)
+        w = _Words(chunk, length, step, buckets, held.value[0])
         return C.sent(name, w.names, w.edges, w.keys[w.order].astype(np.uint32), w.more[w.order])
 
+    def asked(chunk: C.Chunk, replies: pa.Table) -> _Words:
+        w = _Words(chunk, length, step, buckets, held.value[0])
+        w.ask(w.live(replies), held.value[1], fine)
+        return w
+
     def second(name: int, chunk: C.Chunk, replies: pa.Table) -> pa.Table:
-        w = _Words(chunk, length, step, buckets)
-        w.windows(replies, fine)
-        return C.sent(name, w.wnames, w.wedges, w.wkeys[w.worder], w.known[w.worder])
+        w = asked(chunk, replies)
+        return C.sent(name, w.wnames, w.wedges, w.wkeys[w.worder], w.seen[w.worder])
 
     def finish(chunk: C.Chunk, replies: pa.Table) -> pa.Table:
-        w = _Words(chunk, length, step, buckets)
-        w.windows(replies, fine)
-        twice = np.empty(len(w.wkeys), bool)
-        twice[w.worder] = C.codes_of(replies, 2, w.wnames, len(w.wkeys)) > 0
-        hit = w.starts[twice[w.which]]
+        w = asked(chunk, replies)
+        hit = w.starts[w.twice(replies)]
         n = len(w.start)
         change = np.bincount(hit, minlength=n + 1).astype(np.int64) - np.bincount(hit + length, minlength=n + 1)
         return kept_words(w, np.cumsum(change)[:n] > 0, id_col)
 
     schema = T.StructType().add(id_col, docs.schema[id_col].dataType).add("n_words", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "string")
-    return C.two_phases(packed, first, C.repeated(1, np.uint32), second, C.repeated(2, np.uint64), finish, schema)
+    return C.two_phases(packed, first, C.repeated(1, np.uint32), second, C.repeated(2, C.PAIR), finish, schema)
 
 
 def kept_words(w: _Words, gone: np.ndarray, id_col: str) -> pa.Table:

@@ -9,8 +9,10 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
+#: A second hash, independent of the first; together they have 128 bits.
+OTHER = 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
-_INV = pow(BASE, -1, 1 << 64)
+_INV = {b: pow(b, -1, 1 << 64) for b in (BASE, OTHER)}
 _POW: dict[int, np.ndarray] = {}
 
 
@@ -40,22 +42,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_TABLES = {BASE: TABLE, OTHER: mix(TABLE + np.uint64(OTHER))}
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
+def prefix(values: np.ndarray, base: int = BASE) -> np.ndarray:
     """H with H[k] = sum of values[:k] * B**i."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(BASE, len(values)), out=out[1:])
+    np.cumsum(values * _powers(base, len(values)), out=out[1:])
     return out
 
 
-def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return prefix(TABLE[data])
+def byte_prefix(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    return prefix(_TABLES[base][data], base)
 
 
-def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
     """Mixed hash of values[start:end] for arrays of starts and ends."""
-    return mix((h[end] - h[start]) * _powers(_INV, len(h))[start])
+    return mix((h[end] - h[start]) * _powers(_INV[base], len(h))[start])
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -63,7 +66,7 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return mix((h[size:] - h[:n]) * _powers(_INV, len(h))[:n])
+    return mix((h[size:] - h[:n]) * _powers(_INV[BASE], len(h))[:n])
 
 
 def sliding_min(key: np.ndarray, width: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 This takes the place of the depth-limited radix sort of suffixes: only equality up to the threshold depth matters, so nothing is
 ordered by digit passes. What is alone in its group drops out after each pass, and the groups that are left at full depth are
-the repeated windows, up to collisions of 64-bit hashes.
+the repeated windows, up to collisions of 128-bit hashes.
 
 * Which suffixes: shipping all of them costs more than ten times the text. A window's *anchor* is the smallest hash
   among its ``width // 2``-byte grams, so equal windows have equal anchors at equal offsets. Only what begins where an
@@ -12,7 +12,8 @@ the repeated windows, up to collisions of 64-bit hashes.
   windows repeat, and where it is the only block of its gram none does.
 * Pass 3, by the whole window: for grams with several different blocks, one block of each kind sends each window.
 
-Grams, blocks and windows are compared by 64-bit hashes (32 bits within a bucket for pass 1, which only selects).
+Windows are compared by 128-bit hashes, blocks by 64 bits among those of one gram (32 bits within a bucket), so by more than 96. Grams that
+a good part of all chunks hold go straight to pass 3, where one chunk speaks for each of their hot blocks (see ``chunks``).
 
 Results for special cases: a null text has no bytes and gives an empty ``kept``; an empty or short text is kept whole;
 matches never cross documents; repeated rows (same id or not) count as occurrences of each other; every input row gives
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 
 from lexaloom.llm import chunks as C
 from lexaloom.llm import rolling as R
+from lexaloom.llm.common import materialize
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -36,7 +38,7 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 class _Blocks:
     """Anchors and blocks of a chunk. Sent pairs are distinct by block."""
 
-    def __init__(self, chunk: C.Chunk, width: int, buckets: int) -> None:
+    def __init__(self, chunk: C.Chunk, width: int, buckets: int, hot: tuple) -> None:
         self.width, self.chunk = width, chunk
         gram = width // 2
         span = width - gram + 1
@@ -56,27 +58,42 @@ class _Blocks:
         block = R.spans(self.h, self.first, self.last + width)
         self.blocks, index, self.inverse, count = np.unique(block, return_index=True, return_inverse=True, return_counts=True)
         self.grams = grams[anchor[index]]
-        self.more = (count > 1).astype(np.uint8)
-        self.order, self.names, self.bounds = C.by_bucket(self.grams, buckets)
+        self.hot = C.among(hot[0], self.grams)[0]
+        self.rest = np.flatnonzero(~self.hot)
+        self.more = (count[self.rest] > 1).astype(np.uint8)
+        self.order, self.names, self.bounds = C.by_bucket(self.grams[self.rest], buckets)
 
-    def codes(self, replies: pa.Table) -> np.ndarray:
+    def codes(self, replies: pa.Table, hot: tuple) -> np.ndarray:
         """Pass 2's code for each block in text order."""
-        out = np.empty(len(self.blocks), np.uint8)
-        out[self.order] = C.codes_of(replies, 1, self.names, len(self.blocks))
+        out = np.full(len(self.blocks), 3, np.uint8)
+        told = np.empty(len(self.rest), np.uint8)
+        told[self.order] = C.codes_of(replies, 1, self.names, len(self.rest))
+        out[self.rest] = told
+        known, at = C.among(hot[1], self.blocks, self.grams)
+        known &= self.hot
+        if known.any():
+            out[known] = np.where(hot[1][at[known], 2] == np.uint64(self.chunk.name), 2, 1)
         return out[self.inverse]
 
-    def windows(self, codes: np.ndarray, buckets: int) -> None:
+    def windows(self, codes: np.ndarray, hot: tuple, buckets: int) -> None:
         """Pass 3's windows of the blocks with code 2 or 3."""
         some = codes >= 2
         length = self.last[some] - self.first[some] + 1
         self.starts = R.ranges(self.first[some], length)
-        wanted = np.repeat(codes[some] == 3, length)
-        keys = R.spans(self.h, self.starts, self.starts + self.width)
-        self.keys, self.which, count = np.unique(keys, return_inverse=True, return_counts=True)
-        sure = np.bincount(self.which, weights=~wanted, minlength=len(self.keys)) > 0
-        self.known = (count > 1) | sure
-        self.wanted = wanted
-        self.korder, self.knames, self.kbounds = C.by_bucket(self.keys, buckets)
+        self.wanted = np.repeat(codes[some] == 3, length)
+        other = R.byte_prefix(self.chunk.data, R.OTHER) if len(self.starts) else self.h
+        a, b, count, self.which = C.distinct_pairs(R.spans(self.h, self.starts, self.starts + self.width), R.spans(other, self.starts, self.starts + self.width, R.OTHER))
+        sure = np.bincount(self.which, weights=~self.wanted, minlength=len(a)) > 0
+        self.known = C.among(hot[2], a, b)[0]
+        self.keys, self.seen = C.pairs(a, b)[~self.known], ((count > 1) | sure)[~self.known].astype(np.uint8)
+        self.korder, self.knames, self.kbounds = C.by_bucket(self.keys["a"], buckets)
+
+    def twice(self, replies: pa.Table) -> np.ndarray:
+        told = np.empty(len(self.keys), bool)
+        told[self.korder] = C.codes_of(replies, 2, self.knames, len(self.keys)) > 0
+        out = np.ones(len(self.known), bool)
+        out[~self.known] = told
+        return out[self.which]
 
 
 def _pair(grams: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -106,41 +123,66 @@ def _judge(table: pa.Table) -> pa.Table:
     return C.answer(table, 1, out, bounds)
 
 
+def _hot(packed: DataFrame, n: int, width: int, buckets: int, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hot grams; hot blocks (block, gram, the chunk that speaks for it); hot windows among the other blocks of hot grams."""
+    one, three, two = (np.zeros((0, k), np.uint64) for k in (1, 3, 2))
+
+    def blocks(chunk: C.Chunk) -> dict[str, np.ndarray]:
+        b = _Blocks(chunk, width, buckets, (one, three, two))
+        return {"gram": b.grams, "block": b.blocks, "chunk": np.full(len(b.blocks), chunk.name)}
+
+    found = materialize(C.sampled(packed, n, blocks, "gram long, block long, chunk long").groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk")), "hot")
+    grams = C.hottest(found.groupBy("gram").agg(F.sum("n").alias("n")), "gram")
+    if not len(grams):
+        return one, three, two
+    same = C.hottest(found, "block", "gram", "chunk")
+    told = (grams, same, two)
+
+    def windows(chunk: C.Chunk) -> dict[str, np.ndarray]:
+        b = _Blocks(chunk, width, buckets, told)
+        known, _ = C.among(same, b.blocks, b.grams)
+        b.windows(np.where(b.hot & ~known, 3, 0).astype(np.uint8)[b.inverse], told, fine)
+        return {"a": b.keys["a"], "b": b.keys["b"]}
+
+    return grams, same, C.hottest(C.sampled(packed, n, windows, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "a", "b")
+
+
 def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """Per row: id, n_bytes, removed spans (byte offsets, maximal), kept (the other bytes).
 
     A byte goes if a ``width``-byte string that covers it also starts anywhere else in the input.
     """
     packed = C.pack(docs, id_col, text_col, chunk_bytes)
-    buckets = C.bucket_count(packed, 32 << 20)
-    fine = C.bucket_count(packed, 8 << 20)
+    size, n = C.totals(packed)
+    buckets = C.bucket_count(packed, size, 32 << 20)
+    fine = C.bucket_count(packed, size, 8 << 20)
+    held = docs.sparkSession.sparkContext.broadcast(_hot(packed, n, width, buckets, fine))  # bounded by HOT_KEYS
 
     def first(name: int, chunk: C.Chunk) -> pa.Table:
-        b = _Blocks(chunk, width, buckets)
-        return C.sent(name, b.names, b.bounds, _pair(b.grams[b.order], b.blocks[b.order]), b.more[b.order])
+        b = _Blocks(chunk, width, buckets, held.value)
+        return C.sent(name, b.names, b.bounds, _pair(b.grams[b.rest][b.order], b.blocks[b.rest][b.order]), b.more[b.order])
 
     def second(name: int, chunk: C.Chunk, replies: pa.Table) -> pa.Table:
-        b = _Blocks(chunk, width, buckets)
-        b.windows(b.codes(replies), fine)
-        return C.sent(name, b.knames, b.kbounds, b.keys[b.korder], b.known[b.korder].astype(np.uint8))
+        b = _Blocks(chunk, width, buckets, held.value)
+        b.windows(b.codes(replies, held.value), held.value, fine)
+        return C.sent(name, b.knames, b.kbounds, b.keys[b.korder], b.seen[b.korder])
 
     def finish(chunk: C.Chunk, replies: pa.Table) -> pa.Table:
-        b = _Blocks(chunk, width, buckets)
-        codes = b.codes(replies)
-        b.windows(codes, fine)
-        twice = np.empty(len(b.keys), bool)
-        twice[b.korder] = C.codes_of(replies, 2, b.knames, len(b.keys)) > 0
+        b = _Blocks(chunk, width, buckets, held.value)
+        codes = b.codes(replies, held.value)
+        b.windows(codes, held.value, fine)
+        twice = b.twice(replies)
         change = np.zeros(len(chunk.data) + 1, np.int32)
         whole = (codes == 1) | (codes == 2)
         np.add.at(change, b.first[whole], 1)
         np.add.at(change, b.last[whole] + width, -1)
-        single = b.starts[b.wanted & twice[b.which]]
+        single = b.starts[b.wanted & twice]
         change[: len(chunk.data)] += np.bincount(single, minlength=len(chunk.data) + 1)[: len(chunk.data)].astype(np.int32)
         change -= np.bincount(single + width, minlength=len(chunk.data) + 1)[: len(chunk.data) + 1].astype(np.int32)
         return kept_table(chunk, np.cumsum(change[:-1]) > 0, id_col)
 
     schema = T.StructType().add(id_col, docs.schema[id_col].dataType).add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
-    return C.two_phases(packed, first, _judge, second, C.repeated(2, np.uint64), finish, schema)
+    return C.two_phases(packed, first, _judge, second, C.repeated(2, C.PAIR), finish, schema)
 
 
 def kept_table(chunk: C.Chunk, gone: np.ndarray, id_col: str) -> pa.Table:

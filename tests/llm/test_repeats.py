@@ -3,6 +3,7 @@ import random
 import pytest
 from brute import passage_rows, substring_rows
 
+from lexaloom.llm import chunks as C
 from lexaloom.llm import passage_dedup, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_bytes string, chunk int"
@@ -37,6 +38,37 @@ def test_against_brute_force(spark, seed, chunk):
         assert sorted(map(tuple, got), key=str) == brute(docs)
 
 
+def test_passage_in_a_third_of_all_documents(spark, monkeypatch):
+    """Hot hashes: many chunks, each with the same passage between its own words; the sample finds it, whole and at its edges."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    hot, also = prose(90), prose(45)
+    docs = []
+    for i in range(240):
+        body = [prose(rng.randint(20, 60)), prose(rng.randint(0, 30))]
+        if i % 3 == 0:
+            body.insert(1, hot)
+        elif i % 5 == 0:
+            body.insert(1, " ".join(hot.split()[rng.randint(0, 40) :]))
+        elif i % 50 == 1:
+            body.insert(1, also)
+        docs.append((i, " ".join(body)))
+    df = spark.createDataFrame([(k, t, "other", 1) for k, t in docs], SCHEMA).repartition(3)
+    for limits in ({}, {"HOT_KEYS": 20}):
+        for name, value in limits.items():
+            monkeypatch.setattr(C, name, value)
+        for module, name, brute in ((substring_dedup, "remove_repeated_substrings", substring_rows), (passage_dedup, "remove_repeated_passages", passage_rows)):
+            inner = getattr(module, name)
+            with monkeypatch.context() as m:
+                m.setattr(module, name, lambda d: inner(d, chunk_bytes=600))  # noqa: B023
+                sent = []
+                before = C.two_phases
+                m.setattr(C, "two_phases", lambda chunks, *rest: (sent.append(chunks.count()), before(chunks, *rest))[1])  # noqa: B023
+                got = module.query(df).collect()
+            assert sent[0] > C.HOT_CHUNKS and sorted(map(tuple, got), key=str) == brute(docs)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert substring_dedup.query(df).collect() == []
