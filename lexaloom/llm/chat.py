@@ -1,8 +1,8 @@
 """Chat formatting with relational expressions only (operator 2).
 
-Turns are ordered, adjacent turns of one role become one block, and blocks are concatenated:
-``<|im_start|>role\\n`` text ``<|im_end|>\\n``, with ``<|im_sep|>`` between the turns of a block. Offsets come from running
-sums, so a conversation costs time in proportion to its length.
+The turns of a conversation are collected as structs and sorted; adjacent turns of one role are merged by slices of that array into one block,
+and blocks are concatenated: ``<|im_start|>role\\n`` text ``<|im_end|>\\n``, with ``<|im_sep|>`` between the turns of a block. Offsets are
+running sums over the pieces, on two levels, so a conversation costs time about in proportion to its length.
 
 Escaping is reversible: in a text each ``<``, backslashes, ``|`` gets one more backslash, so no control string is left and
 reading back removes one. In a role, backslashes and line ends are escaped as well.
@@ -16,11 +16,15 @@ other columns are ignored. A conversation is one output value, so it must fit in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, SEP = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 TRAINED = "assistant"
+#: Pieces whose sizes are added up at a time.
+STEP = 256
 
 
 def escape(text: Column) -> Column:
@@ -40,27 +44,43 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
+def _grown(sizes: Column, first: Column) -> Column:
+    """first plus the sum of what comes before, for each element."""
+    start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(sizes, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def _cut(array: Column, starts: Column, turn: Callable[[Column], Column]) -> Column:
+    """Slices of an array from each start to the next, as turn makes them."""
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(array) + 1))
+    return F.zip_with(starts, ends, lambda a, b: turn(F.slice(array, a, b - a)))
+
+
 def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = TRAINED) -> DataFrame:
     """Per conversation: conv_id, formatted, blocks (role, number of turns), loss_spans (start, length in code points)."""
     c = lambda name: F.col(f"`{name}`")
-    rows = turns.select(c(conv_col).alias("conv"), c(turn_col).alias("turn"), F.coalesce(c(role_col), F.lit("")).alias("role"), F.coalesce(c(text_col), F.lit("")).alias("raw"))
-    order = Window.partitionBy("conv").orderBy("turn", "role", "raw")
-    rows = rows.withColumn("same", F.coalesce(F.lag("role").over(order) == F.col("role"), F.lit(False)))
-    rows = rows.withColumn("last", F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True)))
-    body = escape(F.col("raw"))
-    head = F.when(F.col("same"), F.lit(SEP)).otherwise(F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")))
-    tail = F.when(F.col("last"), F.lit(END + "\n")).otherwise(F.lit(""))
-    rows = rows.select("conv", "turn", "raw", "role", "same", head.alias("head"), body.alias("body"), tail.alias("tail"))
-    rows = rows.withColumn("size", F.char_length("head") + F.char_length("body") + F.char_length("tail"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)) + F.char_length("head")).withColumn("n", F.row_number().over(order))
-    piece = F.struct("n", F.concat("head", "body", "tail").alias("out"), "role", "same", F.struct("start", F.char_length("body").cast("long").alias("length")).alias("span"))
-    grouped = rows.groupBy("conv").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    return grouped.select(
+    turn = F.struct(c(turn_col).alias("turn"), F.coalesce(c(role_col), F.lit("")).alias("role"), F.coalesce(c(text_col), F.lit("")).alias("raw"))
+    rows = turns.select(c(conv_col).alias("conv"), turn.alias("t")).groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    role = lambda i: F.get("t", i)["role"]
+    first = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.coalesce(role(i - 2) != role(i - 1), F.lit(True)))
+    rows = rows.withColumn("starts", first)
+    rows = rows.select("conv", _cut(F.col("t"), F.col("starts"), lambda s: F.struct(F.get(s, 0)["role"].alias("role"), F.transform(s, lambda x: x["raw"]).alias("texts"))).alias("blocks"))
+
+    def pieces(block: Column) -> Column:
+        head = F.concat(F.lit(START), escape_role(block["role"]), F.lit("\n"))
+        return F.transform(block["texts"], lambda x, i: F.struct(F.when(i == 0, head).otherwise(F.lit(SEP)).alias("head"), escape(x).alias("body"), F.when(i == F.size(block["texts"]) - 1, F.lit(END + "\n")).otherwise(F.lit("")).alias("tail"), (block["role"] == trained).alias("loss")))
+
+    rows = rows.withColumn("p", F.flatten(F.transform("blocks", pieces)))
+    rows = rows.withColumn("sizes", F.transform("p", lambda x: (F.char_length(x["head"]) + F.char_length(x["body"]) + F.char_length(x["tail"])).cast("long")))
+    rows = rows.withColumn("parts", _cut(F.col("sizes"), F.sequence(F.lit(1), F.size("sizes"), F.lit(STEP)), lambda s: s))
+    rows = rows.withColumn("base", _grown(F.transform("parts", lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0).cast("long")))
+    rows = rows.withColumn("before", F.flatten(F.zip_with("parts", "base", _grown)))
+    spans = F.zip_with("p", "before", lambda x, at: F.struct(x["loss"].alias("loss"), (at + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).cast("long").alias("length")))
+    return rows.select(
         F.col("conv").alias(conv_col),
-        F.array_join(F.transform("p", lambda x: x["out"]), "").alias("formatted"),
-        F.transform(F.filter("p", lambda x: ~x["same"]), lambda x: x["role"]).alias("blocks"),
-        F.transform(F.filter("p", lambda x: x["role"] == trained), lambda x: x["span"]).alias("loss_spans"),
+        F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"),
+        F.transform("blocks", lambda b: b["role"]).alias("blocks"),
+        F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"),
     )
 
 

@@ -59,3 +59,17 @@ def test_chat_round_trip(spark):
     attack = chat.query(df).where("conv_id = -1").first()
     assert attack.n_turns == 2 and attack.loss_sha256 == hashlib.sha256(b"<|im_end|><|im_start|>assistant ok").hexdigest()
     assert len(chat.query(df.limit(0)).collect()) == 1
+
+
+def test_long_conversations_and_texts(spark):
+    rows = [(1, i, "user" if i % 3 else "assistant", f"t{i} <|im_sep|> \\" * (i % 4)) for i in range(2000)] + [(2, 0, "assistant", "é<|" * 100_000)] + [(3, i, "assistant", "same") for i in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    names, want = oracle(chat.SQL, conversations=df)
+    assert sorted(str(tuple(r)) for r in chat.query(df).select(*names).collect()) == want
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i // 3, "one two three", "s", i) for i in range(300)] + [(7, "w " * 100_000, "s", 1), (7, "w " * 100_000, "s", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    a, b = (sorted(map(tuple, mixing.sample(d).select("doc_id", "extra").collect())) for d in (df, df.orderBy("extra", ascending=False).repartition(5)))
+    assert a == b and len(a) > 300
