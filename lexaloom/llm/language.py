@@ -5,9 +5,9 @@ Each language has a raw-content zstandard dictionary made of labelled text. A te
 second size over the best minus one; a text whose margin is below ``reject_margin`` is rejected. Blocks keep the margin of
 a long text as large as that of a short one, since the dictionary is in reach of every block. Case is folded on both sides.
 
-Training reads a bounded sample: for each label the ``sample_docs`` documents with the smallest hash of their id, and of
-these at most ``sample_chars`` characters each. The sample is split in two, and what the other half's dictionaries clearly take
-for another language is left out, since labels contain errors. At most ``max_labels`` labels are allowed, which bounds what is broadcast.
+Training reads a bounded sample: of the ``max_labels`` most frequent labels, the ``sample_docs`` documents with the smallest hash of
+their id, and of each a stretch of at most ``sample_chars`` characters from a place that the hash chooses. The sample is split in two, and what
+the other half's dictionaries clearly take for another language is left out, since labels contain errors. The two parameters bound what is broadcast.
 
 Results for special cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; a tie goes to the first
 label in code-point order and is rejected; with one label every text with letters has it, score 1; without labelled text all are
@@ -42,20 +42,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, sample_chars: int = 2000, max_labels: int = 200) -> dict[str, bytes]:
     """Dictionary bytes by language, learned from the labelled rows of ``docs``."""
     c = lambda name: F.col(f"`{name}`")
-    keys = docs.where(c(lang_col).isNotNull() & c(id_col).isNotNull() & c(text_col).isNotNull()).select(c(lang_col).alias("lang"), c(id_col).alias("id"), F.xxhash64(c(id_col)).alias("h"))
-    best = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = keys.withColumn("place", F.row_number().over(best)).where(F.col("place") <= sample_docs).select("lang", "id").limit(sample_docs * (max_labels + 1)).collect()
-    labels = {r.lang for r in chosen}
-    if len(labels) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    if not chosen:
+    rows = docs.where(c(lang_col).isNotNull() & c(id_col).isNotNull() & c(text_col).isNotNull())
+    labels = [r.lang for r in rows.groupBy(c(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect()]
+    if not labels:
         return {}
-    ids = sorted({r.id for r in chosen})
-    texts = docs.where(c(id_col).isin(ids) & c(lang_col).isNotNull() & c(text_col).isNotNull()).select(c(lang_col).alias("lang"), F.xxhash64(c(id_col)).alias("h"), F.substring(c(text_col), 1, sample_chars).alias("text"))
+    known = rows.where(c(lang_col).isin(labels))
+    keys = known.select(c(lang_col).alias("lang"), c(id_col).alias("id"), F.xxhash64(c(id_col)).alias("h"))
+    best = lambda *more: F.row_number().over(Window.partitionBy("lang").orderBy("h", *more))
+    ids = sorted({r.id for r in keys.withColumn("place", best("id")).where(F.col("place") <= sample_docs).select("id").collect()})
+    at = F.pmod("h", F.greatest(F.char_length("text") - sample_chars + 1, F.lit(1))).cast("int") + 1
+    some = known.where(c(id_col).isin(ids)).select(c(lang_col).alias("lang"), F.xxhash64(c(id_col)).alias("h"), c(text_col).alias("text")).select("lang", "h", F.substr("text", at, F.lit(sample_chars)).alias("text"))
+    texts = some.withColumn("place", best("text")).where(F.col("place") <= sample_docs).collect()  # repeated ids too
     parts: dict[str, list[str]] = {}
-    for r in sorted(texts.limit(4 * sample_docs * max_labels).collect(), key=lambda r: (r.lang, r.h, r.text)):
-        if len(parts.setdefault(r.lang, [])) < sample_docs:
-            parts[r.lang].append(r.text.lower())
+    for r in sorted(texts, key=lambda r: (r.lang, r.h, r.text)):
+        parts.setdefault(r.lang, []).append(r.text.lower())
     parts = _agreed(_agreed(parts))
     joined = {lang: "\n".join(p).encode() for lang, p in parts.items()}
     even = max(MIN_DICTIONARY, min(map(len, joined.values())))  # a larger dictionary would win by its size
