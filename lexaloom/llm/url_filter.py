@@ -147,14 +147,16 @@ def suffix_odds(suffixes: list[str], blocked: np.ndarray, least: int = 5) -> dic
     return {str(s): float(np.log(q / (1 - q))) for s, q, k in zip(names, p, n) if k >= least}
 
 
-def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] = RULES, sample: int = 20_000) -> DataFrame:
-    """Per row: id, url, host, path, rule (or null), score (probability of block, null where a rule decides), verdict."""
-    spark = pages.sparkSession
+def _rows(pages: DataFrame, id_col: str, url_col: str, rules: dict[str, str]) -> DataFrame:
     rows = parts(pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"))).withColumn("rule", rule_for(rules))
     said = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
-    rows = lexical(rows.withColumn("said", said))
+    return lexical(rows.withColumn("said", said))
+
+
+def learn(rows: DataFrame, sample: int) -> tuple[Trees | None, dict[str, float], float]:
+    """Trees, log-odds of suffixes, and the probability to give where there are no trees."""
     names = FEATURES[:-1]
     labelled = rows.where("said is not null").select("*", F.xxhash64("url").alias("h"))
     total = labelled.agg(F.approx_count_distinct("h")).first()[0]
@@ -164,13 +166,20 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     picked = once.orderBy("h", "url").limit(sample).toPandas()
     y = picked["y"].to_numpy()
     if len(set(y)) < 2:
-        only = F.lit(1.0 if len(y) and y[0] else 0.0)
-        scored = rows.withColumn("p", only)
+        return None, {}, 1.0 if len(y) and y[0] else 0.0
+    odds = suffix_odds(list(picked["suffix"]), y)
+    x = np.column_stack([picked[list(names)].to_numpy(float), picked["suffix"].map(odds).fillna(0.0)])
+    return Trees().fit(x, y), odds, 0.0
+
+
+def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] = RULES, sample: int = 20_000) -> DataFrame:
+    """Per row: id, url, host, path, rule (or null), score (probability of block, null where a rule decides), verdict."""
+    rows = _rows(pages, id_col, url_col, rules)
+    model, odds, only = learn(rows, sample)
+    if model is None:
+        scored = rows.withColumn("p", F.lit(only))
     else:
-        odds = suffix_odds(list(picked["suffix"]), y)
-        x = np.column_stack([picked[list(names)].to_numpy(float), picked["suffix"].map(odds).fillna(0.0)])
-        model = Trees().fit(x, y)
-        table = spark.createDataFrame(sorted(odds.items()) or [("", 0.0)], "suffix string, odds double")  # at most sample / 5 rows
+        table = pages.sparkSession.createDataFrame(sorted(odds.items()) or [("", 0.0)], "suffix string, odds double")  # at most sample / 5 rows
         scored = rows.join(F.broadcast(table), "suffix", "left").withColumn("suffix_odds", F.coalesce("odds", F.lit(0.0))).withColumn("p", model.expression(FEATURES))
     free = F.col("said").isNull()
     return scored.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "host", "path", "rule", F.when(free, F.col("p")).alias("score"), F.when(free, F.when(F.col("p") >= 0.5, "block").otherwise("allow")).otherwise(F.col("said")).alias("verdict"))

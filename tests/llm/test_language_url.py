@@ -1,6 +1,11 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
+import zstandard
+
 from lexaloom.llm import language, url_filter
 
 STEMS = {"en": "the and ing tion th er", "de": "der die ung sch ich ein", "fr": "les eau oui ère què ment"}
@@ -31,6 +36,38 @@ def test_language(spark):
     assert kept.columns == df.columns and kept.where("doc_id in (900, 901, 902)").count() == 0 and kept.count() >= 0.95 * len(rows)
 
 
+def brute_language(text, dictionaries):
+    """Sizes by fresh compressors, block by block."""
+    if not dictionaries or text is None or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    raw = text.lower().encode()
+    sizes = {}
+    for lang, body in dictionaries.items():
+        coder = lambda: zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT))  # noqa: B023, E731
+        sizes[lang] = sum(len(coder().compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+    best, second = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
+    margin = second[1] / best[1] - 1
+    return best[0], margin / (margin + 0.02)
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, lang := rng.choice(list(STEMS)), rng.randint(1, 80)), lang if rng.random() < 0.9 else rng.choice(list(STEMS))) for i in range(150)]
+    rows += [(500, prose(rng, "de", 20_000), None), (501, None, "en"), (502, "", "en"), (503, "4 5", "fr"), (504, prose(rng, "en", 40), None), (504, prose(rng, "en", 40), "junk label"), (None, "the and", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df.where(~language.held_out()))
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.query(df).collect()), key=str)
+    want = [(k, *brute_language(t, model)) for k, t, _ in rows]
+    assert got == sorted(((k, lang, round(score, 9)) for k, lang, score in want), key=str)
+
+
+def test_most_frequent_labels_are_learned(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, "en", 30), "en") for i in range(20)] + [(100 + i, prose(rng, "de", 30), "de") for i in range(20)] + [(200 + i, "x y", f"junk{i}") for i in range(30)] + [(7, "one id " * 9, "en")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.fit(df, max_labels=2)) == {"en", "de"} and language.fit(df, max_labels=2) == language.fit(df.repartition(7), max_labels=2)
+
+
 def test_language_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.fit(empty) == {} and language.query(empty).collect() == []
@@ -52,6 +89,40 @@ def brute_rule(url):
     return host, path, max(fits, key=len, default=None)
 
 
+def brute_features(url):
+    u = url or ""
+    host, path, _ = brute_rule(url)
+    n, q = len(u), re.search(r"\?([^#]*)", u)
+    query = q[1] if q else ""
+    entropy = -sum(u.count(c) / n * math.log2(u.count(c) / n) for c in set(u))
+    digits = len(re.findall("[0-9]", u))
+    return [
+        n, len(host), len(path), len(query), path.count("/"), digits / n if n else 0, entropy, query.count("&") + 1 if query else 0, host.count(".") + 1 if host else 0, u.count("-"),
+        len(re.findall("[0-9]", path)), float(bool(re.search(r"\.[A-Za-z0-9]{1,5}$", path))),
+    ], ".".join(host.split(".")[-2:])
+
+
+def test_verdicts_against_plain_trees(spark):
+    """The whole chain once more: labels by rules, the sample, features in Python, trees walked node by node."""
+    rng = random.Random(14)
+    part = lambda: "".join(rng.choice("abc-9x.") for _ in range(rng.randint(1, 12)))
+    urls = [f"http://{rng.choice(['a.', 'b-2.', ''])}{rng.choice(['one', 'two9', 'tri'])}.{rng.choice(['net', 'org', 'com', 'de'])}/{rng.choice(['fr/', 'en/', ''])}{part()}{rng.choice(['', '?a=1&b=2', '?q', '#f'])}" for _ in range(900)]
+    urls += [None, "", "plain", urls[0], urls[0]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for sample in (20_000, 150):
+        got = {r.page_id: r for r in url_filter.judge(df, sample=sample).collect()}
+        order = sorted((r.h, r.url) for r in df.selectExpr("url", "xxhash64(url) AS h").distinct().collect() if brute_rule(r.url)[2])[:sample]
+        y = np.array([url_filter.RULES[brute_rule(u)[2]] == "block" for _, u in order], float)
+        found = [brute_features(u) for _, u in order]
+        odds = url_filter.suffix_odds([s for _, s in found], y)
+        trees = url_filter.Trees().fit(np.array([[*f, odds.get(s, 0.0)] for f, s in found], float), y)
+        free = [i for i, u in enumerate(urls) if not brute_rule(u)[2]]
+        want = trees.predict(np.array([[*f, odds.get(s, 0.0)] for f, s in (brute_features(urls[i]) for i in free)], float))
+        assert len(free) > 200 and 0.1 < np.mean(want >= 0.5) < 0.9
+        for i, p in zip(free, want):
+            assert abs(got[i].score - p) < 1e-9 and got[i].verdict == ("block" if p >= 0.5 else "allow")
+
+
 def test_url_rules_and_trees(spark):
     rng = random.Random(4)
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['www.', 'm.', ''])}{rng.choice(['spam1', 'good', 'Ünï'])}.example.{rng.choice(['net', 'com', 'org', 'NET'])}/{rng.choice(['en', 'de', 'fr'])}/{rng.randint(0, 9999)}{rng.choice(['', '?a=1&b=2', '#x'])}" for _ in range(600)]
