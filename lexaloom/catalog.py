@@ -13,6 +13,7 @@ from lexaloom.operators import correction as K
 from lexaloom.operators import dictionary as D
 from lexaloom.operators import lifecycle as L
 from lexaloom.operators import search as S
+from lexaloom.operators import suggestion as G
 from lexaloom.plans import query as Q
 from lexaloom.plans.policy import Policy
 from lexaloom.sources import tables as T
@@ -20,12 +21,15 @@ from lexaloom.streaming import feed as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Query texts and locales; limits are small so that they bite on the test tables too.
+#: Query texts and locales.
 TEXTS = (("the and", "en"), ("thing", "en"), ("eau la", "fr"), ("der und ich", "de"), ("las los", "es"), ("of the by and", "en"))
-POLICY = Policy(per_variant_limit=40, maximum_candidates=50, maximum_dictionary_terms=5_000_000)
+POLICY = Policy(maximum_dictionary_terms=5_000_000)
+KINDS = ("documents", "pages", "part")
+#: Tables whose rows are sources of their own; four documents share a source key each.
+SINGLE = ("pages", "part")
 
 
-def _index(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("documents", "part"), tokens: bool = True) -> DataFrame:
+def _index(spark: SparkSession, d: str, kinds: tuple[str, ...] = KINDS, tokens: bool = True) -> DataFrame:
     rows = T.corpus(spark, d, kinds)
     return T.with_tokens(rows) if tokens else rows
 
@@ -54,12 +58,12 @@ def text_sanitize(spark: SparkSession, d: str) -> DataFrame:
 def text_prepare(spark: SparkSession, d: str) -> DataFrame:
     rows = T.table(spark, d, "documents").select("doc_id", X.normalize(F.col("text")).alias("normalized"))
     rows = rows.withColumn("tokens", X.tokens(F.col("normalized")))
-    return rows.select("doc_id", F.md5(F.col("normalized").cast("binary")).alias("normalized_md5"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join(F.sort_array("tokens"), " ").cast("binary")).alias("tokens_md5"))
+    return rows.select("doc_id", F.md5(F.col("normalized").cast("binary")).alias("normalized_md5"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))
 
 
 def search_process(spark: SparkSession, d: str) -> DataFrame:
     texts = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"), F.lit("en").alias("locale"))
-    p = Q.process_table(texts, Policy(), entities=False)
+    p = Q.process_table(texts, Policy())
     return p.select("query_id", "normalized", F.array_join("searchable", " ").alias("searchable"), "status", "truncated")
 
 
@@ -94,14 +98,15 @@ def search_preview(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unique_index(spark: SparkSession, d: str) -> DataFrame:
+    """One active document per identity; the four documents of a key count as one source in several locales."""
     first = F.row_number().over(Window.partitionBy(*L.IDENTITY).orderBy("id"))
-    return _index(spark, d, ("documents",), tokens=False).where("is_active").withColumn("nth", first).where("nth = 1").drop("nth")
+    rows = _index(spark, d, tokens=False).where("is_active").withColumn("nth", first).where("nth = 1").drop("nth")
+    return rows.withColumn("source_id", F.col("source_key"))
 
 
 def search_bridge(spark: SparkSession, d: str) -> DataFrame:
     index = _unique_index(spark, d)
-    # source ids differ within a group here, so the type alone identifies a source
-    hits = index.where("locale = 'fr'").select("*", F.lit(0).cast("long").alias("query_id"), F.row_number().over(Window.orderBy("id")).alias("place"))
+    hits = index.where("locale in ('fr', 'en')").select("*", F.lit(0).cast("long").alias("query_id"), F.row_number().over(Window.orderBy("id")).alias("place"))
     return S.bridge(hits, index, "en").select("id", "presented_id", "bridge_status", "place")
 
 
@@ -111,11 +116,11 @@ def search_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dictionary_terms(spark: SparkSession, d: str) -> DataFrame:
-    return D.terms(_index(spark, d), POLICY, check=False).select("locale", "term", "document_frequency", "title_frequency", "keyword_frequency", "excerpt_frequency", "content_frequency")
+    return D.terms(_index(spark, d), POLICY).select("locale", "term", "document_frequency", "title_frequency", "keyword_frequency", "excerpt_frequency", "content_frequency")
 
 
 def dictionary_deletes(spark: SparkSession, d: str) -> DataFrame:
-    return D.delete_index(D.terms(_index(spark, d, ("part",)), POLICY, check=False), POLICY).select("locale", "term", "delete_key", F.col("distance").cast("long").alias("distance"))
+    return D.delete_index(D.terms(_index(spark, d), POLICY), POLICY).select("locale", "term", "delete_key", F.col("distance").cast("long").alias("distance"))
 
 
 def dictionary_bigrams(spark: SparkSession, d: str) -> DataFrame:
@@ -128,39 +133,61 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
 
 def dictionary_status(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return D.dictionary_status(D.terms(index, POLICY, check=False), D.bigrams(index, POLICY), index)
+    return D.dictionary_status(D.terms(index, POLICY), D.bigrams(index, POLICY), index)
 
 
 def document_hashes(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.with_hash(_index(spark, d, ("part",), tokens=False))
-    return rows.select("id", "document_hash")
+    return T.with_hash(_index(spark, d, tokens=False)).select("id", "document_hash")
+
+
+NUMBER = "CAST(source_id AS BIGINT)"
 
 
 def _changed(rows: DataFrame) -> DataFrame:
     """The next state of the sources: every seventh is gone, every fifth has another title, and some are new."""
-    new = rows.where("id % 7 <> 0").withColumn("title", F.when(F.col("id") % 5 == 0, F.concat("title", F.lit(" new"))).otherwise(F.col("title")))
-    more = rows.where("id % 50 = 1").withColumn("source_key", F.concat(F.lit("added:"), "id"))
+    new = rows.where(f"{NUMBER} % 7 <> 0").withColumn("title", F.when(F.expr(f"{NUMBER} % 5 = 0"), F.concat("title", F.lit(" new"))).otherwise(F.col("title")))
+    more = rows.where(f"{NUMBER} % 50 = 1").withColumn("source_key", F.concat(F.lit("added:"), "source_type", F.lit(":"), "source_id"))
     return T.with_hash(new.unionByName(more))
 
 
+def _single(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d, SINGLE, tokens=False)
+
+
 def index_diff(spark: SparkSession, d: str) -> DataFrame:
-    rows = _index(spark, d, ("part",), tokens=False)
+    rows = _single(spark, d)
     return L.diff(T.with_hash(rows), _changed(rows)).select("source_key", "action")
 
 
 def index_replace(spark: SparkSession, d: str) -> DataFrame:
-    rows = _index(spark, d, ("part",), tokens=False)
+    rows = _single(spark, d)
     return L.replace(T.with_hash(rows), _changed(rows)).select("source_key", "title")
 
 
 def index_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = _index(spark, d, ("part",), tokens=False)
+    rows = _single(spark, d)
     return L.report(L.diff(T.with_hash(rows), _changed(rows)))
 
 
+def index_report_json(spark: SparkSession, d: str) -> DataFrame:
+    return L.report_json(index_report(spark, d))
+
+
 def index_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = _index(spark, d, ("part",), tokens=False)
-    return L.upsert(rows, rows.where("id % 11 = 0").withColumn("priority", F.lit(99))).select("id", "priority")
+    rows = _single(spark, d)
+    return L.upsert(rows, rows.where(f"{NUMBER} % 11 = 0").withColumn("priority", F.lit(99))).select("id", "priority")
+
+
+def index_verify(spark: SparkSession, d: str) -> DataFrame:
+    rows = _single(spark, d)
+    stored = rows.where(f"{NUMBER} % 13 <> 0").withColumn("priority", F.when(F.expr(f"{NUMBER} % 17 = 0"), F.lit(99)).otherwise(F.col("priority")))
+    return L.verify(stored, rows).select("id")
+
+
+def index_forget_reference(spark: SparkSession, d: str) -> DataFrame:
+    """A null source id is a value of its own."""
+    rows = _single(spark, d).withColumn("source_id", F.when(F.expr(f"{NUMBER} % 3 = 0"), None).otherwise(F.col("source_id")))
+    return L.delete(rows, source_type="product", source_id=None).select("id")
 
 
 def index_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -168,21 +195,32 @@ def index_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return L.identity_conflicts(_index(spark, d, ("documents",), tokens=False))
+    return L.identity_conflicts(_index(spark, d, tokens=False))
 
 
 def index_prune(spark: SparkSession, d: str) -> DataFrame:
-    rows = _index(spark, d, ("documents",), tokens=False)
-    return L.orphans(rows, rows.where("id % 3 <> 0")).select("partition", "source_key", "documents")
+    rows = _index(spark, d, tokens=False)
+    return L.orphans(rows, rows.where(f"{NUMBER} % 3 <> 0"), ["documents", "part"]).select("partition", "source_key", "documents")
 
 
 def index_ownership(spark: SparkSession, d: str) -> DataFrame:
-    return L.ownership(_index(spark, d, ("documents",), tokens=False))
+    return L.ownership(_index(spark, d, tokens=False))
+
+
+def sources_enumerated(spark: SparkSession, d: str) -> DataFrame:
+    named = [e.locate(spark, d) for e in T.ENUMERATORS.select(providers=list(SINGLE))]
+    return L.current_sources([*named, named[0]]).select("provider_key", "partition", "source_key", "source_id")
+
+
+def reindex_sources(spark: SparkSession, d: str) -> DataFrame:
+    keys = T.table(spark, d, "events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("source_key"))
+    rows, repeats = L.sources_to_run(keys, ceiling=5_000_000)
+    return rows.withColumn("repeats", F.lit(repeats).cast("long"))
 
 
 def doctor_sample(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.with_hash(_index(spark, d, ("part",), tokens=False))
-    return L.doctor_sample(rows.withColumn("title", F.when(F.col("id") % 4 == 0, "tampered").otherwise(F.col("title"))))
+    rows = T.with_hash(_index(spark, d, tokens=False))
+    return L.doctor_sample(rows.withColumn("title", F.when(F.expr(f"{NUMBER} % 4 = 0"), "tampered").otherwise(F.col("title"))))
 
 
 def feed_state(spark: SparkSession, d: str) -> DataFrame:
@@ -190,22 +228,148 @@ def feed_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feed_synchronize(spark: SparkSession, d: str) -> DataFrame:
-    rows = _index(spark, d, ("part",), tokens=False)
+    rows = _single(spark, d)
     events = T.table(spark, d, "events").select(F.lit("public").alias("partition"), F.concat(F.lit("part:"), F.col("user_id").cast("string")).alias("source_key"))
     return W.synchronize(T.with_hash(rows), events, _changed(rows)).select("source_key", "title")
 
 
 def dependency_targets(spark: SparkSession, d: str) -> DataFrame:
-    parts = T.table(spark, d, "part").select("p_partkey", "p_brand")
-    old = W.dependents(parts.where("p_partkey % 500 = 0"), parts, "p_brand", "p_partkey")
-    new = W.dependents(parts.where("p_partkey % 500 = 1"), parts, "p_brand", "p_partkey")
-    return W.targets(old, new)
+    """Users who bought change their part's kind to that of the next part: whoever refers to either is a target."""
+    parts = T.table(spark, d, "part").select("p_partkey", F.concat("p_brand", "p_name").alias("kind"))
+    bought = T.table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("p_partkey")).distinct()
+    near = lambda shift: W.dependents(bought.withColumn("p_partkey", F.col("p_partkey") + shift).join(parts, "p_partkey"), parts, "kind", "p_partkey")
+    return W.targets(near(0), near(1))
 
 
 def hydrate(spark: SparkSession, d: str) -> DataFrame:
-    shown = S.page(_ranked(spark, d).where("source_type = 'document'"), 1, 5)
-    sources = T.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "source", "n_chars")
-    return S.hydrate(shown, sources).select("query_id", "place", "id", "source", "n_chars")
+    """Documents and parts share ids; the type tells them apart."""
+    shown = S.page(_ranked(spark, d), 1, 40)
+    none = F.lit(None).cast("string").alias("source_connection")
+    docs = T.table(spark, d, "documents").select(F.lit("document").alias("source_type"), none, F.col("doc_id").cast("string").alias("source_id"), F.col("source").alias("label"))
+    parts = T.table(spark, d, "part").select(F.lit("product").alias("source_type"), none, F.col("p_partkey").cast("string").alias("source_id"), F.col("p_brand").alias("label"))
+    return S.hydrate(shown, docs.unionByName(parts)).select("query_id", "place", "id", "label")
+
+
+def provider_pages(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d, ("pages",), tokens=False)
+    md5 = lambda c: F.md5(F.coalesce(F.col(c), F.lit("-")).cast("binary")).alias(c)
+    return rows.select("id", "provider_key", "source_key", "locale", "title", md5("normalized_title"), md5("normalized_excerpt"), md5("normalized_content"))
+
+
+def search_types(spark: SparkSession, d: str) -> DataFrame:
+    variants = spark.createDataFrame([(0, 0, "the red", "en", ["the", "red"], "original", 1000, "f", None)], S.VARIANT_SCHEMA)
+    return S.matches(_index(spark, d, tokens=False), variants, policy=POLICY, partition="public", source_types=["product", "page"], bounded=False).select("id", F.array_join("fields", ",").alias("fields"), F.array_join("terms", ",").alias("terms"))
+
+
+def search_meta(spark: SparkSession, d: str) -> DataFrame:
+    _, variants, _, told = _candidates(spark, d)
+    return S.page_table(_ranked(spark, d), told, 3, 15)
+
+
+FAMILIES = (("f0", "original"), ("f0c", "original"), ("f0b", "f0b"))
+
+
+def search_families(spark: SparkSession, d: str) -> DataFrame:
+    """The synonym belongs to the original's family, the spelling is its own."""
+    index, variants, candidates, _ = _candidates(spark, d)
+    members = spark.createDataFrame(FAMILIES, "fingerprint string, family string")
+    return G.family_results(S.variant_ranks(candidates, index, variants, POLICY), members).select("family", "n", F.col("tier_at").cast("long").alias("tier_at"))
+
+
+def query_variants(spark: SparkSession, d: str) -> DataFrame:
+    texts = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"), F.lit(" en ").alias("locale"))
+    return Q.original_variants(Q.process_table(texts, POLICY), POLICY).select("query_id", "locale", F.array_join("tokens", " ").alias("tokens"), "source", F.col("priority").cast("long").alias("priority"), "fingerprint")
+
+
+def query_keyboard(spark: SparkSession, d: str) -> DataFrame:
+    """Every part name as a query that was typed with the wrong layout, and the same in capitals."""
+    names = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    both = names.unionByName(names.select((-F.col("query_id")).alias("query_id"), F.upper("text").alias("text"))).withColumn("locale", F.when(F.col("query_id") % 3 == 0, "fr").otherwise("en-GB"))
+    return Q.keyboard_variants(Q.process_table(both, POLICY), POLICY).select("query_id", "query", F.array_join("tokens", " ").alias("tokens"), "locale")
+
+
+def candidate_plan(spark: SparkSession, d: str) -> DataFrame:
+    texts = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"), F.lit("es").alias("locale"))
+    return S.plan_terms(Q.original_variants(Q.process_table(texts, POLICY), POLICY), POLICY).select("query_id", F.col("term_at").cast("long").alias("term_at"), "term")
+
+
+def locale_chains(spark: SparkSession, d: str) -> DataFrame:
+    raw = T.table(spark, d, "documents").select("lang", (F.col("doc_id") % 4).alias("k")).distinct()
+    made = F.when(F.col("k") == 0, F.col("lang")).when(F.col("k") == 1, F.concat("lang", F.lit("-"), F.upper("lang"))).when(F.col("k") == 2, F.concat(F.lit(" "), F.upper("lang"), F.lit("_x "))).otherwise(F.lit("  "))
+    at = X.resolve_locale(made)
+    return raw.select("lang", "k", at.alias("locale"), F.array_join(X.locale_chain(at), ",").alias("chain"), X.locale_family(at).alias("family"))
+
+
+def value_texts(spark: SparkSession, d: str) -> DataFrame:
+    parts = T.table(spark, d, "part").select("p_partkey", F.lit(None).cast("string").alias("nothing"), "p_size", (F.col("p_size") > 20).alias("large"), "p_retailprice", F.split("p_name", " ").alias("words"), F.struct("p_brand", F.create_map(F.lit("type"), F.col("p_type")).alias("more")).alias("nested"))
+    return parts.select("p_partkey", X.searchable_value(parts, *parts.columns[1:]).alias("text"))
+
+
+def value_times(spark: SparkSession, d: str) -> DataFrame:
+    events = T.table(spark, d, "events").select("event_id", "ts", "event_type")
+    return events.select("event_id", X.searchable_value(events, "ts", "event_type").alias("text"))
+
+
+def normalize_persian(spark: SparkSession, d: str) -> DataFrame:
+    typed = F.concat(E.keyboard_remap(F.col("p_name")), F.lit("  ١٢۳ ىكـ "), E.keyboard_remap(F.upper("p_name")))
+    rows = T.table(spark, d, "part").select("p_partkey", X.normalize(typed, F.lit("fa-IR")).alias("normalized"))
+    return rows.select("p_partkey", "normalized", F.array_join(X.tokens(F.col("normalized")), " ").alias("tokens"))
+
+
+def phonetic_persian(spark: SparkSession, d: str) -> DataFrame:
+    words = T.table(spark, d, "part").select(F.explode(X.tokens(X.normalize(E.keyboard_remap(F.col("p_name")), F.lit("fa")))).alias("token"), F.lit("fa").alias("family")).distinct()
+    return E.sound_alternatives_table(words, E.sound_rules(spark)).select("token", "alternative", F.col("cost").cast("long").alias("cost"), "rule")
+
+
+def id_order(spark: SparkSession, d: str) -> DataFrame:
+    keys = T.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    every = keys.unionByName(keys.select(F.concat(F.lit("00"), "id").alias("id"))).unionByName(keys.select(F.concat(F.lit("x"), "id").alias("id")))
+    return every.select("id", F.row_number().over(Window.orderBy(*X.id_order(F.col("id")))).cast("long").alias("place"))
+
+
+def valid_names(spark: SparkSession, d: str) -> DataFrame:
+    urls = T.table(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("k"), F.col("url").alias("name"))
+    texts = T.table(spark, d, "documents").select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("k"), F.col("text").alias("name"))
+    return urls.unionByName(texts).select("k", X.is_canonical_name(F.col("name")).alias("valid"))
+
+
+def safe_words(spark: SparkSession, d: str) -> DataFrame:
+    words = _index(spark, d).select(F.explode("content_tokens").alias("token")).distinct()
+    return words.select("token", E.safe_word(F.col("token")).alias("safe"), E.safe_context_word(F.col("token")).alias("safe_in_context"))
+
+
+def edit_limits(spark: SparkSession, d: str) -> DataFrame:
+    words = T.table(spark, d, "part").select(F.explode(X.tokens(X.normalize(F.col("p_name")))).alias("token")).distinct()
+    return words.select("token", E.maximum_edits(F.col("token")).cast("long").alias("most"))
+
+
+def protected_terms(spark: SparkSession, d: str) -> DataFrame:
+    some = Policy(minimum_document_frequency=6, maximum_dictionary_terms=5_000_000, protected={"*": ["widget", "than"], "en": ["small", "there"], "fr": ["dans", "bolt"]})
+    return D.terms(_index(spark, d), some).select("locale", "term", "document_frequency", "is_protected")
+
+
+def ngram_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Bigrams of the benchmark's items among those of the corpus, in three locales that are ready."""
+    tokens = T.table(spark, d, "benchmark").select(X.tokens(X.normalize(F.col("text"))).alias("t"))
+    pairs = tokens.select(F.explode(F.zip_with(F.expr("slice(t, 1, size(t) - 1)"), F.expr("slice(t, 2, size(t) - 1)"), lambda a, b: F.concat_ws(" ", a, b))).alias("gram")).distinct()
+    locales = spark.createDataFrame([("en",), ("fr",), ("de",), ("es",)], "locale string")
+    wanted = locales.join(pairs.select(F.sha2(F.col("gram").cast("binary"), 256).alias("gram_hash")))
+    return D.gram_lookup(D.bigrams(_index(spark, d), POLICY), wanted, locales.where("locale <> 'es'"), 1_000_000)
+
+
+def dictionary_builds(spark: SparkSession, d: str) -> DataFrame:
+    """Builds of one generation, of which German is being rebuilt."""
+    index = _index(spark, d)
+    builds = D.invalidated(D.build_rows(D.terms(index, POLICY), D.bigrams(index, POLICY), "g1", F.lit("2024-01-02").cast("timestamp")), ["de"])
+    return builds.join(D.readiness(builds).withColumn("ready", F.lit(True)), "locale", "left").select("locale", "terms", "ngrams", F.coalesce("ready", F.lit(False)).alias("ready"))
+
+
+def dictionary_stale(spark: SparkSession, d: str) -> DataFrame:
+    """Documents were indexed on the day of their priority; the dictionary on the second, that of Spanish never."""
+    index = _index(spark, d).withColumn("indexed_at", F.make_timestamp(F.lit(2024), F.lit(1), F.col("priority") + 1, F.lit(0), F.lit(0), F.lit(0)))
+    vocabulary, grams = D.terms(index, POLICY), D.bigrams(index, POLICY)
+    builds = D.build_rows(vocabulary, grams, "g1", F.make_timestamp(F.lit(2024), F.lit(1), F.when(F.col("locale") == "en", 9).otherwise(2), F.lit(0), F.lit(0), F.lit(0))).where("locale <> 'es'")
+    return D.dictionary_status(vocabulary, grams, index, builds).select("locale", "documents", "terms", "ngrams", "stale")
 
 
 def keyboard_remap(spark: SparkSession, d: str) -> DataFrame:
@@ -217,30 +381,50 @@ def phonetic_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return E.sound_alternatives_table(words, E.sound_rules(spark)).select("token", "alternative", F.col("cost").cast("long").alias("cost"), "rule")
 
 
-def synonym_windows(spark: SparkSession, d: str) -> DataFrame:
-    names = T.table(spark, d, "part").select("p_partkey", X.tokens(X.normalize(F.col("p_name"))).alias("tokens"))
-    rules = spark.createDataFrame([("red", "crimson"), ("blue", "azure sky"), ("large", "big")], "old string, new string")
-    hits = names.join(F.broadcast(rules), F.array_contains("tokens", F.col("old")))
-    made = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.when(t == F.col("old"), F.split("new", " ")).otherwise(F.array(t)))))
-    return hits.select("p_partkey", "old", F.array_join(made, " ").alias("expanded"))
+SYNONYMS = {"en": {"red": ["crimson", "red"], "blue": ["azure sky"], "small ring": ["little band", "ring"], "ring": ["small ring", "hoop"], "large": ["big"]}}
+
+
+def synonym_variants(spark: SparkSession, d: str) -> DataFrame:
+    names = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), X.tokens(X.normalize(F.col("p_name"))).alias("tokens"))
+    rules = [(loc, k, list(old), list(new)) for loc, pairs in K.synonym_rules(SYNONYMS, lambda t, _: t.split()).items() for k, (old, new) in enumerate(pairs)]
+    return K.synonym_table(names, spark.createDataFrame(rules, "locale string, rule long, old array<string>, new array<string>")).select("query_id", "rule", F.col("at").cast("long").alias("at"), F.array_join("made", " ").alias("made"))
+
+
+def split_words(spark: SparkSession, d: str) -> DataFrame:
+    """The first two words of every part name, written together."""
+    words = T.table(spark, d, "part").select(F.lit("en").alias("locale"), F.regexp_replace(X.normalize(F.substring_index("p_name", " ", 2)), " ", "").alias("token")).distinct()
+    return K.split_table(words, D.terms(_index(spark, d), Policy(term_minimum_length=2, maximum_dictionary_terms=5_000_000))).select("token", F.col("cut").cast("long").alias("cut"), "left", "right", "frequency")
+
+
+def merge_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every part name with its words cut behind the third letter."""
+    cut = F.flatten(F.transform(F.split(X.normalize(F.col("p_name")), " "), lambda w: F.array(F.substring(w, 1, 3), F.substring(w, 4, 100))))
+    queries = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), F.filter(cut, lambda w: w != "").alias("words"))
+    return K.merge_table(queries, D.terms(_index(spark, d), POLICY), POLICY).select("query_id", F.col("at").cast("long").alias("at"), "merged", "frequency")
 
 
 def term_lookup(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.createDataFrame([(loc, t) for text, loc in TEXTS for t in ("thing", "with", "from", "nicht", "dans")], "locale string, term string").distinct()
-    return D.lookup(D.terms(_index(spark, d), POLICY, check=False), wanted, 256).select("locale", "term", "document_frequency")
+    return D.lookup(D.terms(_index(spark, d), POLICY), wanted, 256).select("locale", "term", "document_frequency")
 
 
 def _misspelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The dictionary of the whole corpus, and every part name with errors."""
-    vocabulary = D.terms(_index(spark, d), POLICY, check=False)
+    vocabulary = D.terms(_index(spark, d), POLICY)
     names = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), X.normalize(F.col("p_name")).alias("query"))
     # the third letter of every word is doubled, and every other query loses its second letters
     return vocabulary, names.withColumn("query", F.when(F.col("query_id") % 2 == 0, F.regexp_replace("query", r"\b(\w\w)(\w)", "$1$2$2")).otherwise(F.regexp_replace("query", r"\b(\w)\w(\w)", "$1$2")))
 
 
+def spelling_requests(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary, queries = _misspelled(spark, d)
+    return D.spelling_requests(queries, vocabulary, POLICY).select("query_id", F.col("at").cast("long").alias("at"), "token", F.col("most").cast("long").alias("most"), "locale", "delete_key")
+
+
 def spelling_options(spark: SparkSession, d: str) -> DataFrame:
     vocabulary, queries = _misspelled(spark, d)
-    return D.spelling_options(D.delete_index(vocabulary, POLICY), vocabulary, D.spelling_requests(queries, vocabulary, POLICY), POLICY)
+    rows = D.spelling_options(D.delete_index(vocabulary, POLICY), vocabulary, D.spelling_requests(queries, vocabulary, POLICY), POLICY)
+    return rows.select("query_id", "token", "term", "locale", "document_frequency", *[F.col(c).cast("long").alias(c) for c in ("at", "option", "edits", "cost")])
 
 
 def spelling_corrections(spark: SparkSession, d: str) -> DataFrame:
@@ -273,22 +457,43 @@ def _ordered(e: str) -> str:
     return f"list_filter({_toks(e)}, lambda x, i: list_position({_toks(e)}, x) = i)"
 
 
+_ENTITIES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "''"), ("&amp;", "&"))
+
+
+def _sanitized(e: str) -> str:
+    for name, char in _ENTITIES:
+        e = f"replace({e}, '{name}', '{char}')"
+    for tag in ("script", "style", "noscript", "template"):
+        e = rf"regexp_replace({e}, '(?is)<[\s]*{tag}\b[^>]*>(?:.*?<[\s]*/[\s]*{tag}[\s]*>|.*$)', ' ', 'g')"
+    e = rf"regexp_replace({e}, '(?s)<!--.*?(?:-->|$)', '', 'g')"
+    e = rf"regexp_replace({e}, '(?i)<\s*/?\s*(?:h[1-6]|article|section|header|footer|blockquote|table|div|pre|br|td|th|tr|li|p)\b[^>]*>', ' ', 'g')"
+    e = rf"regexp_replace({e}, '<[^\s>][^>]*>?', '', 'g')"
+    e = rf"regexp_replace({e}, '[\x{{200B}}-\x{{200D}}]', ' ', 'g')"
+    e = rf"regexp_replace({e}, '[\p{{Z}}\x09-\x0D\x{{85}}]+', ' ', 'g')"
+    e = rf"regexp_replace({e}, '[\x{{FEFF}}\x{{2066}}-\x{{2069}}\x{{202A}}-\x{{202E}}\x{{200E}}-\x{{200F}}\x{{86}}-\x{{9F}}\x7F-\x{{84}}\x0E-\x1F\x00-\x08]', '', 'g')"
+    return f"trim(regexp_replace({e}, ' +', ' ', 'g'))"
+
+
 _DOCS = f"""
-  SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN 'public' ELSE 'archive' END AS partition, 'group:' || (doc_id // 4) AS source_key, 'document' AS source_type,
-    doc_id::VARCHAR AS source_id, coalesce(nullif(trim(lang), ''), 'und') AS locale, array_to_string(string_split_regex(text, '\\s+')[1:6], ' ') AS title, source AS keywords,
-    regexp_extract(text, '^[^.!?\\n]*') AS excerpt, text AS content, (doc_id % 3)::INTEGER AS priority, doc_id % 11 <> 0 AS is_active
+  SELECT doc_id * 8 AS id, CASE WHEN doc_id % 5 <> 0 THEN 'public' ELSE 'archive' END AS partition, 'group:' || (doc_id // 4) AS source_key, 'document' AS source_type,
+    doc_id::VARCHAR AS source_id, 'documents' AS provider_key, coalesce(nullif(trim(lang), ''), 'und') AS locale, array_to_string(string_split_regex(text, '\\s+')[1:6], ' ') AS title, source AS keywords,
+    regexp_extract(text, '^[^.!?\\n]*') AS excerpt, text AS content, (doc_id % 3)::INTEGER AS priority, doc_id % 11 <> 0 AS is_active, to_json({{'about': {{'lang': lang, 'n_chars': n_chars}}, 'source': source}}) AS payload, false AS html
   FROM documents"""
+_PAGES = r"""
+  SELECT page_id * 8 + 1 AS id, 'public' AS partition, 'page:' || page_id AS source_key, 'page' AS source_type, page_id::VARCHAR AS source_id, 'pages' AS provider_key,
+    coalesce(nullif(trim(regexp_extract(url, '/(en|de|fr|es)/', 1)), ''), 'und') AS locale, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, NULL::VARCHAR AS keywords,
+    regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS excerpt, html AS content, 0 AS priority, true AS is_active, '[]'::JSON AS payload, true AS html
+  FROM pages"""
 _PARTS = """
-  SELECT p_partkey + 20000000 AS id, 'public' AS partition, 'part:' || p_partkey AS source_key, 'product' AS source_type, (p_partkey + 20000000)::VARCHAR AS source_id, 'en' AS locale,
-    p_name AS title, p_brand AS keywords, p_type AS excerpt, concat_ws(' ', p_name, p_type) AS content, (p_size % 5)::INTEGER AS priority, true AS is_active
+  SELECT p_partkey * 8 + 2 AS id, 'public' AS partition, 'part:' || p_partkey AS source_key, 'product' AS source_type, p_partkey::VARCHAR AS source_id, 'part' AS provider_key, 'en' AS locale,
+    p_name AS title, p_brand AS keywords, p_type AS excerpt, concat_ws(' ', p_name, p_type) AS content, (p_size % 5)::INTEGER AS priority, true AS is_active, '[]'::JSON AS payload, false AS html
   FROM part"""
-_PARTS = _PARTS.replace("(p_partkey + 20000000)::VARCHAR AS source_id", "p_partkey::VARCHAR AS source_id")
 
 
 def _corpus(*kinds: str) -> str:
-    raw = " UNION ALL ".join(kinds or (_DOCS, _PARTS))
-    fields = ", ".join(f"{_norm(f)} AS normalized_{f}" for f in T.FIELDS)
-    return f"raw_docs AS ({raw}), idx AS (SELECT id, partition, source_key, source_type, source_id, locale, title, excerpt, priority, is_active, {fields} FROM raw_docs)"
+    raw = " UNION ALL ".join(kinds or (_DOCS, _PAGES, _PARTS))
+    fields = ", ".join(f"{_norm(f'CASE WHEN html THEN {_sanitized(f)} ELSE {f} END')} AS normalized_{f}" for f in T.FIELDS)
+    return f"raw_docs AS ({raw}), idx AS (SELECT id, partition, source_key, source_type, source_id, provider_key, locale, title, excerpt, priority, is_active, payload, {fields} FROM raw_docs)"
 
 
 _ROWS = [(k, 0, text, loc, text.split(), "original", 1000, f"f{k}") for k, (text, loc) in enumerate(TEXTS)] + [(0, 1, "the thing", "en", ["the", "thing"], "spelling", 700, "f0b"), (0, 2, "with was", "en", ["with", "was"], "synonym", 600, "f0c")]
@@ -321,30 +526,16 @@ def _tier_case(what: int) -> str:
 
 _TIERS = "tiers(tier, tier_at, score) AS (VALUES " + ", ".join(f"('{t}', {i}, {POLICY.tier_scores[t]})" for i, t in enumerate(POLICY.tier_scores)) + ")"
 _RANK = f"""{_SEARCH}, {_TIERS},
-toks AS (SELECT id, {", ".join(f"{_ordered(f'normalized_{f}')} AS t_{f}" for f in T.FIELDS)} FROM idx WHERE id IN (SELECT id FROM cand)),
+near AS (SELECT id, f.k, {_toks('f.value')} AS l FROM idx SEMI JOIN cand USING (id), LATERAL (VALUES {", ".join(f"('{f}', normalized_{f})" for f in T.FIELDS)}) AS f(k, value)),
+flatn AS (SELECT id, k, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM near),
+firstn AS (SELECT id, k, t, min(pos) AS pos FROM flatn GROUP BY id, k, t),
+toks AS (SELECT n.id, {", ".join(f"coalesce(list(t ORDER BY pos) FILTER (f.k = '{f}'), []) AS t_{f}" for f in T.FIELDS)} FROM (SELECT DISTINCT id FROM near) n LEFT JOIN firstn f USING (id) GROUP BY n.id),
 pairs AS (SELECT c.query_id, c.variant, c.id, v.query, v.tokens, v.variant_priority, v.fingerprint, i.* EXCLUDE (id), t.* EXCLUDE (id) FROM cand c JOIN idx i USING (id) JOIN toks t USING (id) JOIN v ON v.query_id = c.query_id AND v.variant = c.variant),
 tiered AS (SELECT *, {_tier_case(0)} AS tier, {_tier_case(1)} AS matched FROM pairs),
 scored AS (SELECT t.*, s.tier_at, s.score, CASE WHEN t.tier LIKE '%any_token' THEN matched * 10000 // len(tokens) ELSE 10000 END AS coverage FROM tiered t JOIN tiers s USING (tier)),
 bests AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY tier_at, score DESC, variant_priority DESC, coverage DESC, matched DESC, fingerprint) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier_at, variant_priority DESC, coverage DESC, matched DESC, priority DESC, CASE WHEN coalesce(title, '') = '' THEN 2147483647 ELSE length(title) END, source_key, partition, locale, id) AS place FROM bests)"""
 
-_ENTITIES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "''"), ("&amp;", "&"))
-
-
-def _sanitized(e: str) -> str:
-    for name, char in _ENTITIES:
-        e = f"replace({e}, '{name}', '{char}')"
-    for tag in ("script", "style", "noscript", "template"):
-        e = rf"regexp_replace({e}, '(?is)<[\s]*{tag}\b[^>]*>(?:.*?<[\s]*/[\s]*{tag}[\s]*>|.*$)', ' ', 'g')"
-    e = rf"regexp_replace({e}, '(?s)<!--.*?(?:-->|$)', '', 'g')"
-    e = rf"regexp_replace({e}, '(?i)<\s*/?\s*(?:h[1-6]|article|section|header|footer|blockquote|table|div|pre|br|td|th|tr|li|p)\b[^>]*>', ' ', 'g')"
-    e = rf"regexp_replace({e}, '<[^\s>][^>]*>?', '', 'g')"
-    e = rf"regexp_replace({e}, '[\x{{200B}}-\x{{200D}}]', ' ', 'g')"
-    e = rf"regexp_replace({e}, '[\p{{Z}}\x09-\x0D\x{{85}}]+', ' ', 'g')"
-    e = rf"regexp_replace({e}, '[\x{{FEFF}}\x{{2066}}-\x{{2069}}\x{{202A}}-\x{{202E}}\x{{200E}}-\x{{200F}}\x{{86}}-\x{{9F}}\x7F-\x{{84}}\x0E-\x1F\x00-\x08]', '', 'g')"
-    return f"trim(regexp_replace({e}, ' +', ' ', 'g'))"
-
-
 _DICT = f"""flat AS (SELECT locale, id, unnest(list_distinct({_toks('f.value')})) AS term, f.field FROM idx, LATERAL (VALUES ('title', normalized_title), ('keywords', normalized_keywords), ('excerpt', normalized_excerpt), ('content', normalized_content)) AS f(field, value) WHERE is_active),
 dict AS (SELECT locale, term, count(DISTINCT id) AS document_frequency, count(*) FILTER (field = 'title') AS title_frequency, count(*) FILTER (field = 'keywords') AS keyword_frequency, count(*) FILTER (field = 'excerpt') AS excerpt_frequency, count(*) FILTER (field = 'content') AS content_frequency FROM flat WHERE length(term) BETWEEN 4 AND 64 GROUP BY locale, term)"""
 _GRAMS = f"""parts AS (SELECT locale, id, f.k, {_toks('f.value')} AS l FROM idx, LATERAL (VALUES (0, normalized_title), (1, normalized_keywords), (2, normalized_excerpt), (3, normalized_content)) AS f(k, value) WHERE is_active),
@@ -353,16 +544,53 @@ uniq AS (SELECT locale, id, k, t, min(pos) AS pos FROM spread GROUP BY locale, i
 placed AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY pos) AS pl, lead(t) OVER (PARTITION BY id, k ORDER BY pos) AS nxt FROM uniq),
 safe AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, pl) AS g FROM placed WHERE pl < {POLICY.ngram_terms} AND nxt IS NOT NULL AND regexp_matches(t, '^[\\p{{M}}\\p{{L}}]+(?:[''’][\\p{{M}}\\p{{L}}]+)*$') AND regexp_matches(nxt, '^[\\p{{M}}\\p{{L}}]+(?:[''’][\\p{{M}}\\p{{L}}]+)*$')),
 grams AS (SELECT locale, t || ' ' || nxt AS gram, count(DISTINCT id) AS document_frequency, count(*) FILTER (k = 0) AS title_frequency, count(*) FILTER (k = 1) AS keyword_frequency FROM safe WHERE g <= {POLICY.ngrams_per_document} GROUP BY locale, gram)"""
-_NEXT = """nxt AS (SELECT source_key, CASE WHEN id % 5 = 0 THEN title || ' new' ELSE title END AS title, id FROM idx WHERE id % 7 <> 0
-  UNION ALL SELECT 'added:' || id, title, id FROM idx WHERE id % 50 = 1),
+_N = "source_id::BIGINT"
+_NEXT = f"""nxt AS (SELECT source_key, CASE WHEN {_N} % 5 = 0 THEN title || ' new' ELSE title END AS title, id FROM idx WHERE {_N} % 7 <> 0
+  UNION ALL SELECT 'added:' || source_type || ':' || source_id, title, id FROM idx WHERE {_N} % 50 = 1),
 dif AS (SELECT coalesce(o.source_key, n.source_key) AS source_key, CASE WHEN o.source_key IS NULL THEN 'created' WHEN n.source_key IS NULL THEN 'deleted' WHEN o.title = n.title THEN 'unchanged' ELSE 'updated' END AS action FROM idx o FULL JOIN nxt n ON o.source_key = n.source_key)"""
-
-
-def _framed(*names: str) -> str:
-    return "sha256(" + " || ".join(f"CASE WHEN {n} IS NULL THEN '-;' ELSE strlen(({n})::VARCHAR)::VARCHAR || ':' || ({n})::VARCHAR || ';' END" for n in names) + ")"
-
-
-_HASHED = ["'{}'" if c == "payload" else c for c in T.HASHED]
+_JSON = "to_json({" + ", ".join("'source_connection': NULL::VARCHAR" if c == "source_connection" else "'source_updated_at': NULL::VARCHAR" if c == "source_updated_at" else f"'{c}': {c}" for c in T.HASHED) + "})"
+_ADJACENT = "[" + ", ".join(sorted(f"'{x}{y}'" for pair in E.ADJACENT["en"] for x, y in [tuple(pair), tuple(pair)[::-1]])) + "]"
+#: Distances of pairs(a, b), English keys: a row of the table at a time. A cell is cost * 1024 + edits.
+_DISTANCE = f"""dp AS (
+  SELECT a, b, 0 AS i, NULL::BIGINT[] AS prev, list_transform(range(0, length(b) + 1), lambda j: j * 1024001) AS cur FROM pairs
+  UNION ALL
+  SELECT a, b, i + 1, cur, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda acc, x: list_append(acc, least(
+      cur[x[1]] + CASE WHEN substr(a, i + 1, 1) = substr(b, x[1], 1) THEN 0 WHEN list_contains({_ADJACENT}, substr(a, i + 1, 1) || substr(b, x[1], 1)) THEN 460801 ELSE 1024001 END,
+      cur[x[1] + 1] + 1024001, acc[len(acc)] + 1024001,
+      CASE WHEN i > 0 AND x[1] > 1 AND substr(a, i + 1, 1) = substr(b, x[1] - 1, 1) AND substr(a, i, 1) = substr(b, x[1], 1) THEN prev[x[1] - 1] + 716801 ELSE 9000000000000000 END)), [((i + 1) * 1024001)::BIGINT])
+  FROM dp WHERE i < length(a)),
+dist AS (SELECT a, b, cur[length(b) + 1] % 1024 AS edits, cur[length(b) + 1] // 1024 AS cost FROM dp WHERE i = length(a))"""
+_MISSPELLED = f"""mis AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN regexp_replace(n, '\\b(\\w\\w)(\\w)', '\\1\\2\\2', 'g') ELSE regexp_replace(n, '\\b(\\w)\\w(\\w)', '\\1\\2', 'g') END AS query FROM (SELECT p_partkey, {_norm('p_name')} AS n FROM part)),
+tok AS (SELECT query_id, unnest(l) AS token, unnest(range(0, len(l))) AS pos FROM (SELECT query_id, {_toks('query')} AS l FROM mis)),
+known AS (SELECT DISTINCT term FROM dict WHERE locale = 'en'),
+nthtok AS (SELECT *, CASE WHEN length(token) < 8 THEN 1 ELSE 2 END AS most, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM tok WHERE length(token) BETWEEN 4 AND 64 AND token NOT IN (SELECT term FROM known)),
+asked AS (SELECT query_id, pos, token, most FROM nthtok WHERE n <= {POLICY.inspected_tokens}),
+words AS (SELECT DISTINCT token, most FROM asked),
+w1 AS (SELECT token, most, i, substr(token, 1, i - 1) || substr(token, i + 1) AS k FROM words, LATERAL (SELECT unnest(range(1, length(token) + 1)) AS i)),
+w2 AS (SELECT token, i, j, substr(k, 1, j - 1) || substr(k, j + 1) AS k FROM w1, LATERAL (SELECT unnest(range(1, length(k) + 1)) AS j) WHERE most = 2),
+wkeys AS (SELECT token, token AS k, 0 AS o FROM words UNION ALL SELECT token, k, i FROM w1 UNION ALL SELECT token, k, 1000 * i + j FROM w2),
+wfirst AS (SELECT token, k, min(o) AS o FROM wkeys WHERE k <> '' GROUP BY token, k),
+wnum AS (SELECT token, k, row_number() OVER (PARTITION BY token ORDER BY o) AS n FROM wfirst),
+qkeys AS (SELECT a.query_id, a.pos, a.token, a.most, w.k, w.n FROM asked a JOIN wnum w USING (token) WHERE w.n <= {POLICY.deletes_per_query_token}),
+qfirst AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY pos, n) = 1 AS fresh FROM qkeys),
+requests AS (SELECT query_id, pos, token, most, k AS delete_key FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY query_id ORDER BY pos, n) AS used FROM qfirst) WHERE used <= {POLICY.deletes_per_query})"""
+#: Delete keys of the English terms: the nearest first, of each kind in order of its places.
+_DELETES = f"""ent AS (SELECT term, document_frequency, title_frequency, CASE WHEN length(term) < 8 THEN 1 ELSE 2 END AS m FROM dict WHERE locale = 'en'),
+e1 AS (SELECT term, m, i, substr(term, 1, i - 1) || substr(term, i + 1) AS k FROM ent, LATERAL (SELECT unnest(range(1, length(term) + 1)) AS i)),
+e2 AS (SELECT term, i, j, substr(k, 1, j - 1) || substr(k, j + 1) AS k FROM e1, LATERAL (SELECT unnest(range(1, length(k) + 1)) AS j) WHERE m = 2),
+ekeys AS (SELECT term, term AS k, 0 AS o FROM ent UNION ALL SELECT term, k, i FROM e1 UNION ALL SELECT term, k, 1000 * i + j FROM e2),
+eone AS (SELECT term, k, min(o) AS o FROM ekeys WHERE k <> '' GROUP BY term, k),
+edel AS (SELECT term, k FROM eone QUALIFY row_number() OVER (PARTITION BY term ORDER BY o) <= {POLICY.deletes_per_term})"""
+_FAMILY = "fam(fingerprint, family) AS (VALUES " + ", ".join(f"('{f}', '{g}')" for f, g in FAMILIES) + ")"
+
+
+def _sounds(family: str) -> str:
+    rules = [(old, o[0], int(o[1:])) for old, options in E._SOUNDS.items() for o in options.split()] if family == "fa" else E._SPELLINGS
+    return " UNION ALL ".join(f"SELECT token, substr(token, 1, i - 1) || '{new}' || substr(token, i + {len(old)}) AS alternative, {cost}::BIGINT AS cost, '{old}>{new}' AS rule FROM w, LATERAL (SELECT unnest(range(1, length(token) + 1)) AS i) WHERE substr(token, i, {len(old)}) = '{old}'" for old, new, cost in rules)
+
+
+def _persian(e: str) -> str:
+    return rf"trim(regexp_replace(lower(regexp_replace(translate({e}, '{X.PERSIAN_FROM}', '{X.PERSIAN_TO}'), '[\x{{640}}\x{{64B}}-\x{{65F}}\x{{670}}]', '', 'g')), '[\p{{Z}}\s]+', ' ', 'g'))"
 
 
 def _remapped(e: str) -> str:
@@ -372,14 +600,20 @@ def _remapped(e: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    everything, parts, docs = _corpus(), _corpus(_PARTS), _corpus(_DOCS)
-    sound = " UNION ALL ".join(
-        f"SELECT token, substr(token, 1, i - 1) || '{new}' || substr(token, i + {len(old)}) AS alternative, {cost}::BIGINT AS cost, '{old}>{new}' AS rule FROM w, LATERAL (SELECT unnest(range(1, length(token) + 1)) AS i) WHERE substr(token, i, {len(old)}) = '{old}'" for old, new, cost in E._SPELLINGS
-    )
+    everything, single, docs = _corpus(), _corpus(_PAGES, _PARTS), _corpus(_DOCS)
     names = f"w AS (SELECT DISTINCT unnest({_toks(_norm('p_name'))}) AS token FROM part)"
+    typed = f"({_remapped('p_name')} || '  ١٢۳ ىكـ ' || {_remapped('upper(p_name)')})"
+    asked = f"SELECT item_id AS query_id, {_norm(_sanitized('substr(coalesce(text, chr(32)), 1, 200)'))} AS query FROM benchmark"
+    ready = r"length(query) >= 2 AND regexp_matches(query, '[\p{L}\p{N}]') AND len(l) > 0"
+    unique = "u AS (SELECT * FROM idx WHERE is_active QUALIFY row_number() OVER (PARTITION BY partition, source_key, locale ORDER BY id) = 1)"
+    mapped = f"SELECT CASE WHEN up THEN -p_partkey ELSE p_partkey END AS query_id, {_sanitized(_remapped('CASE WHEN up THEN upper(p_name) ELSE p_name END'))} AS x FROM part, (VALUES (false), (true)) AS v(up) WHERE (CASE WHEN up THEN -p_partkey ELSE p_partkey END) % 3 <> 0"
+    placed = f"SELECT query_id, l, r.k AS rule, r.o, r.n, i FROM (SELECT p_partkey AS query_id, {_ordered(_norm('p_name'))} AS l FROM part) q, r, LATERAL (SELECT unnest(range(0, len(l) - len(r.o) + 1)) AS i) WHERE l[i + 1:i + len(r.o)] = r.o"
+    rules = ", ".join(f"({k}, {list(o)!r}::VARCHAR[], {list(n)!r}::VARCHAR[])" for k, (o, n) in enumerate(K.synonym_rules(SYNONYMS, lambda t, _: t.split())["en"]))
+    score = "document_frequency * 100 + title_frequency * 10 + keyword_frequency"
+    short = _DICT.replace("BETWEEN 4 AND 64", "BETWEEN 2 AND 64")
     return {
         "text_sanitize": f"SELECT page_id, {_sanitized('html')} AS sanitized FROM pages",
-        "text_prepare": f"WITH n AS (SELECT doc_id, {_norm('text')} AS x FROM documents), t AS (SELECT doc_id, x, list_sort(list_distinct({_toks('x')})) AS l FROM n) SELECT doc_id, md5(x) AS normalized_md5, len(l)::BIGINT AS n_tokens, md5(array_to_string(l, ' ')) AS tokens_md5 FROM t",
+        "text_prepare": f"WITH n AS (SELECT doc_id, {_norm('text')} AS x FROM documents), s AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {_toks('x')} AS l FROM n)), f AS (SELECT doc_id, t, min(pos) AS pos FROM s GROUP BY doc_id, t), a AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY pos) AS joined FROM f GROUP BY doc_id) SELECT n.doc_id, md5(x) AS normalized_md5, coalesce(a.n, 0) AS n_tokens, md5(coalesce(joined, '')) AS tokens_md5 FROM n LEFT JOIN a USING (doc_id)",
         "search_process": rf"""WITH q AS (SELECT item_id AS query_id, text, {_sanitized("substr(coalesce(text, ''), 1, 200)")} AS clean FROM benchmark), n AS (SELECT *, {_norm('clean')} AS normalized FROM q), t AS (SELECT *, ({_ordered('normalized')})[1:20] AS l FROM n)
 SELECT query_id, normalized, array_to_string(l, ' ') AS searchable, CASE WHEN clean = '' THEN 'empty' WHEN NOT regexp_matches(normalized, '[\p{{L}}\p{{N}}]') THEN 'punctuation_only' WHEN length(normalized) < 2 OR len(l) = 0 THEN 'too_short' ELSE 'ready' END AS status, length(coalesce(text, '')) > 200 AS truncated FROM t""",
         "search_candidates": f"WITH {_SEARCH} SELECT * FROM cand",
@@ -389,47 +623,90 @@ SELECT r.query_id, concat_ws(',', CASE WHEN max(coalesce(l.limited, false)) THEN
 FROM ran r LEFT JOIN lim l USING (query_id) LEFT JOIN tot t USING (query_id) GROUP BY r.query_id""",
         "search_ranked": f"WITH {_RANK} SELECT query_id, place, id, variant, tier, score, matched, coverage FROM ranked",
         "search_page": f"WITH {_RANK} SELECT query_id, place, id FROM ranked WHERE place > 7 AND place <= 14",
+        "search_meta": f"""WITH {_RANK}, n AS (SELECT query_id, count(*) AS total FROM ranked GROUP BY query_id),
+cut AS (SELECT r.query_id, bool_or(NOT r.runs) OR bool_or(r.runs AND x.query_id IS NOT NULL) OR max(coalesce(t.n, 0)) >= {POLICY.maximum_candidates} AS cut FROM ran r LEFT JOIN (SELECT DISTINCT query_id, variant FROM nth WHERE n > {POLICY.per_variant_limit}) x USING (query_id, variant) LEFT JOIN (SELECT query_id, count(*) AS n FROM firsts GROUP BY query_id) t USING (query_id) GROUP BY r.query_id)
+SELECT query_id, coalesce(total, 0) AS total, NOT cut AS exact, CASE WHEN NOT cut THEN greatest(1, (coalesce(total, 0) + 14) // 15) END AS last_page, coalesce(total, 0) > 45 AS has_next, CASE WHEN coalesce(total, 0) > 30 THEN 31::BIGINT END AS first, CASE WHEN coalesce(total, 0) > 30 THEN least(45, total) END AS last FROM cut LEFT JOIN n USING (query_id)""",
         "search_facets": f"WITH {_RANK} SELECT query_id, 'source_type' AS field, source_type AS value, count(*) AS n FROM ranked GROUP BY query_id, source_type UNION ALL SELECT query_id, 'locale', locale, count(*) FROM ranked GROUP BY query_id, locale",
         "search_groups": f"WITH {_RANK}, g AS (SELECT *, count(*) OVER w AS group_count, min(place) OVER w AS f, row_number() OVER (PARTITION BY query_id, source_type ORDER BY place) AS k FROM ranked WINDOW w AS (PARTITION BY query_id, source_type)) SELECT query_id, dense_rank() OVER (PARTITION BY query_id ORDER BY f) AS group_place, source_type, group_count, place, id FROM g WHERE k <= 3",
         "search_preview": f"WITH {_RANK}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY place) AS k FROM ranked) SELECT query_id, place, id, source_type FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k > 2, place) <= 8",
-        "search_bridge": f"""WITH {docs}, u AS (SELECT * FROM idx WHERE is_active QUALIFY row_number() OVER (PARTITION BY partition, source_key, locale ORDER BY id) = 1), h AS (SELECT *, row_number() OVER (ORDER BY id) AS p FROM u WHERE locale = 'fr'),
-j AS (SELECT h.id, h.p, coalesce(e.id, h.id) AS presented_id, CASE WHEN e.id IS NULL THEN 'counterpart_missing' ELSE 'bridged' END AS bridge_status FROM h LEFT JOIN u e ON e.locale = 'en' AND e.partition = h.partition AND e.source_key = h.source_key)
+        "search_families": f"WITH {_RANK}, {_FAMILY}, o AS (SELECT f.family, s.*, row_number() OVER (PARTITION BY f.family ORDER BY tier_at, score DESC, variant_priority DESC, coverage DESC, matched DESC, s.fingerprint) AS k FROM scored s JOIN fam f USING (fingerprint)) SELECT family, count(DISTINCT id) AS n, min(tier_at) FILTER (k = 1)::BIGINT AS tier_at FROM o GROUP BY family",
+        "search_types": f"WITH {everything}, q(term_at, term) AS (VALUES (0, 'the red'), (1, 'the'), (2, 'red')) SELECT id, concat_ws(',', {', '.join(f'CASE WHEN bool_or(coalesce(contains(normalized_{f}, term), false)) THEN {chr(39)}{f}{chr(39)} END' for f in T.FIELDS)}) AS fields, string_agg(term, ',' ORDER BY term_at) AS terms FROM idx JOIN q ON {' OR '.join(f'contains(normalized_{f}, term)' for f in T.FIELDS)} WHERE is_active AND partition = 'public' AND locale = 'en' AND source_type IN ('product', 'page') GROUP BY id",
+        "search_bridge": f"""WITH {everything}, {unique}, h AS (SELECT *, row_number() OVER (ORDER BY id) AS p FROM u WHERE locale IN ('fr', 'en')),
+j AS (SELECT h.id, h.p, coalesce(e.id, h.id) AS presented_id, CASE WHEN h.locale = 'en' THEN 'not_required' WHEN e.id IS NULL THEN 'counterpart_missing' ELSE 'bridged' END AS bridge_status FROM h LEFT JOIN u e ON h.locale <> 'en' AND e.locale = 'en' AND e.partition = h.partition AND e.source_key = h.source_key)
 SELECT id, presented_id, bridge_status, row_number() OVER (ORDER BY p) AS place FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY presented_id ORDER BY p) = 1)""",
         "search_coverage": f"WITH {everything}, {_V}, c AS (SELECT v.query_id, v.variant, v.tokens, i.id, {', '.join(f'i.normalized_{f}' for f in T.FIELDS)} FROM v JOIN idx i ON i.locale = v.locale AND i.is_active AND i.partition = 'public'), h AS (SELECT query_id, variant, count(*) AS n FROM c WHERE len(list_filter(tokens, lambda t: contains(coalesce(normalized_title, ''), t) OR contains(coalesce(normalized_keywords, ''), t) OR contains(coalesce(normalized_excerpt, ''), t) OR contains(coalesce(normalized_content, ''), t))) = len(tokens) GROUP BY query_id, variant) SELECT v.query_id, v.variant, least(coalesce(h.n, 0), 300) AS n, coalesce(h.n, 0) > 300 AS approximate FROM v LEFT JOIN h USING (query_id, variant)",
+        "hydrate": f"WITH {_RANK} SELECT r.query_id, r.place, r.id, coalesce(d.source, p.p_brand) AS label FROM ranked r LEFT JOIN documents d ON r.source_type = 'document' AND d.doc_id::VARCHAR = r.source_id LEFT JOIN part p ON r.source_type = 'product' AND p.p_partkey::VARCHAR = r.source_id WHERE r.place <= 40",
+        "provider_pages": f"WITH {_corpus(_PAGES)} SELECT id, provider_key, source_key, locale, title, md5(coalesce(normalized_title, '-')) AS normalized_title, md5(coalesce(normalized_excerpt, '-')) AS normalized_excerpt, md5(coalesce(normalized_content, '-')) AS normalized_content FROM idx",
+        "query_variants": f"WITH a AS ({asked}), t AS (SELECT query_id, query, ({_ordered('query')})[1:20] AS l FROM a) SELECT query_id, 'en' AS locale, array_to_string(l, ' ') AS tokens, 'original' AS source, 1000::BIGINT AS priority, sha256('original' || chr(0) || query || chr(0) || 'en' || chr(0) || chr(0)) AS fingerprint FROM t WHERE {ready}",
+        "query_keyboard": f"WITH m AS ({mapped}), n AS (SELECT query_id, {_persian('x')} AS query FROM m), t AS (SELECT query_id, query, {_ordered('query')} AS l FROM n) SELECT query_id, query, array_to_string(l, ' ') AS tokens, 'fa' AS locale FROM t WHERE len(l) > 0",
+        "candidate_plan": f"WITH a AS ({asked}), t AS (SELECT query_id, query, ({_ordered('query')})[1:20] AS l FROM a), p AS (SELECT query_id, (list_prepend(query, list_filter(l, lambda x: x <> query)))[1:{POLICY.maximum_terms}] AS l FROM t WHERE {ready}) SELECT query_id, unnest(range(0, len(l))) AS term_at, unnest(l) AS term FROM p",
+        "locale_chains": r"WITH r AS (SELECT DISTINCT lang, doc_id % 4 AS k FROM documents), m AS (SELECT lang, k, coalesce(nullif(trim(CASE k WHEN 0 THEN lang WHEN 1 THEN lang || '-' || upper(lang) WHEN 2 THEN ' ' || upper(lang) || '_x ' ELSE '  ' END), ''), 'und') AS locale FROM r) SELECT lang, k, locale, array_to_string(CASE WHEN regexp_matches(locale, '[-_]') THEN [locale, string_split_regex(locale, '[-_]')[1]] ELSE [locale] END, ',') AS chain, string_split_regex(lower(locale), '[-_]')[1] AS family FROM m",
+        "value_texts": "SELECT p_partkey, concat_ws(' ', p_size::VARCHAR, CASE WHEN p_size > 20 THEN '1' ELSE '0' END, regexp_replace(p_retailprice::VARCHAR, '[.]0$', ''), p_name, p_brand, p_type) AS text FROM part",
+        "value_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || ' ' || event_type AS text FROM events",
+        "normalize_persian": f"WITH n AS (SELECT p_partkey, {_persian(typed)} AS normalized FROM part) SELECT p_partkey, normalized, array_to_string({_ordered('normalized')}, ' ') AS tokens FROM n",
+        "phonetic_persian": f"WITH w AS (SELECT DISTINCT unnest({_toks(_persian(_remapped('p_name')))}) AS token FROM part), a AS ({_sounds('fa')}) SELECT * FROM a",
+        "phonetic_alternatives": f"WITH {names}, a AS ({_sounds('en')}) SELECT * FROM a",
+        "id_order": "WITH k AS (SELECT p_partkey AS n, p_partkey::VARCHAR AS id, 0 AS t FROM part UNION ALL SELECT p_partkey, '00' || p_partkey, 0 FROM part UNION ALL SELECT 0, 'x' || p_partkey, 1 FROM part) SELECT id, row_number() OVER (ORDER BY t, n, id) AS place FROM k",
+        "valid_names": r"WITH n AS (SELECT 'page:' || page_id AS k, url AS name FROM pages UNION ALL SELECT 'document:' || doc_id, text FROM documents) SELECT k, name IS NOT NULL AND name <> '' AND NOT regexp_matches(name, '[\p{Zp}\p{Zl}\p{Cf}\p{Cc}]') AND NOT regexp_matches(name, '^[\s\p{Z}]|[\s\p{Z}]$') AS valid FROM n",
+        "safe_words": rf"WITH {everything}, w AS (SELECT DISTINCT unnest({_toks('normalized_content')}) AS token FROM idx) SELECT token, regexp_full_match(token, '[\p{{M}}\p{{L}}]+') AS safe, length(token) <= 191 AND regexp_full_match(token, '[\p{{M}}\p{{L}}]+([''’][\p{{M}}\p{{L}}]+)*') AS safe_in_context FROM w",
+        "edit_limits": f"WITH {names} SELECT token, CASE WHEN length(token) NOT BETWEEN 4 AND 64 THEN 0 WHEN length(token) < 8 THEN 1 ELSE 2 END::BIGINT AS most FROM w",
+        "edit_distances": f"WITH RECURSIVE {names}, pairs AS (SELECT token AS a, substr(token, 2, 1) || substr(token, 1, 1) || substr(token, 3) || 's' AS b FROM w), {_DISTANCE} SELECT a, b, edits, cost FROM dist",
         "dictionary_terms": f"WITH {everything}, {_DICT} SELECT * FROM dict",
-        "dictionary_deletes": f"""WITH {parts}, {_DICT}, k0 AS (SELECT locale, term, CASE WHEN length(term) < 8 THEN 1 ELSE 2 END AS m FROM dict),
-k1 AS (SELECT DISTINCT locale, term, m, substr(term, 1, i - 1) || substr(term, i + 1) AS k FROM k0, LATERAL (SELECT unnest(range(1, length(term) + 1)) AS i)),
-k2 AS (SELECT DISTINCT locale, term, substr(k, 1, i - 1) || substr(k, i + 1) AS k FROM k1, LATERAL (SELECT unnest(range(1, length(k) + 1)) AS i) WHERE m = 2)
-SELECT locale, term, term AS delete_key, 0::BIGINT AS distance FROM k0 UNION ALL SELECT locale, term, k, 1 FROM k1 UNION ALL SELECT locale, term, k, 2 FROM k2""",
+        "protected_terms": f"WITH {everything}, {_DICT}, p AS (SELECT *, term IN ('widget', 'than') OR (locale = 'en' AND term IN ('small', 'there')) OR (locale = 'fr' AND term IN ('dans', 'bolt')) AS is_protected FROM dict) SELECT locale, term, document_frequency, is_protected FROM p WHERE document_frequency >= 6 OR is_protected",
+        "dictionary_deletes": f"""WITH {everything}, {_DICT}, k0 AS (SELECT locale, term, CASE WHEN length(term) < 8 THEN 1 ELSE 2 END AS m FROM dict),
+k1 AS (SELECT locale, term, m, i, substr(term, 1, i - 1) || substr(term, i + 1) AS k FROM k0, LATERAL (SELECT unnest(range(1, length(term) + 1)) AS i)),
+k2 AS (SELECT locale, term, 1000 * i + j AS o, substr(k, 1, j - 1) || substr(k, j + 1) AS k FROM k1, LATERAL (SELECT unnest(range(1, length(k) + 1)) AS j) WHERE m = 2),
+every AS (SELECT locale, term, term AS k, 0 AS o FROM k0 UNION ALL SELECT locale, term, k, i FROM k1 UNION ALL SELECT locale, term, k, o FROM k2),
+once AS (SELECT locale, term, k, min(o) AS o FROM every GROUP BY locale, term, k)
+SELECT locale, term, k AS delete_key, (length(term) - length(k))::BIGINT AS distance FROM once QUALIFY row_number() OVER (PARTITION BY locale, term ORDER BY o) <= {POLICY.deletes_per_term}""",
         "dictionary_bigrams": f"WITH {everything}, {_GRAMS} SELECT locale, sha256(gram) AS gram_hash, gram, document_frequency, title_frequency, keyword_frequency FROM grams",
-        "index_status": f"WITH {everything}, s AS (SELECT 'all' AS dimension, '' AS value, is_active FROM idx UNION ALL SELECT 'source_type', source_type, is_active FROM idx UNION ALL SELECT 'locale', locale, is_active FROM idx UNION ALL SELECT 'partition', partition, is_active FROM idx) SELECT dimension, value, count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (NOT is_active) AS inactive FROM s GROUP BY dimension, value",
+        "ngram_lookup": f"WITH {everything}, {_GRAMS}, b AS (SELECT item_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, {_toks(_norm('text'))} AS l FROM benchmark)), bu AS (SELECT item_id, t, min(pos) AS pos FROM b GROUP BY item_id, t), bg AS (SELECT DISTINCT gram FROM (SELECT t || ' ' || lead(t) OVER (PARTITION BY item_id ORDER BY pos) AS gram FROM bu) WHERE gram IS NOT NULL) SELECT locale, gram, {score} AS score FROM grams SEMI JOIN bg USING (gram) WHERE locale IN ('en', 'fr', 'de')",
         "dictionary_status": f"WITH {everything}, {_DICT}, {_GRAMS}, d AS (SELECT locale, count(*) AS documents FROM idx WHERE is_active GROUP BY locale), t AS (SELECT locale, count(*) AS terms, sum(document_frequency)::BIGINT AS occurrences FROM dict GROUP BY locale), g AS (SELECT locale, count(*) AS ngrams FROM grams GROUP BY locale) SELECT locale, coalesce(documents, 0) AS documents, coalesce(terms, 0) AS terms, coalesce(occurrences, 0) AS occurrences, coalesce(ngrams, 0) AS ngrams FROM d FULL JOIN t USING (locale) FULL JOIN g USING (locale)",
-        "document_hashes": f"WITH {parts} SELECT id, {_framed(*_HASHED)} AS document_hash FROM idx",
-        "index_diff": f"WITH {parts}, {_NEXT} SELECT source_key, action FROM dif",
-        "index_replace": f"WITH {parts}, {_NEXT} SELECT source_key, title FROM nxt UNION ALL SELECT source_key, title FROM idx WHERE source_key NOT IN (SELECT source_key FROM nxt)",
-        "index_report": f"WITH {parts}, {_NEXT} SELECT count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'deleted') AS deleted, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) AS documents, count(DISTINCT source_key) AS sources FROM dif",
-        "index_upsert": f"WITH {parts} SELECT id, CASE WHEN id % 11 = 0 THEN 99 ELSE priority END AS priority FROM idx",
+        "dictionary_builds": f"WITH {everything}, {_DICT}, {_GRAMS}, t AS (SELECT locale, count(*) AS terms FROM dict GROUP BY locale), g AS (SELECT locale, count(*) AS ngrams FROM grams GROUP BY locale) SELECT locale, terms, coalesce(ngrams, 0) AS ngrams, locale <> 'de' AS ready FROM t LEFT JOIN g USING (locale)",
+        "dictionary_stale": f"WITH {everything}, {_DICT}, {_GRAMS}, d AS (SELECT locale, count(*) AS documents, max(priority) + 1 AS day FROM idx WHERE is_active GROUP BY locale), t AS (SELECT locale, count(*) AS terms FROM dict GROUP BY locale), g AS (SELECT locale, count(*) AS ngrams FROM grams GROUP BY locale) SELECT locale, coalesce(documents, 0) AS documents, coalesce(terms, 0) AS terms, coalesce(ngrams, 0) AS ngrams, coalesce(documents > 0 AND (locale = 'es' OR terms IS NULL OR day > CASE WHEN locale = 'en' THEN 9 ELSE 2 END), false) AS stale FROM d FULL JOIN t USING (locale) FULL JOIN g USING (locale)",
+        "term_lookup": f"WITH {everything}, {_DICT} SELECT locale, term, document_frequency FROM dict WHERE locale IN ('en', 'fr', 'de', 'es') AND term IN ('thing', 'with', 'from', 'nicht', 'dans')",
+        "spelling_requests": f"WITH {everything}, {_DICT}, {_MISSPELLED} SELECT query_id, pos AS \"at\", token, most::BIGINT AS most, 'en' AS locale, delete_key FROM requests",
+        "spelling_options": f"""WITH RECURSIVE {everything}, {_DICT}, {_MISSPELLED}, {_DELETES},
+hits AS (SELECT DISTINCT r.query_id, e.term, e.document_frequency, e.title_frequency, r.delete_key FROM requests r JOIN edel d ON d.k = r.delete_key JOIN ent e USING (term)),
+lim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_frequency DESC, title_frequency DESC, term, delete_key) AS nth FROM hits) WHERE nth <= {POLICY.rows_per_query}),
+rws AS (SELECT l.query_id, r.pos, r.token, r.most, l.term, l.document_frequency, l.title_frequency, min(l.nth) AS nth FROM lim l JOIN requests r USING (query_id, delete_key) GROUP BY ALL),
+few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY nth) AS n FROM rws) WHERE n <= {POLICY.rows_per_token} AND term <> token),
+pairs AS (SELECT DISTINCT token AS a, term AS b FROM few), {_DISTANCE}
+SELECT query_id, pos AS "at", token, row_number() OVER (PARTITION BY query_id, pos ORDER BY cost, edits, document_frequency DESC, title_frequency DESC, term) AS option, term, 'en' AS locale, edits, cost, document_frequency
+FROM few JOIN dist ON a = token AND b = term WHERE edits BETWEEN 1 AND most QUALIFY option <= {POLICY.options_per_token}""",
+        "synonym_variants": f"WITH r(k, o, n) AS (VALUES {rules}), p AS ({placed}), m AS (SELECT query_id, rule, i, l, list_concat(l[1:i], n, l[i + len(o) + 1:]) AS made FROM p), d AS (SELECT query_id, rule, i, l, list_filter(made, lambda x, j: list_position(made, x) = j) AS made FROM m) SELECT query_id, rule::BIGINT AS rule, i AS \"at\", array_to_string(made, ' ') AS made FROM d WHERE made <> l QUALIFY row_number() OVER (PARTITION BY query_id, made ORDER BY rule, i) = 1",
+        "split_words": f"WITH {everything}, {short}, e AS (SELECT term, {score} AS s FROM dict WHERE locale = 'en'), w AS (SELECT DISTINCT replace(array_to_string(string_split({_norm('p_name')}, ' ')[1:2], ' '), ' ', '') AS token FROM part), c AS (SELECT token, i, substr(token, 1, i) AS l, substr(token, i + 1) AS r, row_number() OVER (PARTITION BY token ORDER BY i) AS n FROM w, LATERAL (SELECT unnest(range(2, length(token) - 1)) AS i) WHERE length(token) >= 6 AND regexp_full_match(token, '[\\p{{M}}\\p{{L}}]+') AND token NOT IN (SELECT term FROM e)) SELECT token, i AS cut, l AS left, r AS right, a.s + b.s AS frequency FROM c JOIN e a ON a.term = l JOIN e b ON b.term = r WHERE n <= 24",
+        "merge_words": f"WITH {everything}, {_DICT}, e AS (SELECT term, {score} AS s FROM dict WHERE locale = 'en'), q AS (SELECT p_partkey AS query_id, list_filter(flatten(list_transform(string_split({_norm('p_name')}, ' '), lambda w: [substr(w, 1, 3), substr(w, 4)])), lambda w: w <> '') AS l FROM part), p AS (SELECT query_id, i, l[i + 1] AS a, l[i + 2] AS b FROM q, LATERAL (SELECT unnest(range(0, least(len(l) - 1, {POLICY.merge_pairs}))) AS i)) SELECT query_id, i AS \"at\", a || b AS merged, s AS frequency FROM p JOIN e ON term = a || b WHERE regexp_full_match(a, '[\\p{{M}}\\p{{L}}]+') AND regexp_full_match(b, '[\\p{{M}}\\p{{L}}]+')",
+        "keyboard_remap": f"SELECT p_partkey, {_remapped('p_name')} AS remapped FROM part",
+        "index_status": f"WITH {everything}, s AS (SELECT 'all' AS dimension, '' AS value, is_active FROM idx UNION ALL SELECT 'source_type', source_type, is_active FROM idx UNION ALL SELECT 'locale', locale, is_active FROM idx UNION ALL SELECT 'partition', partition, is_active FROM idx UNION ALL SELECT 'provider_key', provider_key, is_active FROM idx) SELECT dimension, value, count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (NOT is_active) AS inactive FROM s GROUP BY dimension, value",
+        "document_hashes": f"WITH {everything} SELECT id, sha256({_JSON}::VARCHAR) AS document_hash FROM idx",
+        "index_diff": f"WITH {single}, {_NEXT} SELECT source_key, action FROM dif",
+        "index_replace": f"WITH {single}, {_NEXT} SELECT source_key, title FROM nxt UNION ALL SELECT source_key, title FROM idx WHERE source_key NOT IN (SELECT source_key FROM nxt)",
+        "index_report": f"WITH {single}, {_NEXT} SELECT count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'deleted') AS deleted, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) AS documents, count(DISTINCT source_key) AS sources FROM dif",
+        "index_report_json": f"WITH {single}, {_NEXT} SELECT to_json({{'created': count(*) FILTER (action = 'created'), 'deleted': count(*) FILTER (action = 'deleted'), 'documents': count(*), 'sources': count(DISTINCT source_key), 'unchanged': count(*) FILTER (action = 'unchanged'), 'updated': count(*) FILTER (action = 'updated')}})::VARCHAR AS report FROM dif",
+        "index_upsert": f"WITH {single} SELECT id, CASE WHEN {_N} % 11 = 0 THEN 99 ELSE priority END AS priority FROM idx",
+        "index_verify": f"WITH {single} SELECT id FROM (SELECT id, priority FROM idx EXCEPT ALL SELECT id, CASE WHEN {_N} % 17 = 0 THEN 99 ELSE priority END FROM idx WHERE {_N} % 13 <> 0)",
+        "index_forget_reference": f"WITH {single} SELECT id FROM idx WHERE NOT (source_type = 'product' AND {_N} % 3 = 0)",
         "index_delete": f"WITH {everything} SELECT id FROM idx WHERE NOT (source_type = 'product' AND locale = 'en')",
-        "index_conflicts": f"WITH {docs} SELECT partition, source_key FROM idx GROUP BY partition, source_key HAVING count(DISTINCT source_id) > 1",
-        "index_prune": f"WITH {docs} SELECT partition, source_key, count(*) AS documents FROM idx GROUP BY partition, source_key HAVING count(*) FILTER (id % 3 <> 0) = 0",
-        "index_ownership": f"WITH {docs} SELECT partition, source_key, source_type, count(*) AS documents, count(DISTINCT source_id) > 1 AS conflict FROM idx GROUP BY partition, source_key, source_type",
-        "doctor_sample": f"WITH {parts} SELECT id, id % 4 <> 0 AS sound FROM idx ORDER BY id LIMIT 100",
+        "index_conflicts": f"WITH {everything} SELECT partition, source_key FROM idx GROUP BY partition, source_key HAVING count(DISTINCT source_id) > 1",
+        "index_prune": f"WITH {everything} SELECT partition, source_key, count(*) AS documents FROM idx WHERE provider_key IN ('documents', 'part') GROUP BY partition, source_key HAVING count(*) FILTER ({_N} % 3 <> 0) = 0",
+        "index_ownership": f"WITH {everything} SELECT provider_key, partition, source_key, source_type, count(*) AS documents, count(DISTINCT source_id) > 1 AS conflict FROM idx GROUP BY provider_key, partition, source_key, source_type",
+        "sources_enumerated": f"WITH {single} SELECT DISTINCT provider_key, partition, source_key, source_id FROM idx",
+        "reindex_sources": "SELECT DISTINCT 'user:' || user_id AS source_key, (SELECT count(*) - count(DISTINCT user_id) FROM events) AS repeats FROM events",
+        "doctor_sample": f"WITH {everything} SELECT id, {_N} % 4 <> 0 AS sound FROM idx ORDER BY id LIMIT 100",
         "feed_state": "SELECT user_id, event_id, event_type, event_type <> 'purchase' AS present FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-        "feed_synchronize": f"WITH {parts}, {_NEXT}, ch AS (SELECT DISTINCT 'part:' || user_id AS source_key FROM events) SELECT source_key, title FROM idx WHERE source_key NOT IN (SELECT source_key FROM ch) UNION ALL SELECT source_key, title FROM nxt WHERE source_key IN (SELECT source_key FROM ch)",
-        "dependency_targets": "SELECT DISTINCT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 500 IN (0, 1))",
-        "hydrate": f"WITH {_RANK} SELECT r.query_id, r.place, r.id, d.source, d.n_chars FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE r.source_type = 'document' AND r.place <= 5",
-        "keyboard_remap": f"SELECT p_partkey, {_remapped('p_name')} AS remapped FROM part",
-        "phonetic_alternatives": f"WITH {names}, a AS ({sound}) SELECT * FROM a",
-        "synonym_windows": f"WITH n AS (SELECT p_partkey, {_ordered(_norm('p_name'))} AS l FROM part), r(old, new) AS (VALUES ('red', 'crimson'), ('blue', 'azure sky'), ('large', 'big')) SELECT p_partkey, old, array_to_string(list_transform(l, lambda t: CASE WHEN t = old THEN new ELSE t END), ' ') AS expanded FROM n JOIN r ON list_contains(l, old)",
-        "term_lookup": f"WITH {everything}, {_DICT} SELECT locale, term, document_frequency FROM dict WHERE locale IN ('en', 'fr', 'de', 'es') AND term IN ('thing', 'with', 'from', 'nicht', 'dans')",
+        "feed_synchronize": f"WITH {single}, {_NEXT}, ch AS (SELECT DISTINCT 'part:' || user_id AS source_key FROM events) SELECT source_key, title FROM idx WHERE source_key NOT IN (SELECT source_key FROM ch) UNION ALL SELECT source_key, title FROM nxt WHERE source_key IN (SELECT source_key FROM ch)",
+        "dependency_targets": "WITH k AS (SELECT p_partkey, p_brand || p_name AS kind FROM part), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT p_partkey FROM k WHERE kind IN (SELECT kind FROM k WHERE p_partkey IN (SELECT user_id FROM b) OR p_partkey - 1 IN (SELECT user_id FROM b))",
     }
 
 
 def queries() -> dict[str, Query]:
     found = (
-        text_sanitize, text_prepare, search_process, search_candidates, search_truncation, search_ranked, search_page, search_facets, search_groups, search_preview, search_bridge,
-        search_coverage, hydrate, dictionary_terms, dictionary_deletes, dictionary_bigrams, dictionary_status, term_lookup, spelling_options, spelling_corrections, edit_distances,
-        keyboard_remap, phonetic_alternatives, synonym_windows, index_status, document_hashes, index_diff, index_replace, index_report, index_upsert, index_delete, index_conflicts,
-        index_prune, index_ownership, doctor_sample, feed_state, feed_synchronize, dependency_targets,
+        text_sanitize, text_prepare, value_texts, value_times, normalize_persian, locale_chains, valid_names, safe_words, id_order, search_process, query_variants, query_keyboard, candidate_plan,
+        search_candidates, search_truncation, search_types, search_ranked, search_page, search_meta, search_facets, search_groups, search_preview, search_families, search_bridge,
+        search_coverage, hydrate, dictionary_terms, protected_terms, dictionary_deletes, dictionary_bigrams, ngram_lookup, dictionary_status, dictionary_builds, dictionary_stale, term_lookup,
+        spelling_requests, spelling_options, spelling_corrections, edit_limits, edit_distances, keyboard_remap, phonetic_alternatives, phonetic_persian, synonym_variants, split_words, merge_words,
+        provider_pages, index_status, document_hashes, index_diff, index_replace, index_report, index_report_json, index_upsert, index_verify, index_delete, index_forget_reference, index_conflicts,
+        index_prune, index_ownership, sources_enumerated, reindex_sources, doctor_sample, feed_state, feed_synchronize, dependency_targets,
     )
     return {f.__name__: f for f in found}

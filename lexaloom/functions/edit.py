@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,17 +39,78 @@ def distance(source: str, target: str, locale: str) -> tuple[int, int]:
     return row[-1] % unit, row[-1] // unit
 
 
+def distances(sources: list[str], targets: list[str], locales: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``distance`` of many pairs: one table cell of all pairs at a time."""
+    out = np.zeros(len(sources), np.int64)
+    locale = np.array(locales, dtype=object)
+    for name in set(locales):
+        own = np.flatnonzero(locale == name)
+        near = set().union(*[ADJACENT.get(x, set()) for x in chain(name)])
+        letters = sorted({c for pair in near for c in pair})
+        place = {c: i for i, c in enumerate(letters)}
+        close = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for a, b in (tuple(pair) for pair in near):
+            close[place[a], place[b]] = close[place[b], place[a]] = True
+        order = own[np.argsort([len(sources[i]) * 256 + len(targets[i]) for i in own], kind="stable")]
+        for at in range(0, len(order), 4096):  # pairs of about one size
+            rows = order[at : at + 4096]
+            out[rows] = _table([sources[i] for i in rows], [targets[i] for i in rows], place, close)
+    return out % UNIT, out // UNIT
+
+
+UNIT = 1024  # a cell is cost * UNIT + edits, so one minimum decides both
+
+
+def _table(sources: list[str], targets: list[str], place: dict[str, int], close: np.ndarray) -> np.ndarray:
+    def spread(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(t) for t in texts])
+        code, key = np.zeros((max(1, size.max()), len(texts)), np.int64), np.full((max(1, size.max()), len(texts)), len(place))
+        for k, t in enumerate(texts):
+            code[: len(t), k] = [ord(c) for c in t]
+            key[: len(t), k] = [place.get(c, len(place)) for c in t]
+        return size, code, key
+
+    n, a, ka = spread(sources)
+    m, b, kb = spread(targets)
+    out = np.where(n == 0, m * (INSERT * UNIT + 1), n * (DELETE * UNIT + 1))
+    older = row = np.arange(len(b) + 1)[:, None] * (INSERT * UNIT + 1) + np.zeros(len(n), np.int64)
+    for i in range(len(a)):
+        older, previous, row = (row, row, np.empty_like(row)) if i == 0 else (previous, row, np.empty_like(row))
+        row[0] = (i + 1) * (DELETE * UNIT + 1)
+        step = np.where(a[i] == b, 0, np.where(close[ka[i], kb], NEIGHBOUR, SUBSTITUTE) * UNIT + 1)
+        for j in range(len(b)):
+            best = np.minimum(np.minimum(previous[j] + step[j], previous[j + 1] + DELETE * UNIT + 1), row[j] + INSERT * UNIT + 1)
+            if i and j:
+                swap = (a[i] == b[j - 1]) & (a[i - 1] == b[j])
+                best = np.where(swap, np.minimum(best, older[j - 1] + TRANSPOSE * UNIT + 1), best)
+            row[j + 1] = best
+        done = (n == i + 1) & (m > 0)
+        out[done] = row[m[done], np.flatnonzero(done)]
+    return out
+
+
 def edit_distance(source: Column, target: Column, locale: Column) -> Column:
-    """struct<edits, cost>, in Arrow batches."""
+    """struct<edits, cost>, in Arrow batches, all pairs of a batch at once."""
     ship()
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for a, b, l in batches:
-            yield pd.DataFrame([distance(*x) for x in zip(a, b, l)], columns=["edits", "cost"])
+            edits, cost = distances(a.tolist(), b.tolist(), l.tolist())
+            yield pd.DataFrame({"edits": edits, "cost": cost})
 
     return F.pandas_udf(run, "edits int, cost int")(source, target, locale)
 
 
+def safe_word(token: Column) -> Column:
+    """Letters and marks only: what phonetic, split and merge corrections may touch."""
+    return token.rlike(r"^[\p{M}\p{L}]+$")
+
+
+def safe_context_word(token: Column) -> Column:
+    """The same with inner apostrophes and a bounded length: what contextual corrections may touch."""
+    return (F.char_length(token) <= 191) & token.rlike(r"^[\p{M}\p{L}]+(?:['’][\p{M}\p{L}]+)*$")
+
+
 def maximum_edits(token: Column, least: int = 4, most: int = 64, two_from: int = 8) -> Column:
     n = F.char_length(token)
     return F.when((n < least) | (n > most), 0).when(n < two_from, 1).otherwise(2)
@@ -101,20 +163,33 @@ def keyboard_remap(text: Column) -> Column:
 _SOUNDS = {"س": "ص750 ث800", "ص": "س350 ث650", "ث": "س400 ص650", "ز": "ذ800 ض850 ظ850", "ذ": "ز400 ض700 ظ700", "ض": "ز450 ذ700 ظ650", "ظ": "ز450 ذ700 ض650", "ت": "ط750", "ط": "ت400", "ق": "غ450", "غ": "ق650", "ه": "ح800", "ح": "ه550"}
 _SPELLINGS = (("ph", "f", 450), ("f", "ph", 650), ("ck", "k", 500), ("k", "ck", 750), ("c", "k", 700), ("k", "c", 850))
 SEPARATOR = {"fa": " ", "en": " "}
+Alternatives = Iterator[tuple[str, int, str]]
+
+
+def _persian(token: str) -> Alternatives:
+    for i, c in enumerate(token):
+        for option in _SOUNDS.get(c, "").split():
+            yield token[:i] + option[0] + token[i + 1 :], int(option[1:]), f"{c}>{option[0]}"
+
+
+def _english(token: str) -> Alternatives:
+    for old, new, cost in _SPELLINGS:
+        at = token.find(old)
+        while at >= 0:
+            yield token[:at] + new + token[at + len(old) :], cost, f"{old}>{new}"
+            at = token.find(old, at + len(old))
+
+
+#: Language profiles by family: (alternative, cost, rule) of a token, one change each.
+PROFILES: dict[str, Callable[[str], Alternatives]] = {"fa": _persian, "en": _english}
+
+
+def register_profile(family: str, alternatives: Callable[[str], Alternatives], separator: str = " ") -> None:
+    PROFILES[family], SEPARATOR[family] = alternatives, separator
 
 
-def sound_alternatives(token: str, family: str) -> Iterator[tuple[str, int, str]]:
-    """(alternative, cost, rule), one change each."""
-    if family == "fa":
-        for i, c in enumerate(token):
-            for option in _SOUNDS.get(c, "").split():
-                yield token[:i] + option[0] + token[i + 1 :], int(option[1:]), f"{c}>{option[0]}"
-    elif family == "en":
-        for old, new, cost in _SPELLINGS:
-            at = token.find(old)
-            while at >= 0:
-                yield token[:at] + new + token[at + len(old) :], cost, f"{old}>{new}"
-                at = token.find(old, at + len(old))
+def sound_alternatives(token: str, family: str) -> Alternatives:
+    yield from PROFILES[family](token) if family in PROFILES else ()
 
 
 def sound_rules(spark):

@@ -7,8 +7,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexaloom.shipping import ship
 
@@ -21,6 +22,9 @@ JOINERS = "​‌‍"
 BLANKS = r"[\p{Z}\x09-\x0D\x{85}]+"
 INVISIBLE = r"[\x{FEFF}\x{2066}-\x{2069}\x{202A}-\x{202E}\x{200E}-\x{200F}\x{86}-\x{9F}\x7F-\x{84}\x0E-\x1F\x00-\x08]"
 _ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+#: The ampersand comes last, so nothing is decoded twice.
+_COMMON = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_RARE = "&(?!(?:" + "|".join(n[1:-1] for n, _ in _COMMON) + ");)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 #: Arabic letter shapes to Persian ones, and both sets of digits to ASCII; vowel signs and tatweel go.
 PERSIAN_FROM = "كيىآأإةؤ" + "۰۱۲۳۴۵۶۷۸۹" + "٠١٢٣٤٥٦٧٨٩"
 PERSIAN_TO = "کییاااهو" + "0123456789" * 2
@@ -28,14 +32,18 @@ PERSIAN_DROP = r"[\x{640}\x{64B}-\x{65F}\x{670}]"
 
 
 def decode_entities(text: Column) -> Column:
-    """HTML entities that end in a semicolon, once."""
+    """HTML entities that end in a semicolon, once. Rows that hold only the few common ones never leave the JVM."""
     ship()
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield s.map(lambda t: _ENTITY.sub(lambda m: html.unescape(m[0]), t) if t is not None and "&" in t else t)
 
-    return F.pandas_udf(run, "string")(text)
+    plain = text
+    for name, char in _COMMON:
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    rare = text.rlike(_RARE)
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(rare, text)), plain)
 
 
 def sanitize(text: Column, entities: bool = True) -> Column:
@@ -88,9 +96,39 @@ def prepare(text: Column, locale: Column | None = None, entities: bool = True) -
     return F.struct(clean.alias("sanitized"), normal.alias("normalized"), tokens(normal).alias("tokens"))
 
 
-def searchable_value(*columns: Column) -> Column:
-    """Several values as one text: nulls and empty parts are left out, one blank between."""
-    return F.concat_ws(" ", F.filter(F.array(*[c.cast("string") for c in columns]), lambda x: x.isNotNull() & (x != "")))
+def value_text(value: Column, kind: T.DataType) -> Column:
+    """The searchable text of a value of any type: null is empty, a flag is 1 or 0, whole floats have no fraction, times are UTC, and
+    the parts of nested values stand in order with one blank between, empty ones left out."""
+    none = F.lit("")
+    if isinstance(kind, T.BooleanType):
+        made = F.when(value, "1").otherwise("0")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        made = F.regexp_replace(value.cast("string"), r"\.0$", "")
+    elif isinstance(kind, T.TimestampType):
+        made = F.date_format(F.to_utc_timestamp(value, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    elif isinstance(kind, T.TimestampNTZType):
+        made = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    elif isinstance(kind, T.ArrayType):
+        made = _joined(F.transform(value, lambda x: value_text(x, kind.elementType)))
+    elif isinstance(kind, T.MapType):
+        made = _joined(F.transform(F.map_entries(value), lambda e: value_text(e["value"], kind.valueType)))
+    elif isinstance(kind, T.StructType):
+        made = _joined(F.array(*[value_text(value[f.name], f.dataType) for f in kind.fields])) if kind.fields else none
+    elif isinstance(kind, (T.StringType, T.NumericType, T.DateType)):
+        made = value.cast("string")
+    else:
+        raise TypeError(f"{kind.simpleString()} is no searchable type")
+    return F.when(value.isNull(), none).otherwise(made)
+
+
+def _joined(parts: Column) -> Column:
+    return F.array_join(F.filter(parts, lambda x: x != ""), " ")
+
+
+def searchable_value(rows: DataFrame, *names: str) -> Column:
+    """Several columns as one text."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return _joined(F.array(*[value_text(F.col(f"`{n}`"), kinds[n]) for n in names]))
 
 
 def fingerprint(*parts: Column | str) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import edit as E
@@ -239,7 +239,7 @@ def advanced_corrections(query: str, locale: str, dictionary: Dictionary, policy
     left = policy.corrected_tokens if phonetic_left is None else phonetic_left
     locales = E.chain(locale)
     family = locales[-1]
-    if family not in ("fa", "en") or _UNSAFE.search(query) or not (parts := _parts(query)):
+    if family not in E.PROFILES or _UNSAFE.search(query) or not (parts := _parts(query)):
         return []
     protected = policy.protected_terms(locale)
     found = _Proposals(policy.lookup_terms, [p[0] for p in parts])
@@ -328,6 +328,44 @@ def synonyms(variant: Variant, rules: dict[str, list[tuple]]) -> Iterator[tuple[
                     yield made
 
 
+def synonym_table(variants: DataFrame, rules: DataFrame) -> DataFrame:
+    """``synonyms`` for a table: variants (query_id, locale, tokens), rules (locale, rule, old, new) with token arrays.
+
+    Adds rule, at and made: each rule at each place where its words stand, made once per query in the order of rules and places.
+    """
+    n, k = F.size("tokens"), F.size("old")
+    # rules are a configuration of one row a pair; the count is checked before they are broadcast
+    small = rules.limit(SYNONYM_RULES + 1).count() <= SYNONYM_RULES
+    met = variants.join(F.broadcast(rules) if small else rules, "locale").where(F.array_contains("tokens", F.get("old", 0)) & (k <= n))
+    placed = met.withColumn("at", F.explode(F.sequence(F.lit(0), n - k))).where(F.slice("tokens", F.col("at") + 1, k) == F.col("old"))
+    made = F.array_distinct(F.concat(F.slice("tokens", F.lit(1), F.col("at")), "new", F.slice("tokens", F.col("at") + k + 1, n)))
+    once = F.row_number().over(Window.partitionBy("query_id", "made").orderBy("rule", "at"))
+    return placed.withColumn("made", made).where(F.col("made") != F.col("tokens")).withColumn("nth", once).where("nth = 1").drop("nth", "old", "new")
+
+
+SYNONYM_RULES = 50_000
+
+
+def split_table(words: DataFrame, vocabulary: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """Splits of unknown words (locale, token) into two known ones of their locale: locale, token, cut, left, right, frequency."""
+    n, least = F.char_length("token"), policy.segment_minimum_length
+    open_ = words.where(E.safe_word(F.col("token")) & (n >= policy.split_minimum_length)).join(vocabulary.select("locale", F.col("term").alias("token")), ["locale", "token"], "left_anti")
+    cuts = F.slice(F.sequence(F.lit(least), n - least), 1, policy.split_positions)
+    cut = open_.withColumn("cut", F.explode(cuts)).withColumn("left", F.substr("token", F.lit(1), F.col("cut"))).withColumn("right", F.substr("token", F.col("cut") + 1))
+    side = lambda name: vocabulary.select("locale", F.col("term").alias(name), D.corpus_score().alias(f"{name}_score"))
+    both = cut.join(side("left"), ["locale", "left"]).join(side("right"), ["locale", "right"])
+    return both.select("locale", "token", "cut", "left", "right", (F.col("left_score") + F.col("right_score")).alias("frequency"))
+
+
+def merge_table(queries: DataFrame, vocabulary: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """Neighbouring words of a query (query_id, locale, words) that are one known word together: query_id, at, merged, frequency."""
+    w = F.col("words")
+    pairs = F.transform(F.slice(w, 1, F.least(F.greatest(F.size(w) - 1, F.lit(0)), F.lit(policy.merge_pairs))), lambda a, i: F.struct(i.alias("at"), a.alias("a"), F.get(w, i + 1).alias("b")))
+    each = queries.select("query_id", "locale", F.explode(pairs).alias("p")).select("query_id", "locale", "p.*").where(E.safe_word(F.col("a")) & E.safe_word(F.col("b")))
+    one = each.withColumn("term", F.concat("a", "b")).where(F.char_length("term") <= LONGEST)
+    return one.join(vocabulary.select("locale", "term", D.corpus_score().alias("frequency")), ["locale", "term"]).select("query_id", "at", F.col("term").alias("merged"), "frequency")
+
+
 @dataclass
 class Variants:
     """Ordered variants without repeats of (locale, query); a stronger source takes a weaker one's place."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import socket
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import datetime, timezone
 from functools import reduce
@@ -13,11 +15,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexaloom.sources.tables import COLUMNS, HASHED, with_hash
+from lexaloom.functions.text import is_canonical_name
+from lexaloom.plans.policy import DEFAULT, Policy
+from lexaloom.sources.tables import COLUMNS, ENUMERATORS, HASHED, PROVIDERS, with_hash
 
 IDENTITY = ("partition", "source_key", "locale")
 OWNER = ("partition", "source_key")
-EXIT_CODES = {"success": 0, "failure": 1, "invalid": 2, "locked": 3, "partial": 4, "unhealthy": 5}
+EXIT_CODES = {"success": 0, "failed": 1, "warning": 2, "infrastructure": 3, "locked": 4, "unconfirmed": 5}
 
 
 def identity_conflicts(documents: DataFrame) -> DataFrame:
@@ -58,7 +62,10 @@ def replace(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, document: DataFrame) -> DataFrame:
-    """One document in; its siblings stay."""
+    """Single documents in; their siblings stay. A document whose source key belongs to another source is refused."""
+    _refuse(duplicates(document), "documents with one identity")
+    theirs = existing.join(document.select(*OWNER).distinct(), list(OWNER), "left_semi")
+    _refuse(identity_conflicts(theirs.select(*OWNER, "source_type", "source_id").unionByName(document.select(*OWNER, "source_type", "source_id"))), "source keys with two owners")
     return existing.join(document.select(*IDENTITY), list(IDENTITY), "left_anti").unionByName(document.select(*existing.columns))
 
 
@@ -78,6 +85,11 @@ def report(actions: DataFrame) -> DataFrame:
     return actions.agg(*[F.count_if(F.col("action") == n).alias(n) for n in names], F.count(F.lit(1)).alias("documents"), F.countDistinct(*OWNER).alias("sources"))
 
 
+def report_json(reports: DataFrame) -> DataFrame:
+    """Reports as one JSON object each, keys sorted."""
+    return reports.select(F.to_json(F.struct(*sorted(reports.columns))).alias("report"))
+
+
 def sources_to_run(locators: DataFrame, limit: int | None = None, ceiling: int = 100_000) -> tuple[DataFrame, int]:
     """Distinct locators in order and how many were repeats; a limit makes the run partial, the ceiling refuses it."""
     once = locators.groupBy(*locators.columns).agg(F.count(F.lit(1)).alias("seen"))
@@ -89,28 +101,37 @@ def sources_to_run(locators: DataFrame, limit: int | None = None, ceiling: int =
 
 
 def ownership(index: DataFrame) -> DataFrame:
-    """Documents of each persisted source and whether its rows disagree about who it is."""
+    """Documents of each provider's persisted sources and whether their rows disagree about who they are."""
     kinds = F.countDistinct("source_type", F.coalesce("source_id", F.lit("")))
-    return index.groupBy("partition", "source_key", "source_type").agg(F.count(F.lit(1)).alias("documents"), (kinds > 1).alias("conflict"))
+    return index.groupBy("provider_key", "partition", "source_key", "source_type").agg(F.count(F.lit(1)).alias("documents"), (kinds > 1).alias("conflict"))
+
+
+def current_sources(located: list[DataFrame]) -> DataFrame:
+    """The sources that enumerators name, each once; a key that two sources claim is refused."""
+    both = reduce(DataFrame.unionByName, located).distinct()
+    _refuse(identity_conflicts(both), "source keys with two owners")
+    return both
 
 
-def orphans(index: DataFrame, current: DataFrame) -> DataFrame:
-    """Persisted sources that an authoritative enumeration no longer names."""
-    held = index.groupBy(*OWNER).agg(F.count(F.lit(1)).alias("documents"))
+def orphans(index: DataFrame, current: DataFrame, providers: list[str] | None = None) -> DataFrame:
+    """Persisted sources, of the given providers, that an authoritative enumeration no longer names."""
+    rows = index if providers is None else index.where(F.col("provider_key").isin(providers))
+    held = rows.groupBy(*OWNER).agg(F.count(F.lit(1)).alias("documents"))
     now = current.select(*OWNER).distinct()
     return held.join(now, [held[k].eqNullSafe(now[k]) for k in OWNER], "left_anti")
 
 
-def prune(index: DataFrame, current: DataFrame, *, authoritative: bool, dry_run: bool = True, limit: int | None = None) -> tuple[DataFrame, dict]:
+def prune(index: DataFrame, current: DataFrame, *, authoritative: bool, dry_run: bool = True, limit: int | None = None, providers: list[str] | None = None) -> tuple[DataFrame, dict]:
     """The index without orphans. More orphans than the limit refuse the run; a dry run changes nothing."""
     if not authoritative:
         raise ValueError("only an authoritative enumeration can prune")
-    lost = orphans(index, current)
+    lost = orphans(index, current, providers)
     sources, documents = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum("documents"), F.lit(0))).first()
     if limit is not None and sources > limit:
         raise ValueError(f"{sources} orphaned sources are more than the limit of {limit}")
     said = {"dry_run": dry_run, "sources": sources, "documents": documents}
-    return (index if dry_run else index.join(lost.select(*OWNER), list(OWNER), "left_anti")), said
+    gone = lost.select(*OWNER)
+    return (index if dry_run else index.join(gone, [index[k].eqNullSafe(gone[k]) for k in OWNER], "left_anti")), said
 
 
 def doctor_sample(index: DataFrame, n: int = 100) -> DataFrame:
@@ -119,19 +140,22 @@ def doctor_sample(index: DataFrame, n: int = 100) -> DataFrame:
     return with_hash(rows).select("id", (F.col("stored_hash") == F.col("document_hash")).alias("sound"))
 
 
-def doctor(index: DataFrame, deep: bool = False) -> list[dict]:
-    """Isolated checks; one that fails to run is a finding, not an error."""
+def doctor(index: DataFrame, deep: bool = False, more: dict[str, Callable[[], list]] | None = None) -> list[dict]:
+    """Isolated checks in the order of their names, the caller's own among them; one that fails to run is a finding, not an error."""
     checks = {
-        "columns": lambda: sorted(set(COLUMNS) - set(index.columns)),
-        "identities": lambda: [tuple(r) for r in duplicates(index).limit(5).collect()],
-        "owners": lambda: [tuple(r) for r in identity_conflicts(index).limit(5).collect()],
-        "required": lambda: [c for c, n in index.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("partition", "source_key", "source_type", "locale", "is_active")]).first().asDict().items() if n],
-        "names": lambda: [tuple(r) for r in index.where(F.col("source_key").rlike(r"[\p{Cc}\p{Cf}]")).select(*IDENTITY).limit(5).collect()],
+        "schema.columns": lambda: sorted(set(COLUMNS) - set(index.columns)),
+        "schema.identities": lambda: [tuple(r) for r in duplicates(index).limit(5).collect()],
+        "schema.owners": lambda: [tuple(r) for r in identity_conflicts(index).limit(5).collect()],
+        "schema.required": lambda: [c for c, n in index.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("partition", "source_key", "source_type", "locale", "is_active")]).first().asDict().items() if n],
+        "schema.names": lambda: [tuple(r) for r in index.where(~is_canonical_name(F.col("source_key")) | ~is_canonical_name(F.col("partition"))).select(*IDENTITY).limit(5).collect()],
+        "extensions.enumerators": lambda: [] if ENUMERATORS.select() else ["no enumerator is registered"],
+        "extensions.providers": lambda: sorted({e.provider for e in ENUMERATORS.select()} - {n for n, _, _ in PROVIDERS.claims}),
+        "configuration.policies": lambda: [] if Policy() == DEFAULT else ["the default policy can't be made"],
     }
     if deep:
-        checks["hashes"] = lambda: [r.id for r in doctor_sample(index).where("not sound").collect()]
+        checks["schema.semantic-sample"] = lambda: [r.id for r in doctor_sample(index).where("not sound").collect()]
     out = []
-    for name, check in checks.items():
+    for name, check in sorted((checks | (more or {})).items()):
         try:
             found = check()
         except Exception as e:  # noqa: BLE001
@@ -162,13 +186,22 @@ class IndexStore:
         finally:
             stream.close()
 
-    def read(self) -> DataFrame | None:
-        name = self.current()
-        return self.spark.read.parquet(f"{self.root}/{name}") if name else None
+    def read(self, name: str = "") -> DataFrame | None:
+        version = self.current()
+        return self.spark.read.parquet(f"{self.root}/{version}/{name}".rstrip("/")) if version else None
 
     def write(self, table: DataFrame, partition_by: str = "locale") -> str:
+        """A new version of one table; it is read back and checked before the pointer moves."""
+        return self.write_all({"": table}, partition_by)
+
+    def write_all(self, tables: dict[str, DataFrame], partition_by: str = "locale") -> str:
+        """A new version of several tables, which one pointer makes current at once."""
         name = f"v-{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
-        table.write.partitionBy(partition_by).parquet(f"{self.root}/{name}")
+        for part, table in tables.items():
+            path = f"{self.root}/{name}/{part}".rstrip("/")
+            table.write.partitionBy(partition_by).parquet(path)
+            if "document_hash" in table.columns:
+                _refuse(unsound(self.spark.read.schema(table.schema).parquet(path)), "stored documents that differ from their hash")
         fresh = self._path(f"{self.root}/CURRENT.{name}")
         stream = self._fs.create(fresh)
         stream.write(bytearray(name.encode()))
@@ -180,6 +213,34 @@ class IndexStore:
         options.rename(fresh, old, kinds)
         return name
 
+    @contextmanager
+    def lock(self):
+        """Exclusive among all machines that use this store: the file system creates the lock file for one of them."""
+        at = self._path(f"{self.root}/LOCK")
+        self._fs.mkdirs(self._path(self.root))
+        try:
+            stream = self._fs.create(at, False)
+        except Exception as e:
+            if "exist" in str(e).lower():
+                raise Locked("another maintenance run holds the lock") from None
+            raise
+        try:
+            stream.write(bytearray(f"{socket.gethostname()} {os.getpid()}".encode()))
+            stream.close()
+            yield
+        finally:
+            self._fs.delete(at, False)
+
+
+class Locked(RuntimeError):
+    pass
+
+
+def unsound(stored: DataFrame) -> DataFrame:
+    """Rows whose fields don't give their hash."""
+    rows = with_hash(stored.withColumnRenamed("document_hash", "stored_hash"))
+    return rows.where(~F.col("stored_hash").eqNullSafe(F.col("document_hash"))).select(*IDENTITY)
+
 
 @contextmanager
 def maintenance_lock(path: str | Path):
@@ -187,7 +248,7 @@ def maintenance_lock(path: str | Path):
     try:
         handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
     except FileExistsError:
-        raise RuntimeError("another maintenance run holds the lock") from None
+        raise Locked("another maintenance run holds the lock") from None
     try:
         os.write(handle, str(os.getpid()).encode())
         yield

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexaloom.functions.text import basis_points, id_order
 from lexaloom.plans.policy import DEFAULT, REASONS, TIERS, Policy
-from lexaloom.sources.tables import FIELDS, with_tokens
+from lexaloom.sources.tables import FIELDS, SOURCE, with_tokens
 
 VARIANT_SCHEMA = "query_id long, variant int, query string, locale string, tokens array<string>, source string, priority int, fingerprint string, parent string"
 #: So many variant terms may be broadcast; beyond them the join is left to the optimizer.
@@ -135,22 +135,28 @@ def final_order() -> list[Column]:
     return [*_order(("tier_at", "variant_priority desc", "coverage desc", "matched desc", "priority desc")), length, F.col("source_key"), F.col("partition"), F.col("locale"), *id_order(F.col("id").cast("string"))]
 
 
-def bridge(ranked: DataFrame, index: DataFrame, locale: str | Column, policy: Policy = DEFAULT) -> DataFrame:
-    """Present each hit in the wanted locale where its source has an active document there; one row per presented document."""
-    want = F.lit(locale) if isinstance(locale, str) else locale
-    hits = ranked.withColumn("want", want)
+def bridge(ranked: DataFrame, index: DataFrame, locale: str, policy: Policy = DEFAULT) -> DataFrame:
+    """Present each hit in the wanted locale where its source has an active document there; one row per presented document.
+
+    Only documents of that locale whose source is among the hits are grouped.
+    """
+    want = F.lit(locale)
     if not policy.bridge:
-        shown = hits.select("*", F.col("id").alias("presented_id"), F.lit("not_needed").alias("bridge_status"))
+        status = F.when(F.col("locale") == want, "not_required").otherwise("disabled")
+        shown = ranked.select("*", F.col("id").alias("presented_id"), status.alias("bridge_status"))
     else:
-        others = index.where("is_active").select("partition", "source_key", F.col("locale").alias("want"), F.col("id").alias("other"), F.col("source_type").alias("other_type"))
-        pick = others.groupBy("partition", "source_key", "want").agg(F.min("other").alias("other"), F.min_by("other_type", "other").alias("other_type"), F.count(F.lit(1)).alias("n"))
-        joined = hits.join(pick, ["partition", "source_key", "want"], "left")
-        sure = F.when((F.col("locale") != F.col("want")) & (F.coalesce(F.col("n"), F.lit(0)) > 1), F.raise_error(F.lit("several counterparts for one identity"))).when((F.col("locale") != F.col("want")) & (F.col("other_type") != F.col("source_type")), F.raise_error(F.lit("counterpart of another source type"))).otherwise(F.col("other"))
-        status = F.when(F.col("locale") == F.col("want"), "not_needed").when(F.col("other").isNotNull(), "bridged").otherwise("counterpart_missing")
-        shown = joined.withColumn("bridge_status", status).withColumn("presented_id", F.when(F.col("bridge_status") == "bridged", sure).otherwise(F.col("id"))).drop("other", "other_type", "n")
+        key = ["partition", "source_key"]
+        there = index.where(F.col("is_active") & (F.col("locale") == want)).select(*key, F.struct("id", "source_type", "source_id").alias("other"))
+        asked = ranked.where(F.col("locale") != want).select(*key).distinct()
+        pick = there.join(asked, key, "left_semi").groupBy(*key).agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("n"))
+        joined = ranked.join(pick, key, "left").withColumn("elsewhere", (F.col("locale") != want) & F.col("n").isNotNull())
+        same = (F.col("other.source_type") == F.col("source_type")) & F.col("other.source_id").eqNullSafe(F.col("source_id"))
+        sure = F.when(F.col("n") > 1, F.raise_error(F.lit("several counterparts for one identity"))).when(~same, F.raise_error(F.lit("the counterpart belongs to another source"))).otherwise(F.col("other.id"))
+        status = F.when(F.col("locale") == want, "not_required").when(F.col("elsewhere"), "bridged").otherwise("counterpart_missing")
+        shown = joined.withColumn("bridge_status", status).withColumn("presented_id", F.when(F.col("elsewhere"), sure).otherwise(F.col("id"))).drop("other", "n", "elsewhere")
     once = F.row_number().over(Window.partitionBy("query_id", "presented_id").orderBy("place"))
     again = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
-    return shown.withColumn("nth", once).where("nth = 1").drop("nth", "want").withColumn("place", again)
+    return shown.withColumn("nth", once).where("nth = 1").drop("nth").withColumn("place", again)
 
 
 def page(window: DataFrame, number: int, per_page: int) -> DataFrame:
@@ -168,6 +174,18 @@ def page_metadata(total: int, exact: bool, number: int, per_page: int, limited:
     return {"total": total, "exact": exact, "page": number, "per_page": per_page, "last_page": last if exact else None, "has_next": number * per_page < total, "from": first if shown else None, "to": first + shown - 1 if shown else None}
 
 
+def page_table(window: DataFrame, told: DataFrame, number: int, per_page: int) -> DataFrame:
+    """``page_metadata`` of every query (told as of ``retrieve``): the last page is unknown where the window was cut, and a page behind it is refused."""
+    n = window.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    rows = told.select("query_id", (F.size("reasons") == 0).alias("exact")).join(n, "query_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    last = F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("long")
+    first = (number - 1) * per_page + 1
+    shown = F.greatest(F.lit(0), F.least("total", F.lit(number * per_page)) - first + 1)
+    end = F.when(~F.col("exact") & (F.lit(number) > last), F.raise_error(F.lit("the page lies behind a cut result window"))).when(F.col("exact"), last)
+    some = F.when(shown > 0, F.lit(first).cast("long"))
+    return rows.select("query_id", "total", "exact", end.alias("last_page"), (F.lit(number * per_page) < F.col("total")).alias("has_next"), some.alias("first"), (some + shown - 1).cast("long").alias("last"))
+
+
 def facets(window: DataFrame, fields: tuple[str, ...] = ("source_type", "partition", "locale")) -> DataFrame:
     """(query_id, field, value, n) over the whole window, in one aggregation."""
     pairs = window.select("query_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x"))
@@ -189,9 +207,10 @@ def preview(window: DataFrame, limit: int, per_type: int) -> DataFrame:
     return window.withColumn("nth", nth).withColumn("turn", turn).where(F.col("turn") <= limit).drop("nth", "turn")
 
 
-def hydrate(shown: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
-    """Source rows for the few documents that are shown; the join comes after the limit."""
-    return shown.join(sources, key, "left")
+def hydrate(shown: DataFrame, sources: DataFrame, keys: tuple[str, ...] = SOURCE) -> DataFrame:
+    """Source rows for the few documents that are shown, by type, connection and id; the join comes after the limit."""
+    theirs = sources.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in sources.columns if c not in keys])
+    return shown.join(theirs, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
 
 
 def full_coverage(matched: DataFrame, variants: DataFrame, cap: int) -> DataFrame:

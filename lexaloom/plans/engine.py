@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -31,34 +32,57 @@ class Outcome:
     facets: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Contracts:
+    """The stages of a search. Each may be another function of the same shape; signals are 0 to 1 for a query and its locale."""
+
+    text: Q.TextPipeline = Q.TEXT
+    correctors: Q.Correctors = Q.CORRECTORS
+    expand: Callable[..., K.Variants] = Q.expand
+    matches: Callable[..., DataFrame] = S.matches
+    retrieve: Callable[..., tuple[DataFrame, DataFrame]] = S.retrieve
+    rank: Callable[..., DataFrame] = S.rank
+    bridge: Callable[..., DataFrame] = S.bridge
+    contextual: Callable[..., list[dict]] = C.corrections
+    evidence: Callable[..., list[C.Evidence]] = C.evidence
+    count: Callable[..., tuple[int, bool]] | None = None
+    popularity: Callable[[str, str], float] = lambda query, locale: 0.0
+    clicks: Callable[[str, str], float] = lambda query, locale: 0.0
+    suggest: Callable[..., dict | None] = G.suggest
+
+
 class SearchEngine:
-    def __init__(self, index: DataFrame, dictionary: K.Dictionary | None = None, policy: Policy = DEFAULT, default_partition: str = "default") -> None:
+    def __init__(self, index: DataFrame, dictionary: K.Dictionary | None = None, policy: Policy = DEFAULT, default_partition: str = "default", contracts: Contracts | None = None) -> None:
         self.index, self.dictionary, self.policy, self.default_partition = index, dictionary, policy, default_partition
+        self.by = contracts or Contracts()
 
     def query(self, text: str | None) -> Search:
         return Search(self, text)
 
     # direct diagnostics
     def process(self, text: str | None, locale: str | None = None) -> Q.Processed:
-        return Q.process(text, locale, self.policy)
+        return Q.process(text, locale, self.policy, self.by.text)
+
+    def prepare_text(self, text: str | None, locale: str | None = None) -> dict:
+        return self.by.text.prepare(text, locale)
 
     def normalize(self, text: str, locale: str = "und") -> str:
-        return Q.normalize(Q.sanitize(text), locale)
+        return self.prepare_text(text, locale)["normalized"]
 
     def tokens(self, text: str, locale: str = "und") -> list[str]:
-        return Q.tokens(self.normalize(text, locale))
+        return self.prepare_text(text, locale)["tokens"]
 
     def expand(self, text: str, locale: str | None = None) -> list[K.Variant]:
         p = self.process(text, locale)
-        return Q.expand(p, self.policy, self.dictionary).items if p.status == "ready" else []
+        return self.by.expand(p, self.policy, self.dictionary, self.by.text, self.by.correctors).items if p.status == "ready" else []
 
     def spelling_corrections(self, text: str, locale: str | None = None) -> list[dict]:
         p = self.process(text, locale)
-        return K.spelling_corrections(K.tokens_of(p.normalized), self.dictionary.spelling(p.normalized, p.locale, self.policy), p.locale, self.policy) if self.dictionary and p.status == "ready" else []
+        return self.by.correctors.spelling(p.normalized, p.locale, self.dictionary, self.policy) if self.dictionary and p.status == "ready" else []
 
     def advanced_corrections(self, text: str, locale: str | None = None) -> list[dict]:
         p = self.process(text, locale)
-        return K.advanced_corrections(p.normalized, p.locale, self.dictionary, self.policy) if self.dictionary and p.status == "ready" else []
+        return self.by.correctors.advanced(p.normalized, p.locale, self.dictionary, self.policy) if self.dictionary and p.status == "ready" else []
 
 
 @dataclass(frozen=True)
@@ -104,11 +128,11 @@ class Search:
         return {"partition": self.where or self.engine.default_partition, "source_types": list(self.types) or None}
 
     def _run(self, preview: bool = False) -> Outcome:
-        e, policy = self.engine, self.engine.policy
-        p = Q.process(self.text, self.at, policy)
+        e, policy, by = self.engine, self.engine.policy, self.engine.by
+        p = e.process(self.text, self.at)
         if p.status != "ready":
             return Outcome(None, None, p.status)
-        variants = Q.expand(p, policy, e.dictionary) if self.expanded else K.Variants(policy.maximum_variants, [Q.original(p, policy)])
+        variants = by.expand(p, policy, e.dictionary, by.text, by.correctors) if self.expanded else K.Variants(policy.maximum_variants, [Q.original(p, policy)])
         spark = e.index.sparkSession
         if policy.contextual and e.dictionary and self.expanded:
             memo: dict[tuple, tuple[int, bool]] = {}
@@ -116,26 +140,27 @@ class Search:
             def count(v: K.Variant) -> tuple[int, bool]:
                 if (v.locale, v.query) not in memo:
                     one = K.Variants(1, [v]).frame(spark)
-                    r = S.full_coverage(S.matches(e.index, one, policy=policy, **self._filters()), one, policy.count_cap).first()
+                    r = S.full_coverage(by.matches(e.index, one, policy=policy, **self._filters()), one, policy.count_cap).first()
                     memo[v.locale, v.query] = (r.n, r.approximate)
                 return memo[v.locale, v.query]
 
-            for c in C.corrections(list(variants.items), e.dictionary, count, policy, preview):
+            signals = lambda q, loc: by.popularity(q, loc) + by.clicks(q, loc)
+            for c in by.contextual(list(variants.items), e.dictionary, by.count or count, policy, preview, signals, by.evidence):
                 variants.add_over_weaker(c["variant"])
         frame = variants.frame(spark)
         # a bounded table (variants times their limit), read by several steps
-        matched = S.matches(e.index, frame, policy=policy, **self._filters())
+        matched = by.matches(e.index, frame, policy=policy, **self._filters())
         matched = spark.createDataFrame(matched.collect(), matched.schema)
-        candidates, told = S.retrieve(e.index, frame, policy=policy, found=matched)
+        candidates, told = by.retrieve(e.index, frame, policy=policy, found=matched)
         said = told.first()
         reasons = tuple(said.reasons) if said else ()
-        window = S.bridge(S.rank(candidates, e.index, frame, policy), e.index, p.locale, policy)
+        window = by.bridge(by.rank(candidates, e.index, frame, policy), e.index, p.locale, policy)
         out = Outcome(window, window, p.status, window.count(), not reasons, reasons, None, variants.items)
         if len(variants.items) > 1:
             kin = G.families(variants.items)
             members = spark.createDataFrame(list(kin.items()), "fingerprint string, family string")
             found = G.family_results(S.variant_ranks(candidates, e.index, frame, policy), members).collect()
-            out.suggestion = G.suggest(variants.items, {r.family: (r.n, r.tier_at) for r in found}, out.exact, policy)
+            out.suggestion = by.suggest(variants.items, {r.family: (r.n, r.tier_at) for r in found}, out.exact, policy)
         if self.facet_fields:
             out.facets = S.facets(window, self.facet_fields).orderBy("field", F.desc("n"), "value")
         return out

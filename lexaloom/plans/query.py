@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import regex
@@ -55,13 +56,31 @@ class Processed:
     truncated: bool
 
 
-def process(query: str | None, locale: str | None = None, policy: Policy = DEFAULT) -> Processed:
+@dataclass(frozen=True)
+class TextPipeline:
+    """The text steps, each of which may be another function."""
+
+    sanitize: Callable[[str], str] = sanitize
+    normalize: Callable[[str, str], str] = normalize
+    tokenize: Callable[[str], list[str]] = tokens
+
+    def prepare(self, value: str | None, locale: str | None = None) -> dict:
+        at = (locale or "").strip() or "und"
+        clean = self.sanitize(value or "")
+        normal = self.normalize(clean, at)
+        return {"locale": at, "raw": value or "", "sanitized": clean, "normalized": normal, "tokens": list(dict.fromkeys(self.tokenize(normal)))}
+
+
+TEXT = TextPipeline()
+
+
+def process(query: str | None, locale: str | None = None, policy: Policy = DEFAULT, text: TextPipeline = TEXT) -> Processed:
     raw, at = query or "", (locale or "").strip() or "und"
     if len(raw) > policy.maximum_length and policy.reject_long:
         return Processed(raw, at, "", "", (), (), "too_long", False)
-    clean = sanitize(raw[: policy.maximum_length])
-    normal = normalize(clean, at)
-    found = tokens(normal)
+    clean = text.sanitize(raw[: policy.maximum_length])
+    normal = text.normalize(clean, at)
+    found = list(dict.fromkeys(text.tokenize(normal)))
     some = tuple(t for t in found if len(t) >= policy.minimum_token_length)[: policy.maximum_tokens]
     status = "empty" if not clean else "punctuation_only" if not _LETTER.search(normal) else "too_short" if len(normal) < policy.minimum_length or not some else "ready"
     return Processed(raw, at, clean, normal, tuple(found), some, status, len(raw) > policy.maximum_length)
@@ -84,28 +103,53 @@ def original_variants(processed: DataFrame, policy: Policy = DEFAULT) -> DataFra
     return ready.select("query_id", F.lit(0).alias("variant"), F.col("normalized").alias("query"), X.resolve_locale(F.col("locale")).alias("locale"), F.col("searchable").alias("tokens"), F.lit("original").alias("source"), F.lit(policy.priorities["original"]).alias("priority"), key.alias("fingerprint"), F.lit(None).cast("string").alias("parent"))
 
 
+def keyboard_variants(processed: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """``keyboard`` of each ready query of an English locale: what its keys type on a Persian layout (query_id, query, locale, tokens)."""
+    at, typed = X.resolve_locale(F.col("locale")), F.col("sanitized")
+    rows = processed.where((F.col("status") == "ready") & (F.get(F.split(at, "[-_]"), 0) == "en") & (F.char_length(typed) >= policy.minimum_length))
+    mapped = rows.select("query_id", typed.alias("typed"), E.keyboard_remap(typed).alias("text"), F.lit("fa").alias("locale")).where("text <> typed")
+    made = process_table(mapped.drop("typed"), policy)
+    return made.where(F.col("normalized").rlike(r"[\p{L}\p{N}]") & (F.size("tokens") > 0)).select("query_id", F.col("normalized").alias("query"), "locale", "tokens")
+
+
 def original(p: Processed, policy: Policy = DEFAULT) -> K.Variant:
     return K.Variant(p.normalized, p.locale, p.searchable, "original", policy.priorities["original"], K.digest("original", p.normalized, p.locale, "", ""))
 
 
-def keyboard(v: K.Variant, typed: str, policy: Policy = DEFAULT) -> K.Variant | None:
+def keyboard(v: K.Variant, typed: str, policy: Policy = DEFAULT, text: TextPipeline = TEXT) -> K.Variant | None:
     if not policy.keyboard or E.chain(v.locale)[-1] != "en" or len(typed) < policy.minimum_length:
         return None
     mapped = E.remap_keys(typed)
-    fa = process(mapped, "fa", policy)
+    fa = process(mapped, "fa", policy, text)
     if mapped == typed or not _LETTER.search(fa.normalized) or not fa.tokens:
         return None
     operation = K.digest("en_to_fa", typed, fa.normalized, v.locale, fa.locale)
     return K.derived(v, "keyboard", fa.normalized, "fa", fa.tokens, policy, operation, keyboard=True)
 
 
-def expand(p: Processed, policy: Policy = DEFAULT, dictionary: K.Dictionary | None = None) -> K.Variants:
+def spelling(query: str, locale: str, dictionary: K.Dictionary, policy: Policy) -> list[dict]:
+    return K.spelling_corrections(K.tokens_of(query), dictionary.spelling(query, locale, policy), locale, policy)
+
+
+@dataclass(frozen=True)
+class Correctors:
+    """What expansion asks for other queries; each may be another function."""
+
+    spelling: Callable[..., list[dict]] = spelling
+    advanced: Callable[..., list[dict]] = K.advanced_corrections
+    synonyms: Callable[..., Iterable[tuple[str, ...]]] = K.synonyms
+
+
+CORRECTORS = Correctors()
+
+
+def expand(p: Processed, policy: Policy = DEFAULT, dictionary: K.Dictionary | None = None, text: TextPipeline = TEXT, by: Correctors = CORRECTORS) -> K.Variants:
     """All variants in their fixed order; one that doesn't fit any more is left out."""
     out = K.Variants(policy.maximum_variants)
     first = original(p, policy)
     out.add(first)
     roots = [(first, "")]
-    if other := keyboard(first, p.sanitized, policy):
+    if other := keyboard(first, p.sanitized, policy, text):
         out.add(other)
         roots.append((other, "keyboard_"))
     fixed = []
@@ -113,8 +157,7 @@ def expand(p: Processed, policy: Policy = DEFAULT, dictionary: K.Dictionary | No
         for root, prefix in roots:
             if out.full:
                 break
-            words = K.tokens_of(root.query)
-            for s in K.spelling_corrections(words, dictionary.spelling(root.query, root.locale, policy), root.locale, policy):
+            for s in by.spelling(root.query, root.locale, dictionary, policy):
                 operation = K.digest("spelling", root.fingerprint, root.query, s["query"], s["locale"])
                 v = K.derived(root, prefix + "spelling", s["query"], s["locale"], s["tokens"], policy, operation, cost=s["cost"])
                 if out.add(v):
@@ -125,16 +168,16 @@ def expand(p: Processed, policy: Policy = DEFAULT, dictionary: K.Dictionary | No
             if out.full or (root.locale, root.query) in done:
                 continue
             done.add((root.locale, root.query))
-            for s in K.advanced_corrections(root.query, root.locale, dictionary, policy, min(policy.corrected_tokens, policy.transformation_depth)):
+            for s in by.advanced(root.query, root.locale, dictionary, policy, min(policy.corrected_tokens, policy.transformation_depth)):
                 name = ("keyboard_" if root.keyboard else "") + s["kind"]
                 operation = K.digest("advanced", root.fingerprint, s["kind"], s["query"], s["locale"], s["cost"], len(s["changes"]))
                 out.add(K.derived(root, name, s["query"], s["locale"], K.tokens_of(s["query"]), policy, operation, depth=len(s["changes"]), cost=s["cost"]))
                 if out.full:
                     break
     if policy.synonyms:
-        rules = K.synonym_rules(policy.synonyms, lambda t, loc: tokens(normalize(sanitize(t), loc)))
+        rules = K.synonym_rules(policy.synonyms, lambda t, loc: text.prepare(t, loc)["tokens"])
         for root, prefix in roots:
-            for made in K.synonyms(root, rules):
+            for made in by.synonyms(root, rules):
                 if out.full:
                     return out
                 out.add(K.derived(root, prefix + "synonym", " ".join(made), root.locale, made, policy, K.digest("synonym", root.query, " ".join(made))))

@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 
 from lexaloom.functions import text as X
 
-COLUMNS = ("id", "partition", "source_key", "source_type", "source_id", "locale", "title", "excerpt", "normalized_title", "normalized_keywords", "normalized_excerpt", "normalized_content", "payload", "priority", "is_active")
-HASHED = COLUMNS[1:]
+COLUMNS = (
+    "id", "partition", "source_key", "source_type", "source_id", "source_connection", "provider_key", "locale", "title", "excerpt", "normalized_title",
+    "normalized_keywords", "normalized_excerpt", "normalized_content", "payload", "priority", "is_active", "source_updated_at",
+)
+#: What a document means, in the order of its canonical JSON.
+HASHED = tuple(sorted(COLUMNS[1:]))
+#: What names a source row: ids are unique within type and connection only.
+SOURCE = ("source_type", "source_connection", "source_id")
+#: An index id is a table's own id and the table's place here, so ids of different tables never meet.
+PLACES = ("documents", "pages", "part")
+ID_STEP = 8
 FIELDS = ("title", "keywords", "excerpt", "content")
 
 
@@ -29,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name in TEXT_TABLES else rows
 
 
-def build_documents(rows: DataFrame, *, id: Column, source_id: Column, source_key: Column, source_type: str, locale: Column, title: Column, content: Column, keywords: Column | None = None, excerpt: Column | None = None, partition: Column | None = None, priority: Column | None = None, is_active: Column | None = None, payload: Column | None = None, html: bool = False) -> DataFrame:
+def build_documents(rows: DataFrame, *, id: Column, source_id: Column, source_key: Column, source_type: str, locale: Column, title: Column, content: Column, keywords: Column | None = None, excerpt: Column | None = None, partition: Column | None = None, priority: Column | None = None, is_active: Column | None = None, payload: Column | None = None, html: bool = False, provider: str = "default", connection: str | None = None, updated_at: Column | None = None) -> DataFrame:
     """Documents of one source type. With ``html`` all fields are sanitized, else only normalized."""
     null = F.lit(None).cast("string")
     at = X.resolve_locale(locale)
@@ -43,6 +52,8 @@ def build_documents(rows: DataFrame, *, id: Column, source_id: Column, source_ke
         source_key.alias("source_key"),
         F.lit(source_type).alias("source_type"),
         source_id.cast("string").alias("source_id"),
+        F.lit(connection).cast("string").alias("source_connection"),
+        F.lit(provider).alias("provider_key"),
         at.alias("locale"),
         title.alias("title"),
         (excerpt if excerpt is not None else null).alias("excerpt"),
@@ -53,11 +64,23 @@ def build_documents(rows: DataFrame, *, id: Column, source_id: Column, source_ke
         (payload if payload is not None else F.lit("{}")).alias("payload"),
         (priority if priority is not None else F.lit(0)).cast("int").alias("priority"),
         (is_active if is_active is not None else F.lit(True)).alias("is_active"),
+        (updated_at if updated_at is not None else F.lit(None)).cast("timestamp").alias("source_updated_at"),
     )
 
 
+def canonical_json(documents: DataFrame) -> Column:
+    """The meaningful fields as JSON with sorted keys, those of the payload too; an empty payload is an empty list, times are UTC."""
+    at = F.date_format(F.to_utc_timestamp("source_updated_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    payload = F.parse_json(F.when(F.col("payload").isNull() | (F.col("payload") == "{}"), "[]").otherwise(F.col("payload")))
+    made = {"payload": payload, "source_updated_at": at}
+    text = F.to_json(F.struct(*[made.get(c, F.col(c)).alias(c) for c in HASHED]), {"ignoreNullFields": "false"})
+    for mark in ("2028", "2029"):
+        text = F.replace(text, F.lit(chr(int(mark, 16))), F.lit(f"\\u{mark}"))
+    return text
+
+
 def with_hash(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("document_hash", X.framed_hash(*[F.col(c) for c in HASHED]))
+    return documents.withColumn("document_hash", F.sha2(canonical_json(documents).cast("binary"), 256))
 
 
 def with_tokens(documents: DataFrame) -> DataFrame:
@@ -67,29 +90,59 @@ def with_tokens(documents: DataFrame) -> DataFrame:
     return documents
 
 
+def index_id(key: str, table_name: str) -> Column:
+    return F.col(key).cast("long") * ID_STEP + PLACES.index(table_name)
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     return build_documents(
-        docs, id=F.col("doc_id"), source_id=F.col("doc_id"), source_key=F.concat(F.lit("group:"), F.floor(F.col("doc_id") / 4).cast("string")), source_type="document", locale=F.col("lang"),
+        docs, provider="documents", id=index_id("doc_id", "documents"), source_id=F.col("doc_id"), source_key=F.concat(F.lit("group:"), F.floor(F.col("doc_id") / 4).cast("string")), source_type="document", locale=F.col("lang"),
         title=F.array_join(F.slice(F.split(t, r"\s+"), 1, 6), " "), keywords=F.col("source"), excerpt=F.regexp_extract(t, r"^[^.!?\n]*", 0), content=t,
         partition=F.when(F.col("doc_id") % 5 != 0, "public").otherwise("archive"), priority=F.col("doc_id") % 3, is_active=F.col("doc_id") % 11 != 0,
+        payload=F.to_json(F.struct("source", F.struct("n_chars", "lang").alias("about"))) if {"n_chars", "lang", "source"} <= set(docs.columns) else None,
     )
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
     return build_documents(
-        pages, id=F.col("page_id") + 10_000_000, source_id=F.col("page_id"), source_key=F.concat(F.lit("page:"), F.col("page_id").cast("string")), source_type="page", locale=F.regexp_extract("url", "/(en|de|fr|es)/", 1),
+        pages, provider="pages", id=index_id("page_id", "pages"), source_id=F.col("page_id"), source_key=F.concat(F.lit("page:"), F.col("page_id").cast("string")), source_type="page", locale=F.regexp_extract("url", "/(en|de|fr|es)/", 1),
         title=F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), excerpt=F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), content=F.col("html"), partition=F.lit("public"), html=True,
     )
 
 
 def from_parts(parts: DataFrame) -> DataFrame:
     return build_documents(
-        parts, id=F.col("p_partkey") + 20_000_000, source_id=F.col("p_partkey"), source_key=F.concat(F.lit("part:"), F.col("p_partkey").cast("string")), source_type="product", locale=F.lit("en"),
+        parts, provider="part", id=index_id("p_partkey", "part"), source_id=F.col("p_partkey"), source_key=F.concat(F.lit("part:"), F.col("p_partkey").cast("string")), source_type="product", locale=F.lit("en"),
         title=F.col("p_name"), keywords=F.col("p_brand"), excerpt=F.col("p_type"), content=F.concat_ws(" ", "p_name", "p_type"), partition=F.lit("public"), priority=F.col("p_size") % 5,
     )
 
 
+@dataclass(frozen=True)
+class Enumerator:
+    """Names the sources of a provider. Only an authoritative one, which names them all, can tell what is gone."""
+
+    key: str
+    provider: str
+    locate: Callable[[SparkSession, str], DataFrame]
+    authoritative: bool = False
+
+
+@dataclass
+class EnumeratorRegistry:
+    held: dict[str, Enumerator] = field(default_factory=dict)
+
+    def register(self, e: Enumerator) -> None:
+        if e.key in self.held:
+            raise ValueError(f"the enumerator {e.key} is registered twice")
+        self.held[e.key] = e
+
+    def select(self, keys: list[str] | None = None, providers: list[str] | None = None) -> list[Enumerator]:
+        if unknown := sorted(set(keys or ()) - self.held.keys()) + sorted(set(providers or ()) - {e.provider for e in self.held.values()}):
+            raise ValueError(f"nothing is registered as {', '.join(unknown)}")
+        return [e for _, e in sorted(self.held.items()) if (not keys or e.key in keys) and (not providers or e.provider in providers)]
+
+
 @dataclass
 class ProviderRegistry:
     """Adapters by table name. At most one custom provider may claim a source; without one the fallback applies."""
@@ -117,6 +170,13 @@ for _name, _build in (("documents", from_documents), ("pages", from_pages), ("pa
     PROVIDERS.register(_name, lambda s, n=_name: s == n, _build)
 
 
+#: The driver's tables list all their rows, so their enumerators are authoritative.
+ENUMERATORS = EnumeratorRegistry()
+LOCATOR = ("provider_key", "partition", "source_key", "source_type", "source_id")
+for _name in PLACES:
+    ENUMERATORS.register(Enumerator(_name, _name, lambda spark, d, n=_name: PROVIDERS.documents_for(n, spark.read.parquet(f"{d}/{n}.parquet")).select(*LOCATOR), True))
+
+
 def corpus(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("documents", "part")) -> DataFrame:
     out = None
     for kind in kinds:

@@ -4,6 +4,7 @@ import pytest
 from docs import F, doc, index
 
 from lexaloom import __main__ as cli
+from lexaloom.functions import text as X
 from lexaloom.operators import dictionary as D
 from lexaloom.operators import lifecycle as L
 from lexaloom.sources import tables as T
@@ -64,19 +65,86 @@ def test_doctor(spark):
     assert all(f["healthy"] for f in L.doctor(good, True))
     bad = good.withColumn("title", F.when(F.col("id") == 3, "x").otherwise(F.col("title"))).unionByName(good.where("id = 1"))
     found = {f["check"]: f["findings"] for f in L.doctor(bad, True)}
-    assert found["hashes"] == [3] and len(found["identities"]) == 1
-    assert [f["healthy"] for f in L.doctor(good.drop("title")) if f["check"] == "columns"] == [False]
+    assert found["schema.semantic-sample"] == [3] and len(found["schema.identities"]) == 1
+    assert [f["healthy"] for f in L.doctor(good.drop("title")) if f["check"] == "schema.columns"] == [False]
 
 
 def test_hash_covers_every_field(spark):
     rows = spark.createDataFrame([doc(1, "a"), doc(2, "a")], index(spark, [doc(1, "a")]).select(*T.COLUMNS).schema)
     base = T.with_hash(rows.where("id = 1")).first().document_hash
     for c in T.HASHED:
-        other = {"priority": F.lit(7), "is_active": F.lit(False)}.get(c, F.lit("other"))
+        other = {"priority": F.lit(7), "is_active": F.lit(False), "payload": F.lit('{"a": 1}'), "source_updated_at": F.lit("2024-01-01").cast("timestamp")}.get(c, F.lit("other"))
         assert T.with_hash(rows.where("id = 1").withColumn(c, other)).first().document_hash != base
     assert T.with_hash(rows.where("id = 1").withColumn("excerpt", F.lit(""))).first().document_hash != base
 
 
+def test_hash_is_canonical(spark):
+    """Key order in a payload doesn't count, that of lists does; an empty payload is an empty list; times are in UTC."""
+    base = spark.createDataFrame([doc(1, "a/ü", source_id="7")], index(spark, [doc(1, "a")]).select(*T.COLUMNS).schema)
+    made = lambda p: T.with_hash(base.withColumn("payload", F.lit(p))).first().document_hash
+    assert made('{"b": {"y": [1, 2], "x": null}, "a": 1}') == made('{"a": 1, "b": {"x": null, "y": [1, 2]}}') != made('{"a": 1, "b": {"x": null, "y": [2, 1]}}')
+    assert made("{}") == made(None) == made("[]")
+    row = base.withColumn("payload", F.lit('{"b":1,"a":"é"}')).withColumn("source_updated_at", F.lit("2024-05-06 07:08:09.12").cast("timestamp"))
+    want = '{"excerpt":null,"is_active":true,"locale":"en","normalized_content":null,"normalized_excerpt":null,"normalized_keywords":null,"normalized_title":"a/ü","partition":"default","payload":{"a":"é","b":1},"priority":0,"provider_key":"default","source_connection":null,"source_id":"7","source_key":"page:1","source_type":"page","source_updated_at":"2024-05-06T07:08:09.120000Z","title":"a/ü"}'
+    assert row.select(T.canonical_json(row)).first()[0] == want
+
+
+def test_upsert_refuses_another_owner(spark):
+    old = index(spark, [doc(1, "a", key="s1")])
+    with pytest.raises(ValueError, match="owners"):
+        L.upsert(old, index(spark, [doc(2, "b", key="s1", kind="product", locale="fr")]))
+
+
+def test_prune_keeps_to_its_providers(spark):
+    have = index(spark, [doc(1, "a", key="s1", provider="p"), doc(2, "b", key="s2", provider="q")])
+    left, said = L.prune(have, have.limit(0), authoritative=True, dry_run=False, providers=["p"])
+    assert [r.source_key for r in left.collect()] == ["s2"] and said["sources"] == 1
+
+
+def test_enumerators(spark):
+    r = T.EnumeratorRegistry()
+    one = spark.createDataFrame([("p", "d", "s1", "page", "1")], "provider_key string, partition string, source_key string, source_type string, source_id string")
+    r.register(T.Enumerator("a", "p", lambda spark, d: one, True))
+    r.register(T.Enumerator("b", "q", lambda spark, d: one))
+    with pytest.raises(ValueError, match="twice"):
+        r.register(T.Enumerator("a", "z", lambda spark, d: one))
+    with pytest.raises(ValueError, match="registered as x"):
+        r.select(["x"])
+    assert [e.key for e in r.select(providers=["q"])] == ["b"] and [e.key for e in r.select()] == ["a", "b"]
+    assert L.current_sources([e.locate(spark, "") for e in r.select()]).count() == 1
+    with pytest.raises(ValueError, match="owners"):
+        L.current_sources([one, one.withColumn("source_id", F.lit("2"))])
+
+
+def test_stored_documents_are_checked(spark, tmp_path):
+    store = L.IndexStore(spark, f"file://{tmp_path}/index")
+    good = index(spark, [doc(1, "a")])
+    store.write(good)
+    with pytest.raises(ValueError, match="hash"):
+        store.write(good.withColumn("title", F.lit("other")))
+    assert store.read().first().title == "a"
+
+
+def test_lock_of_a_store(spark, tmp_path):
+    a, b = (L.IndexStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    with a.lock(), pytest.raises(L.Locked), b.lock():
+        pass
+    with b.lock():
+        pass
+
+
+def test_generations(spark):
+    rows = index(spark, [doc(1, "orange juice"), doc(2, "jus d'orange frais", locale="fr")])
+    old = D.rebuilt(rows, None, "g1")
+    assert {r.locale for r in D.readiness(old["builds"]).collect()} == {"en", "fr"}
+    assert [r.locale for r in D.readiness(D.invalidated(old["builds"], ["fr"])).collect()] == ["en"]
+    more = index(spark, [doc(1, "orange juice"), doc(3, "melon bread"), doc(4, "pain perdu", locale="fr")])
+    new = D.rebuilt(more, old, "g2", ["en"])
+    assert {(r.locale, r.dictionary_generation) for r in new["builds"].collect()} == {("en", "g2"), ("fr", "g1")}
+    assert {r.term for r in new["terms"].where("locale = 'fr'").collect()} == {r.term for r in old["terms"].where("locale = 'fr'").collect()}
+    assert "melon" in {r.term for r in new["terms"].collect()}
+
+
 def test_store_and_stream(spark, tmp_path):
     source = {"rows": index(spark, [doc(i, f"t{i}", key=f"s{i}") for i in range(4)])}
     store = L.IndexStore(spark, f"file://{tmp_path}/index")
@@ -103,11 +171,35 @@ def test_dependencies(spark):
         W.targets(both, both, ceiling=2)
 
 
-def test_lock(tmp_path):
-    with L.maintenance_lock(tmp_path / "lock"), pytest.raises(RuntimeError), L.maintenance_lock(tmp_path / "lock"):
-        pass
-    with L.maintenance_lock(tmp_path / "lock"):
-        pass
+def test_dependencies_refuse_two_sources_of_one_key(spark):
+    one = spark.createDataFrame([("p", "k", "1")], "partition string, source_key string, source_id string")
+    with pytest.raises(ValueError, match="one key"):
+        W.targets(one, one.withColumn("source_id", F.lit("2")))
+
+
+def test_queue_holds_a_source_once(spark, tmp_path):
+    q = W.JobQueue(spark, f"file://{tmp_path}/jobs")
+    rows = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "a")], "partition string, source_key string")
+    W.route(rows, "queue", None, q)
+    W.route(rows, "queue", None, q)
+    assert sorted(r.source_key for r in q.take().collect()) == ["a", "b"] and q.waiting().count() == 0 and q.take().count() == 0
+    q.push(rows.where("source_key = 'a'"))
+    assert [r.source_key for r in q.take().collect()] == ["a"]
+    seen = []
+    W.route(rows, "sync", lambda r: seen.append(r.count()))
+    assert seen == [2]
+    with pytest.raises(ValueError):
+        W.route(rows, "queue", None)
+
+
+def test_dependency_feed(spark, tmp_path):
+    products = spark.createDataFrame([("p", f"k{i}", b) for i, b in enumerate("aabcd")], "partition string, source_key string, brand string")
+    feed = tmp_path / "brands"
+    spark.createDataFrame([("a", "c"), (None, "zz")], "old string, new string").coalesce(1).write.parquet(str(feed))
+    store = W.JobQueue(spark, f"file://{tmp_path}/jobs")
+    q = W.follow_dependencies(spark.readStream.schema("old string, new string").parquet(str(feed)), lambda: products, "brand", lambda t: W.route(t, "queue", None, store), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert q.exception() is None and sorted(r.source_key for r in store.take().collect()) == ["k0", "k1", "k3"]
 
 
 def test_providers():
@@ -129,15 +221,36 @@ def test_status(spark):
 
 def test_command_line(spark, tmp_path, capsys):
     tables = tmp_path / "tables"
-    spark.createDataFrame([(i, f"The word number {i}. More text here", "en", "s", 10) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tables}/documents.parquet")
-    run = lambda *a: (cli.main([*a, "--store", f"file://{tmp_path}/store", "--tables", str(tables), "--sources", "documents"]), json.loads(capsys.readouterr().out.strip().splitlines()[-1]))
-    assert run("status")[0] == L.EXIT_CODES["failure"]
+    docs = spark.createDataFrame([(i, f"The word number {i}. More text here", "en", "s", 10) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tables}/documents.parquet")
+    run = lambda *a: (cli.main([*a, "--store", f"file://{tmp_path}/store", "--tables", str(tables)]), json.loads(capsys.readouterr().out.strip().splitlines()[-1]))
+    assert run("status")[0] == L.EXIT_CODES["failed"] == 1
     assert run("install")[0] == 0
-    code, said = run("reindex")
+    assert run("reindex")[0] == L.EXIT_CODES["unconfirmed"] == 5
+    assert run("reindex", "--dry-run")[1]["created"] == 14 and run("status")[0] == 1
+    code, said = run("reindex", "--force")
     assert code == 0 and said["created"] == said["documents"] == 14
-    assert run("reindex")[1]["unchanged"] == 14
-    assert run("doctor", "--deep")[0] == 0 and run("dictionary-build")[1]["terms"] > 3
-    assert run("dictionary-status")[1][0]["locale"] == "en" and run("prune", "--dry-run")[1]["sources"] == 0
-    lock = tmp_path / "held"
+    assert run("reindex", "--force")[1]["unchanged"] == 14
+    assert run("doctor", "--deep")[0] == 0 and run("dictionary-build", "--force")[1]["terms"] > 3
+    told = run("dictionary-status")[1]["rows"]
+    assert [(r["locale"], r["stale"]) for r in told] == [("en", False)] and told[0]["terms"] > 3
+    assert run("dictionary-build", "--force", "--locale", "en")[0] == 0 and run("doctor")[0] == 0
+    assert run("prune")[1] == {"dry_run": True, "sources": 0, "documents": 0}
+    (tmp_path / "tables" / "documents.parquet").rename(tmp_path / "old")
+    docs.where("doc_id > 20").write.parquet(f"{tables}/documents.parquet")
+    code, said = run("prune")
+    assert code == 0 and said["dry_run"] and said["sources"] > 3 and run("prune", "--execute")[0] == 5
+    assert run("prune", "--execute", "--force", "--limit", "1")[0] == 1 and run("prune", "--execute", "--force")[1]["sources"] == said["sources"]
+    assert run("prune")[1]["sources"] == 0 and run("prune", "--enumerator", "nothing")[0] == 1
+    lock = tmp_path / "store" / "LOCK"
     lock.touch()
-    assert run("reindex", "--lock", str(lock))[0] == L.EXIT_CODES["locked"]
+    assert run("reindex", "--force")[0] == L.EXIT_CODES["locked"] == 4
+    lock.unlink()
+    assert run("reindex", "--force", "--tables", str(tmp_path / "nowhere"))[0] == 1
+
+
+def test_values_as_text(spark):
+    rows = spark.sql("SELECT CAST(NULL AS STRING) AS a, true AS b, 2.0D AS c, 2.5D AS d, array('x', '', NULL, 'y') AS e, named_struct('p', 1, 'q', map('k', false)) AS f, DATE'2024-01-02' AS g, TIMESTAMP'2024-01-02 03:04:05.6' AS h")
+    assert rows.select(X.searchable_value(rows, *rows.columns)).first()[0] == "1 2 2.5 x y 1 0 2024-01-02 2024-01-02T03:04:05.600000Z"
+    with pytest.raises(TypeError):
+        X.searchable_value(spark.sql("SELECT X'00' AS a"), "a")

@@ -1,10 +1,12 @@
 import random
 
 import pytest
-from docs import doc, ids, index
+from docs import F, doc, ids, index
 
+from lexaloom.functions import edit as E
 from lexaloom.operators import search as S
-from lexaloom.plans.engine import SearchEngine, batch_search
+from lexaloom.plans import query as Q
+from lexaloom.plans.engine import Contracts, SearchEngine, batch_search
 from lexaloom.plans.policy import Policy
 
 TIERS = {"orange juice": "exact_title", "orange juice drink": "title_prefix", "fresh orange juice drink": "title_phrase", "juice from orange": "title_all_tokens", "fresh orange": "title_any_token"}
@@ -133,3 +135,60 @@ def test_batch_equals_single(spark):
         one = SearchEngine(i).query(text).locale("en").without_expansion().results().rows.collect()
         assert sorted((r.place, r.id, r.tier) for r in batch if r.query_id == q) == [(r.place, r.id, r.tier) for r in one]
     assert {r.query_id for r in batch} == {1, 2}
+
+
+def test_bridge_checks_the_source_and_says_disabled(spark):
+    rows = [doc(1, "پرتقال", locale="fa", key="p:1", source_id="1"), doc(2, "Orange", locale="en", key="p:1", source_id="2")]
+    with pytest.raises(Exception, match="another source"):
+        SearchEngine(index(spark, rows)).query("\\vjrhg").locale("en").results().rows.collect()
+    off = SearchEngine(index(spark, [*rows, doc(3, "پرتقال خوب", locale="en")]), policy=Policy(bridge=False)).query("\\vjrhg").locale("en").results()
+    assert {r.id: (r.presented_id, r.bridge_status) for r in off.rows.collect()} == {1: (1, "disabled")}
+
+
+def test_hydration_goes_by_type_connection_and_id(spark):
+    shown = index(spark, [doc(1, "a", source_id="7"), doc(2, "b", kind="product", source_id="7"), doc(3, "c", source_id=None)])
+    sources = spark.createDataFrame([("page", None, "7", "page seven"), ("product", None, "7", "product seven"), ("page", "other", "7", "no")], "source_type string, source_connection string, source_id string, name string")
+    assert {r.id: r.name for r in S.hydrate(shown, sources).collect()} == {1: "page seven", 2: "product seven", 3: None}
+
+
+def test_stages_can_be_replaced(spark):
+    i = index(spark, [doc(1, "alpha beta"), doc(2, "beta")])
+    text = Q.TextPipeline(sanitize=lambda t: t.replace("#", " "), tokenize=lambda t: t.split("-"))
+    seen = []
+
+    def matches(index, variants, **more):
+        seen.append([r.query for r in variants.collect()])
+        return S.matches(index, variants, **more)
+
+    by = Contracts(text=text, matches=matches, bridge=lambda ranked, index, locale, policy: ranked.where("id = 2").withColumn("presented_id", F.col("id")), suggest=lambda *a: {"source": "mine"}, correctors=Q.Correctors(synonyms=lambda v, rules: [("alpha",)]))
+    e = SearchEngine(i, policy=Policy(keyboard=False, synonyms={"en": {"a": ["b"]}}), contracts=by)
+    assert e.tokens("X#y-z") == ["x y", "z"] and e.prepare_text("A#-b")["normalized"] == "a -b"
+    out = e.query("beta").locale("en").results()
+    assert ids(out.rows) == [2] and seen == [["beta", "alpha"]] and out.suggestion == {"source": "mine"}
+
+
+def test_language_profiles_can_be_added():
+    E.register_profile("eo", lambda t: iter([(t.replace("c", "ĉ"), 500, "c>ĉ")]))
+    try:
+        assert list(E.sound_alternatives("cu", "eo")) == [("ĉu", 500, "c>ĉ")] and list(E.sound_alternatives("cu", "xx")) == []
+    finally:
+        del E.PROFILES["eo"], E.SEPARATOR["eo"]
+
+
+def test_many_distances_equal_one_by_one():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("qwaéoprsپچ") for _ in range(rng.randint(0, 12)))
+    pairs = [(word(), word(), rng.choice(["en", "fa", "fa-IR", "fr"])) for _ in range(3000)]
+    edits, cost = E.distances(*map(list, zip(*pairs)))
+    assert [*zip(edits.tolist(), cost.tolist())] == [E.distance(*p) for p in pairs]
+
+
+def test_page_table_equals_the_numbers_of_one_query(spark):
+    window = spark.createDataFrame([(q, p) for q, n in ((0, 47), (1, 3)) for p in range(n)], "query_id long, place int")
+    told = spark.createDataFrame([(0, ["per_variant_limit"]), (1, []), (2, [])], "query_id long, reasons array<string>")
+    got = {r.query_id: r for r in S.page_table(window, told, 1, 15).collect()}
+    for q, n in ((0, 47), (1, 3), (2, 0)):
+        m = S.page_metadata(n, q > 0, 1, 15, q == 0)
+        assert (got[q].total, got[q].exact, got[q].last_page, got[q].has_next, got[q].first, got[q].last) == tuple(m[k] for k in ("total", "exact", "last_page", "has_next", "from", "to"))
+    with pytest.raises(Exception, match="cut result window"):
+        S.page_table(window, told, 9, 15).collect()
