@@ -25,6 +25,7 @@ from lexaloom.llm.common import materialize, partitions, ship
 SENT = "bucket int, chunk long, keys binary, more binary"
 REPLY = "chunk long, phase int, bucket int, codes binary"
 CHUNK_BYTES = 1 << 20
+TASK_BYTES = 64 << 20
 HOT_CHUNKS, HOT_LEAST = 128, 3
 #: Hot hashes that are broadcast at most, the most frequent first: 24 bytes each at most.
 HOT_KEYS = 400_000
@@ -225,11 +226,14 @@ def codes_of(replies: pa.Table, phase: int, names: np.ndarray, size: int) -> np.
     return out
 
 
-def two_phases(chunks: DataFrame, first: Callable, reduce_first: Callable, second: Callable, reduce_second: Callable, finish: Callable, schema: T.StructType) -> DataFrame:
+def two_phases(chunks: DataFrame, size: int, first: Callable, reduce_first: Callable, second: Callable, reduce_second: Callable, finish: Callable, schema: T.StructType) -> DataFrame:
     """first(chunk id, Chunk) sends; its replies go with the chunk to second, which sends again; finish makes the rows.
 
-    The chunks are shuffled by chunk id once: Spark reuses that exchange for both joins with the replies.
+    The chunks are shuffled by chunk id once: Spark reuses that exchange for both joins with the replies. Tasks follow the bytes of text,
+    ``size``, where the session's shuffle partitions would be too few.
     """
+    tasks = max(partitions(chunks.sparkSession), -(-size // TASK_BYTES))
+    grouped = lambda df, key: df.repartition(tasks, key).groupBy(key)
 
     def send_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +247,7 @@ def two_phases(chunks: DataFrame, first: Callable, reduce_first: Callable, secon
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         return finish(Chunk(left), right)
 
-    replies = materialize(chunks.mapInArrow(send_first, SENT).groupBy("bucket").applyInArrow(reduce_first, REPLY), "replies")
-    both = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_second, SENT)
-    later = both.groupBy("bucket").applyInArrow(reduce_second, REPLY)
-    return chunks.groupBy("chunk").cogroup(replies.unionByName(later).groupBy("chunk")).applyInArrow(end, schema)
+    replies = materialize(grouped(chunks.mapInArrow(send_first, SENT), "bucket").applyInArrow(reduce_first, REPLY), "replies")
+    both = grouped(chunks, "chunk").cogroup(grouped(replies, "chunk")).applyInArrow(send_second, SENT)
+    later = grouped(both, "bucket").applyInArrow(reduce_second, REPLY)
+    return grouped(chunks, "chunk").cogroup(grouped(replies.unionByName(later), "chunk")).applyInArrow(end, schema)

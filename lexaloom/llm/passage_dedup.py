@@ -126,7 +126,7 @@ def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_co
         return kept_words(w, np.cumsum(change)[:n] > 0, id_col)
 
     schema = T.StructType().add(id_col, docs.schema[id_col].dataType).add("n_words", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "string")
-    return C.two_phases(packed, first, C.repeated(1, np.uint32), second, C.repeated(2, C.PAIR), finish, schema)
+    return C.two_phases(packed, size, first, C.repeated(1, np.uint32), second, C.repeated(2, C.PAIR), finish, schema)
 
 
 def kept_words(w: _Words, gone: np.ndarray, id_col: str) -> pa.Table:

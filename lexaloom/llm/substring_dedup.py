@@ -182,7 +182,7 @@ def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_
         return kept_table(chunk, np.cumsum(change[:-1]) > 0, id_col)
 
     schema = T.StructType().add(id_col, docs.schema[id_col].dataType).add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
-    return C.two_phases(packed, first, _judge, second, C.repeated(2, C.PAIR), finish, schema)
+    return C.two_phases(packed, size, first, _judge, second, C.repeated(2, C.PAIR), finish, schema)
 
 
 def kept_table(chunk: C.Chunk, gone: np.ndarray, id_col: str) -> pa.Table:
