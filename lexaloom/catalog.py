@@ -16,6 +16,7 @@ from lexaloom.operators import search as S
 from lexaloom.operators import suggestion as G
 from lexaloom.plans import query as Q
 from lexaloom.plans.policy import Policy
+from lexaloom.scratch import kept
 from lexaloom.sources import tables as T
 from lexaloom.streaming import feed as W
 
@@ -30,8 +31,10 @@ SINGLE = ("pages", "part")
 
 
 def _index(spark: SparkSession, d: str, kinds: tuple[str, ...] = KINDS, tokens: bool = True) -> DataFrame:
-    rows = T.corpus(spark, d, kinds)
-    return T.with_tokens(rows) if tokens else rows
+    """The stored index of all tables, which is built once: documents with hashes and token arrays, in folders by locale."""
+    rows = kept(spark, f"index of {d}", lambda: T.with_tokens(T.with_hash(T.corpus(spark, d, KINDS))), "locale")
+    rows = rows if kinds == KINDS else rows.where(F.col("provider_key").isin(*kinds))
+    return rows if tokens else rows.drop("document_hash", *[f"{f}_tokens" for f in T.FIELDS])
 
 
 def _variants(spark: SparkSession) -> DataFrame:
@@ -42,7 +45,7 @@ def _variants(spark: SparkSession) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    index, variants = _index(spark, d, tokens=False), _variants(spark)
+    index, variants = _index(spark, d), _variants(spark)
     return index, variants, *S.retrieve(index, variants, policy=POLICY, partition="public")
 
 
@@ -116,11 +119,11 @@ def search_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dictionary_terms(spark: SparkSession, d: str) -> DataFrame:
-    return D.terms(_index(spark, d), POLICY).select("locale", "term", "document_frequency", "title_frequency", "keyword_frequency", "excerpt_frequency", "content_frequency")
+    return D.terms(_index(spark, d), POLICY, check=False).select("locale", "term", "document_frequency", "title_frequency", "keyword_frequency", "excerpt_frequency", "content_frequency")
 
 
 def dictionary_deletes(spark: SparkSession, d: str) -> DataFrame:
-    return D.delete_index(D.terms(_index(spark, d), POLICY), POLICY).select("locale", "term", "delete_key", F.col("distance").cast("long").alias("distance"))
+    return D.delete_index(D.terms(_index(spark, d), POLICY, check=False), POLICY).select("locale", "term", "delete_key", F.col("distance").cast("long").alias("distance"))
 
 
 def dictionary_bigrams(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +136,7 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
 
 def dictionary_status(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return D.dictionary_status(D.terms(index, POLICY), D.bigrams(index, POLICY), index)
+    return D.dictionary_status(D.terms(index, POLICY, check=False), D.bigrams(index, POLICY), index)
 
 
 def document_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +254,7 @@ def hydrate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def provider_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = _index(spark, d, ("pages",), tokens=False)
+    rows = T.corpus(spark, d, ("pages",))
     md5 = lambda c: F.md5(F.coalesce(F.col(c), F.lit("-")).cast("binary")).alias(c)
     return rows.select("id", "provider_key", "source_key", "locale", "title", md5("normalized_title"), md5("normalized_excerpt"), md5("normalized_content"))
 
@@ -360,14 +363,14 @@ def ngram_lookup(spark: SparkSession, d: str) -> DataFrame:
 def dictionary_builds(spark: SparkSession, d: str) -> DataFrame:
     """Builds of one generation, of which German is being rebuilt."""
     index = _index(spark, d)
-    builds = D.invalidated(D.build_rows(D.terms(index, POLICY), D.bigrams(index, POLICY), "g1", F.lit("2024-01-02").cast("timestamp")), ["de"])
+    builds = D.invalidated(D.build_rows(D.terms(index, POLICY, check=False), D.bigrams(index, POLICY), "g1", F.lit("2024-01-02").cast("timestamp")), ["de"])
     return builds.join(D.readiness(builds).withColumn("ready", F.lit(True)), "locale", "left").select("locale", "terms", "ngrams", F.coalesce("ready", F.lit(False)).alias("ready"))
 
 
 def dictionary_stale(spark: SparkSession, d: str) -> DataFrame:
     """Documents were indexed on the day of their priority; the dictionary on the second, that of Spanish never."""
     index = _index(spark, d).withColumn("indexed_at", F.make_timestamp(F.lit(2024), F.lit(1), F.col("priority") + 1, F.lit(0), F.lit(0), F.lit(0)))
-    vocabulary, grams = D.terms(index, POLICY), D.bigrams(index, POLICY)
+    vocabulary, grams = D.terms(index, POLICY, check=False), D.bigrams(index, POLICY)
     builds = D.build_rows(vocabulary, grams, "g1", F.make_timestamp(F.lit(2024), F.lit(1), F.when(F.col("locale") == "en", 9).otherwise(2), F.lit(0), F.lit(0), F.lit(0))).where("locale <> 'es'")
     return D.dictionary_status(vocabulary, grams, index, builds).select("locale", "documents", "terms", "ngrams", "stale")
 
@@ -393,24 +396,24 @@ def synonym_variants(spark: SparkSession, d: str) -> DataFrame:
 def split_words(spark: SparkSession, d: str) -> DataFrame:
     """The first two words of every part name, written together."""
     words = T.table(spark, d, "part").select(F.lit("en").alias("locale"), F.regexp_replace(X.normalize(F.substring_index("p_name", " ", 2)), " ", "").alias("token")).distinct()
-    return K.split_table(words, D.terms(_index(spark, d), Policy(term_minimum_length=2, maximum_dictionary_terms=5_000_000))).select("token", F.col("cut").cast("long").alias("cut"), "left", "right", "frequency")
+    return K.split_table(words, D.terms(_index(spark, d), Policy(term_minimum_length=2), check=False)).select("token", F.col("cut").cast("long").alias("cut"), "left", "right", "frequency")
 
 
 def merge_words(spark: SparkSession, d: str) -> DataFrame:
     """Every part name with its words cut behind the third letter."""
     cut = F.flatten(F.transform(F.split(X.normalize(F.col("p_name")), " "), lambda w: F.array(F.substring(w, 1, 3), F.substring(w, 4, 100))))
     queries = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), F.filter(cut, lambda w: w != "").alias("words"))
-    return K.merge_table(queries, D.terms(_index(spark, d), POLICY), POLICY).select("query_id", F.col("at").cast("long").alias("at"), "merged", "frequency")
+    return K.merge_table(queries, D.terms(_index(spark, d), POLICY, check=False), POLICY).select("query_id", F.col("at").cast("long").alias("at"), "merged", "frequency")
 
 
 def term_lookup(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.createDataFrame([(loc, t) for text, loc in TEXTS for t in ("thing", "with", "from", "nicht", "dans")], "locale string, term string").distinct()
-    return D.lookup(D.terms(_index(spark, d), POLICY), wanted, 256).select("locale", "term", "document_frequency")
+    return D.lookup(D.terms(_index(spark, d), POLICY, check=False), wanted, 256).select("locale", "term", "document_frequency")
 
 
 def _misspelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The dictionary of the whole corpus, and every part name with errors."""
-    vocabulary = D.terms(_index(spark, d), POLICY)
+    vocabulary = D.terms(_index(spark, d), POLICY, check=False)
     names = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), X.normalize(F.col("p_name")).alias("query"))
     # the third letter of every word is doubled, and every other query loses its second letters
     return vocabulary, names.withColumn("query", F.when(F.col("query_id") % 2 == 0, F.regexp_replace("query", r"\b(\w\w)(\w)", "$1$2$2")).otherwise(F.regexp_replace("query", r"\b(\w)\w(\w)", "$1$2")))
@@ -423,7 +426,7 @@ def spelling_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def spelling_options(spark: SparkSession, d: str) -> DataFrame:
     vocabulary, queries = _misspelled(spark, d)
-    rows = D.spelling_options(D.delete_index(vocabulary, POLICY), vocabulary, D.spelling_requests(queries, vocabulary, POLICY), POLICY)
+    rows = D.options_of(queries, vocabulary, D.delete_index(vocabulary, POLICY), POLICY)
     return rows.select("query_id", "token", "term", "locale", "document_frequency", *[F.col(c).cast("long").alias(c) for c in ("at", "option", "edits", "cost")])
 
 

@@ -120,18 +120,20 @@ def spelling_corrections(words: list[str], options: dict[int, list[dict]], local
 
 
 def spelling_batch(queries: DataFrame, terms: DataFrame, deletes: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Corrections of many queries (query_id, locale, query): query_id, place, corrected, locale, cost, corrections."""
-    options = D.spelling_options(deletes, terms, D.spelling_requests(queries, terms, policy), policy)
-    rows = options.join(queries.select("query_id", "query", F.col("locale").alias("own")), "query_id")
+    """Corrections of many queries (query_id, locale, query): query_id, place, corrected, locale, cost, corrections. Equal queries are corrected once."""
+    once, back = D.distinct_queries(queries)
+    options = D.spelling_options(deletes, terms, D.spelling_requests(once, terms, policy), policy)
+    rows = options.join(once.select("query_id", "query", F.col("locale").alias("own")), "query_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         by: dict[int, list[dict]] = {}
         for r in group.sort_values(["at", "option"]).to_dict("records"):
             by.setdefault(r["at"], []).append(r)
         found = spelling_corrections(_TOKEN.findall(group["query"].iloc[0]), by, group["own"].iloc[0], policy)
-        return pd.DataFrame([(group["query_id"].iloc[0], i + 1, s["query"], s["locale"], s["cost"], len(s["fixed"])) for i, s in enumerate(found)], columns=["query_id", "place", "corrected", "locale", "cost", "corrections"])
+        return pd.DataFrame([(group["query_id"].iloc[0], i + 1, s["query"], s["locale"], s["cost"], len(s["fixed"])) for i, s in enumerate(found)], columns=["first", "place", "corrected", "locale", "cost", "corrections"])
 
-    return rows.groupBy("query_id").applyInPandas(run, "query_id long, place int, corrected string, locale string, cost long, corrections int")
+    found = rows.groupBy("query_id").applyInPandas(run, "first long, place int, corrected string, locale string, cost long, corrections int")
+    return back.join(found, "first").drop("first")
 
 
 # --- phonetic, split, merge
