@@ -2,45 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaloom.scratch import release, scratch_path, shared_dir
 from lexaloom.shipping import ship
 
 __all__ = ["input_bytes", "materialize", "partitions", "release", "row_hash", "scratch_path", "shared_dir", "ship"]
 
-_TABLES: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none and runs on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="lexaloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone; the folder belongs to the cluster's own clean-up
-        pass
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed by ``release`` or at exit."""
-    path = f"{shared_dir(spark).rstrip('/')}/lexaloom/{name}-{uuid.uuid4().hex}"
-    _TABLES.append((spark, path))
-    return path
-
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
@@ -50,13 +19,6 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def release() -> None:
-    """Drop every scratch table. Call it only once the results that read them are written."""
-    while _TABLES:
-        _delete(*_TABLES.pop())
-
-
 def input_bytes(df: DataFrame, column: str) -> int:
     """About the bytes of a text column: the sources' file sizes, which the plan knows, times a compression factor; counted only where a source has no files."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
