@@ -1,8 +1,8 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features elsewhere (operator 7).
 
-URLs that a rule decides are the labelled ones. The trees learn from the ``sample`` different labelled URLs with the smallest hash and
-judge the URLs that no rule fits. A count of the different labelled URLs gives a bound of the hash, below which about twice the
-sample lies: only these are made distinct, sorted and sent, so what reaches the driver doesn't grow with the table. Features: lengths, path
+URLs that a rule decides are the labelled ones. The trees learn from about ``sample`` different labelled URLs and judge the URLs that no
+rule fits. A count of the different labelled URLs gives a bound of their hash, below which the sample lies (to within the few percent
+of the count): only the features of these are sent, so what reaches the driver doesn't grow with a table beyond the sample. Features: lengths, path
 depth, digit ratio, character entropy, parameter counts, label counts and the smoothed log-odds of the host's
 last two labels. Training is a few numpy histograms; the fitted trees become CASE expressions, so scoring stays in the JVM.
 
@@ -155,15 +155,20 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, rules: dict[str, str]) ->
     return lexical(rows.withColumn("said", said))
 
 
+def hash_bound(total: int, sample: int) -> int:
+    """The 64-bit hash below which ``sample`` of ``total`` lie."""
+    return int((sample / total - 0.5) * 2**64)
+
+
 def learn(rows: DataFrame, sample: int) -> tuple[Trees | None, dict[str, float], float]:
     """Trees, log-odds of suffixes, and the probability to give where there are no trees."""
     names = FEATURES[:-1]
     labelled = rows.where("said is not null").select("*", F.xxhash64("url").alias("h"))
     total = labelled.agg(F.approx_count_distinct("h")).first()[0]
-    if total > 2 * sample:
-        labelled = labelled.where(F.col("h") < F.lit(int((2 * sample / total - 0.5) * 2**64)))
+    if total > sample:
+        labelled = labelled.where(F.col("h") < F.lit(hash_bound(total, sample)))
     once = labelled.select((F.col("said") == "block").cast("double").alias("y"), "suffix", *names, "h", "url").dropDuplicates(["url"])
-    picked = once.orderBy("h", "url").limit(sample).toPandas()
+    picked = once.drop("url").toPandas().sort_values(["h", "suffix"], kind="stable")
     y = picked["y"].to_numpy()
     if len(set(y)) < 2:
         return None, {}, 1.0 if len(y) and y[0] else 0.0

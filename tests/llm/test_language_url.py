@@ -111,7 +111,10 @@ def test_verdicts_against_plain_trees(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for sample in (20_000, 150):
         got = {r.page_id: r for r in url_filter.judge(df, sample=sample).collect()}
-        order = sorted((r.h, r.url) for r in df.selectExpr("url", "xxhash64(url) AS h").distinct().collect() if brute_rule(r.url)[2])[:sample]
+        order = sorted((r.h, r.url) for r in df.selectExpr("url", "xxhash64(url) AS h").distinct().collect() if brute_rule(r.url)[2])
+        total = spark.createDataFrame(order, "h long, url string").selectExpr("approx_count_distinct(h)").first()[0]
+        order = [x for x in order if total <= sample or x[0] < url_filter.hash_bound(total, sample)]
+        assert 0.7 * sample < len(order) < 1.3 * sample or total <= sample
         y = np.array([url_filter.RULES[brute_rule(u)[2]] == "block" for _, u in order], float)
         found = [brute_features(u) for _, u in order]
         odds = url_filter.suffix_odds([s for _, s in found], y)
