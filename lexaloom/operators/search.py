@@ -16,8 +16,9 @@ from lexaloom.plans.policy import DEFAULT, REASONS, TIERS, Policy
 from lexaloom.sources.tables import FIELDS, SOURCE, with_tokens
 
 VARIANT_SCHEMA = "query_id long, variant int, query string, locale string, tokens array<string>, source string, priority int, fingerprint string, parent string"
-#: So many variant terms may be broadcast; beyond them the join is left to the optimizer.
+#: So many variant terms may be broadcast; beyond them both sides are shuffled by locale and part.
 BROADCAST_TERMS = 100_000
+TERM_PARTS = 64
 #: So many variants' candidates (a variant has at most ``per_variant_limit``) may be broadcast.
 BROADCAST_VARIANTS = 200
 
@@ -41,7 +42,13 @@ def matches(index: DataFrame, variants: DataFrame, *, policy: Policy = DEFAULT,
     terms = plan_terms(variants, policy)
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     inside = [F.coalesce(F.contains(F.col(f"normalized_{f}"), F.col("term")), F.lit(False)) for f in FIELDS]
-    pairs = active.select("id", "locale", *[f"normalized_{f}" for f in FIELDS]).join(F.broadcast(terms) if small else terms, "locale").where(reduce(Column.__or__, inside))
+    texts = active.select("id", "locale", *[f"normalized_{f}" for f in FIELDS])
+    if small:
+        pairs = texts.join(F.broadcast(terms), "locale")
+    else:  # locales are few: documents are dealt out within them, and every part gets the terms
+        parts = F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1)))
+        pairs = texts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(TERM_PARTS)).cast("int")).join(terms.withColumn("part", parts), ["locale", "part"])
+    pairs = pairs.where(reduce(Column.__or__, inside))
     flags = [F.max(c).alias(f) for f, c in zip(FIELDS, inside)]
     found = pairs.groupBy("query_id", "variant", "id").agg(*flags, F.sort_array(F.collect_set(F.struct("term_at", "term"))).alias("t"))
     named = F.filter(F.array(*[F.when(F.col(f), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())

@@ -192,3 +192,11 @@ def test_page_table_equals_the_numbers_of_one_query(spark):
         assert (got[q].total, got[q].exact, got[q].last_page, got[q].has_next, got[q].first, got[q].last) == tuple(m[k] for k in ("total", "exact", "last_page", "has_next", "from", "to"))
     with pytest.raises(Exception, match="cut result window"):
         S.page_table(window, told, 9, 15).collect()
+
+
+def test_many_terms_are_joined_by_parts(spark, monkeypatch):
+    i = index(spark, [doc(k, f"word{k % 7} other{k % 3}") for k in range(60)])
+    variants = spark.createDataFrame([(0, v, f"word{v}", "en", [f"word{v}", f"other{v}"], "original", 1, f"f{v}", None) for v in range(4)], S.VARIANT_SCHEMA)
+    want = sorted(map(str, S.matches(i, variants).collect()))
+    monkeypatch.setattr(S, "BROADCAST_TERMS", 3)
+    assert sorted(map(str, S.matches(i, variants).collect())) == want and want
