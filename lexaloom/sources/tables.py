@@ -172,9 +172,14 @@ for _name, _build in (("documents", from_documents), ("pages", from_pages), ("pa
 
 #: The driver's tables list all their rows, so their enumerators are authoritative.
 ENUMERATORS = EnumeratorRegistry()
-LOCATOR = ("provider_key", "partition", "source_key", "source_type", "source_id")
+def _locate(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A row per source key; of the documents that share one, the smallest id stands for the source."""
+    rows = PROVIDERS.documents_for(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return rows.groupBy("provider_key", "partition", "source_key", "source_type").agg(F.min("source_id").alias("source_id"))
+
+
 for _name in PLACES:
-    ENUMERATORS.register(Enumerator(_name, _name, lambda spark, d, n=_name: PROVIDERS.documents_for(n, spark.read.parquet(f"{d}/{n}.parquet")).select(*LOCATOR), True))
+    ENUMERATORS.register(Enumerator(_name, _name, lambda spark, d, n=_name: _locate(spark, d, n), True))
 
 
 def corpus(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("documents", "part")) -> DataFrame:

@@ -246,7 +246,7 @@ def test_command_line(spark, tmp_path, capsys):
     lock.touch()
     assert run("reindex", "--force")[0] == L.EXIT_CODES["locked"] == 4
     lock.unlink()
-    assert run("reindex", "--force", "--tables", str(tmp_path / "nowhere"))[0] == 1
+    assert cli.main(["reindex", "--force", "--store", f"file://{tmp_path}/store", "--tables", str(tmp_path / "nowhere")]) == 1
 
 
 def test_values_as_text(spark):
