@@ -37,6 +37,15 @@ def _index(spark: SparkSession, d: str, kinds: tuple[str, ...] = KINDS, tokens:
     return rows if tokens else rows.drop("document_hash", *[f"{f}_tokens" for f in T.FIELDS])
 
 
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """The stored dictionary, for the queries that look words up."""
+    return kept(spark, f"terms of {d}", lambda: D.terms(_index(spark, d), POLICY, check=False), "locale")
+
+
+def _deletes(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, f"deletes of {d}", lambda: D.delete_index(_terms(spark, d), POLICY), "locale")
+
+
 def _variants(spark: SparkSession) -> DataFrame:
     rows = [(k, 0, text, loc, text.split(), "original", 1000, f"f{k}", None) for k, (text, loc) in enumerate(TEXTS)]
     # query 0 has two more variants, of lower priority
@@ -403,17 +412,17 @@ def merge_words(spark: SparkSession, d: str) -> DataFrame:
     """Every part name with its words cut behind the third letter."""
     cut = F.flatten(F.transform(F.split(X.normalize(F.col("p_name")), " "), lambda w: F.array(F.substring(w, 1, 3), F.substring(w, 4, 100))))
     queries = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), F.filter(cut, lambda w: w != "").alias("words"))
-    return K.merge_table(queries, D.terms(_index(spark, d), POLICY, check=False), POLICY).select("query_id", F.col("at").cast("long").alias("at"), "merged", "frequency")
+    return K.merge_table(queries, _terms(spark, d), POLICY).select("query_id", F.col("at").cast("long").alias("at"), "merged", "frequency")
 
 
 def term_lookup(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.createDataFrame([(loc, t) for text, loc in TEXTS for t in ("thing", "with", "from", "nicht", "dans")], "locale string, term string").distinct()
-    return D.lookup(D.terms(_index(spark, d), POLICY, check=False), wanted, 256).select("locale", "term", "document_frequency")
+    return D.lookup(_terms(spark, d), wanted, 256).select("locale", "term", "document_frequency")
 
 
 def _misspelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The dictionary of the whole corpus, and every part name with errors."""
-    vocabulary = D.terms(_index(spark, d), POLICY, check=False)
+    vocabulary = _terms(spark, d)
     names = T.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("en").alias("locale"), X.normalize(F.col("p_name")).alias("query"))
     # the third letter of every word is doubled, and every other query loses its second letters
     return vocabulary, names.withColumn("query", F.when(F.col("query_id") % 2 == 0, F.regexp_replace("query", r"\b(\w\w)(\w)", "$1$2$2")).otherwise(F.regexp_replace("query", r"\b(\w)\w(\w)", "$1$2")))
@@ -426,13 +435,13 @@ def spelling_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def spelling_options(spark: SparkSession, d: str) -> DataFrame:
     vocabulary, queries = _misspelled(spark, d)
-    rows = D.options_of(queries, vocabulary, D.delete_index(vocabulary, POLICY), POLICY)
+    rows = D.options_of(queries, vocabulary, _deletes(spark, d), POLICY)
     return rows.select("query_id", "token", "term", "locale", "document_frequency", *[F.col(c).cast("long").alias(c) for c in ("at", "option", "edits", "cost")])
 
 
 def spelling_corrections(spark: SparkSession, d: str) -> DataFrame:
     vocabulary, queries = _misspelled(spark, d)
-    return K.spelling_batch(queries, vocabulary, D.delete_index(vocabulary, POLICY), POLICY)
+    return K.spelling_batch(queries, vocabulary, _deletes(spark, d), POLICY)
 
 
 def edit_distances(spark: SparkSession, d: str) -> DataFrame:
