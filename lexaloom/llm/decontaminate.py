@@ -205,3 +205,25 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+
+
+SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents
+), item AS (
+  SELECT row_number() OVER () AS k, coalesce(item_id::VARCHAR, '') AS name, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark
+), pattern AS (
+  SELECT k, name, n, unnest(list_transform(range(1, len(l) - n + 2), lambda i: array_to_string(l[i:i + n - 1], ' '))) AS w FROM (SELECT *, least(13, len(l)) AS n FROM item) WHERE len(l) > 0
+), place AS (
+  SELECT r, n, unnest(range(1, len(l) - n + 2)) AS i, unnest(list_transform(range(1, len(l) - n + 2), lambda i: array_to_string(l[i:i + n - 1], ' '))) AS w FROM doc, (SELECT DISTINCT n FROM pattern)
+), hit AS (
+  SELECT DISTINCT r, i, n, k, name FROM place JOIN pattern USING (n, w)
+), covered AS (
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT r, k, name FROM hit) GROUP BY r
+)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""

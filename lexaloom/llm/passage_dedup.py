@@ -161,3 +161,21 @@ def query(docs: DataFrame) -> DataFrame:
     out = remove_repeated_passages(docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents
+), place AS (
+  SELECT r, unnest(range(1, len(l) - 33)) AS i, unnest(list_transform(range(1, len(l) - 33), lambda i: md5(array_to_string(l[i:i + 34], ' ')))) AS w FROM doc WHERE len(l) >= 35
+), hit AS (
+  SELECT r, i FROM place SEMI JOIN (SELECT w FROM place GROUP BY w HAVING count(*) > 1) USING (w)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM hit
+), word AS (
+  SELECT r, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS t FROM doc
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(l)::BIGINT AS n_words, len(l) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (r)
+"""

@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op4_source_mixing": mixing.SQL}
+    return {"op2_chat_format": chat.SQL, "op4_source_mixing": mixing.SQL, "op5_decontaminate": decontaminate.SQL, "op9_substring_dedup": passage_dedup.SQL}

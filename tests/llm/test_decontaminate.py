@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import contamination_rows, words13
+from test_mixing_chat import oracle
 
 from lexaloom.llm import decontaminate
 
@@ -27,6 +28,13 @@ def test_against_brute_force(spark, max_words, monkeypatch):
     assert sorted(map(tuple, decontaminate.query(d, b).collect()), key=str) == contamination_rows(docs, items)
 
 
+def test_sql(spark):
+    docs, items = fixture()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    names, want = oracle(decontaminate.SQL, documents=d, benchmark=b)
+    assert sorted(str(tuple(r)) for r in decontaminate.query(d, b).select(*names).collect()) == want
+
+
 def test_clean_keeps_columns_and_spans_map_back(spark):
     d = spark.createDataFrame([(1, "é: Alpha BETA!", "f"), (2, "nothing here", "g")], "doc_id long, text string, __found string")
     b = spark.createDataFrame([(9, "alpha beta")], "item_id long, text string")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import passage_rows, substring_rows
+from test_mixing_chat import oracle
 
 from lexaloom.llm import chunks as C
 from lexaloom.llm import passage_dedup, substring_dedup
@@ -69,6 +70,12 @@ def test_passage_in_a_third_of_all_documents(spark, monkeypatch):
             assert sent[0] > C.HOT_CHUNKS and sorted(map(tuple, got), key=str) == brute(docs)
 
 
+def test_sql(spark):
+    df = spark.createDataFrame([(k, t) for k, t in fixture(3)], "doc_id long, text string")
+    names, want = oracle(passage_dedup.SQL, documents=df)
+    assert sorted(str(tuple(r)) for r in passage_dedup.query(df).select(*names).collect()) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert substring_dedup.query(df).collect() == []
