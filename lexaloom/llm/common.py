@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaloom.scratch import release, scratch_path, shared_dir
 from lexaloom.shipping import ship
 
-__all__ = ["input_bytes", "materialize", "partitions", "release", "row_hash", "scratch_path", "shared_dir", "ship"]
+__all__ = ["input_bytes", "materialize", "partitions", "release", "row_hash", "scratch_path", "shared_dir", "ship", "trim", "trimmed"]
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -31,5 +35,23 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema if "variant" not in f.dataType.simpleString()])
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can. Python workers outlive their tasks, so what one step freed would be held beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with the worker's freed memory given back before and after each task."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from run(batches)
+        trim()
+
+    return around
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from lexaloom.llm import rolling as R
 from lexaloom.llm.chunks import text_buffer
-from lexaloom.llm.common import materialize, row_hash, ship
+from lexaloom.llm.common import materialize, row_hash, ship, trimmed
 from lexaloom.llm.decontaminate import _SEPARATES, _TO_WORDS
 
 COORDINATES = 128
@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, ngram: int) -> Da
 
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
-    return materialize(rows.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("uid"), "*"), "signatures")
+    return materialize(rows.mapInArrow(trimmed(run), schema).select(F.monotonically_increasing_id().alias("uid"), "*"), "signatures")
 
 
 def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -177,7 +177,7 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str, ngram: int)
 
     text = F.col(f"`{text_col}`")
     rows = docs.where(text.isNotNull()).select(F.md5(text.cast("binary")).alias("digest"), text.alias("text")).select("digest", bit.alias("bit"), "text")
-    once = rows.mapInArrow(run, "digest string, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
+    once = rows.mapInArrow(trimmed(run), "digest string, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
     return materialize(once.join(wanted, "digest").select("uid", F.floor(F.octet_length("grams") / 8).cast("long").alias("size"), "grams"), "grams")
 
 
@@ -209,7 +209,7 @@ def _walk(sets: DataFrame, runs: int) -> DataFrame:
                 uid = pa.concat_arrays([batch.column(0)] * len(paths))
                 yield pa.record_batch({"node": pa.array(np.concatenate(paths).view(np.int64)), "uid": uid})
 
-    return sets.select("uid", "sig").mapInArrow(run, "node long, uid long")
+    return sets.select("uid", "sig").mapInArrow(trimmed(run), "node long, uid long")
 
 
 def _deeper(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _deeper(rows: DataFrame, sets: DataFrame) -> DataFrame:
             paths = _step(np.asarray(batch.column(0)).view(np.uint64), _matrix(batch.column(2)))
             yield pa.record_batch({"node": pa.array(np.concatenate(paths).view(np.int64)), "uid": pa.concat_arrays([batch.column(1)] * len(paths))})
 
-    return rows.join(sets.select("uid", "sig"), "uid").select("node", "uid", "sig").mapInArrow(run, "node long, uid long").distinct()
+    return rows.join(sets.select("uid", "sig"), "uid").select("node", "uid", "sig").mapInArrow(trimmed(run), "node long, uid long").distinct()
 
 
 def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], list[tuple]], schema: str) -> DataFrame:
@@ -254,7 +254,7 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], list[tuple
         if held is not None and held.num_rows:
             yield made(groups(held, True)[0])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), schema)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
