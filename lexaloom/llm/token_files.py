@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexaloom.llm.common import input_bytes, partitions, scratch_path, ship
+from lexaloom.llm.common import input_bytes, partitions, scratch_path, ship, trim, trimmed
 
 END_ID = 1
 KEEP_PIECES = 250_000
@@ -172,7 +172,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
         "parquet.page.size": str(page_bytes),
         "parquet.page.row.count.limit": "1000",
     }
-    ordered.mapInArrow(run, schema).write.options(**options).parquet(path)
+    ordered.mapInArrow(trimmed(run), schema).write.options(**options).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -192,6 +192,7 @@ def crc32_of(tokens):
             offsets = np.asarray(column.offsets, dtype=np.int64)
             body = memoryview(np.ascontiguousarray(np.asarray(column.values, dtype="<i4"))).cast("B")
             yield pa.array([zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])], pa.int64())
+        trim()
 
     return F.arrow_udf(run, "long")(tokens)
 
